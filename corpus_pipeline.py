@@ -3,21 +3,59 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe
-from quarry.llm.common import table
+from quarry.llm import bpe, minhash, mixing, quality, suffix
+from quarry.llm.common import materialize, table
 
 
-def encode(spark, docs, sf_dir):
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. A document is known by its id and text."""
+    marked = docs.withColumn("doc_", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    labels = table(spark, sf_dir, "labels")
+    kept = quality.verdicts(docs, quality.trusted_rows(labels), keep_text_hash=True).where("kept").select("doc_id", "text_hash").distinct()
+    same = marked["doc_id"].eqNullSafe(kept["doc_id"]) & (marked["doc_"] == kept["text_hash"])
+    return marked.join(kept, same, "left_semi").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.dedup(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 100-byte strings that start earlier in the corpus."""
+    return suffix.dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that one seeded epoch takes to fill each leaf's budget; at a budget's end the last one stays whole."""
+    return mixing.chosen(docs, mixing.Targets(max_epochs=1))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document that is left."""
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("bpe encoding and decoding", encode)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("minhash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("bpe encoding and decoding", encode),
+]
+
+#: SQL has no BagMinHash, byte windows or BPE; tests/llm holds the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
     return docs

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, words_of
+from quarry.llm.common import materialize, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Buckets of the hashed multinomials; the table of their ratios is broadcast, so this bounds its size.
@@ -38,12 +38,13 @@ def _repeated_words(df: DataFrame) -> DataFrame:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed for each row."""
+    """doc_id, text_hash, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed for each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select("doc_id", text.alias("text"), words_of(text).alias("words"))
+    df = docs.select("doc_id", text.alias("text"), words_of(text).alias("words")).withColumn("text_hash", F.xxhash64("text"))
     df = df.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.select(
         "doc_id",
+        "text_hash",
         "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -85,7 +86,7 @@ def trusted_rows(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
     return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def verdicts(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, least: float = LEAST_RATIO) -> DataFrame:
+def verdicts(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, least: float = LEAST_RATIO, keep_text_hash: bool = False) -> DataFrame:
     """The counts of base_counts() without the words, then llr (mean log ratio of the text's words and word pairs;
     0 where there are none) and kept: not base_failed and llr at least `least`.
 
@@ -95,7 +96,7 @@ def verdicts(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, le
 
     ratios = materialize(ratio_table(docs, trusted_ids, buckets), "ratios")  # at most `buckets` rows
     base = base_counts(docs).withColumn("rid", F.monotonically_increasing_id())
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"] + ["text_hash"] * keep_text_hash
     rows = base.select("rid", F.struct(*columns).alias("base"), F.inline_outer(pairs(F.col("words"))).alias("a", "b"))
     of = lambda name: F.broadcast(ratios.select(F.col("bucket").alias(name), F.col("ratio").alias(f"{name}_ratio")))
     rows = rows.select("rid", "base", bucket(F.col("a"), buckets=buckets).alias("one"), bucket(F.col("a"), F.col("b"), buckets=buckets).alias("two"))

@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, html, lengths, minhash, mixing, quality, toxicity
+from quarry.llm import bpe, html, lengths, minhash, mixing, quality, suffix, toxicity
 from quarry.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removals(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,5 +43,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_html_extraction, op5_bpe, op7_minhash_near_dedup, op8_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_html_extraction, op5_bpe, op7_minhash_near_dedup, op8_mixing, op10_token_counts)}
 ORACLES: dict[str, str] = {}
