@@ -10,11 +10,11 @@ from quarry.llm.common import materialize, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Buckets of the hashed multinomials; the table of their ratios is broadcast, so this bounds its size.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 13
 #: Trusted documents that the target multinomial is learned from, at most, by the order of a hash of their ids.
 TRUSTED_ROWS = 20_000
 #: A text is kept if its mean log ratio is at least this.
-LEAST_RATIO = -0.12
+LEAST_RATIO = -0.1
 #: Ratios are summed as whole numbers of this fraction, so that sums don't depend on their order.
 UNIT = 1_000_000
 
