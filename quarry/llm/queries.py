@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, html, lengths, minhash, mixing, quality, suffix, toxicity
+from quarry.llm import bpe, html, lengths, minhash, mixing, ngrams, quality, simhash, suffix, toxicity
 from quarry.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -31,6 +31,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -39,9 +43,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_html_extraction, op5_bpe, op7_minhash_near_dedup, op8_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_html_extraction, op5_bpe, op6_lm_scoring, op7_minhash_near_dedup, op8_mixing, op9_simhash, op10_token_counts)}
 ORACLES: dict[str, str] = {}
