@@ -27,7 +27,7 @@ SPLIT = (
 PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 ODD = r"[^\x00-\x1b\x20-\x7e\u00c0-\u024f]"
 #: Pieces that a task remembers before it starts afresh; bounds its memory, not its results.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 
 
 def byte_letters() -> list[str]:
