@@ -97,13 +97,13 @@ def verdicts(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, le
     ratios = materialize(ratio_table(docs, trusted_ids, buckets), "ratios")  # at most `buckets` rows
     base = base_counts(docs).withColumn("rid", F.monotonically_increasing_id())
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"] + ["text_hash"] * keep_text_hash
-    rows = base.select("rid", F.struct(*columns).alias("base"), F.inline_outer(pairs(F.col("words"))).alias("a", "b"))
+    rows = base.select("rid", *columns, F.inline_outer(pairs(F.col("words"))).alias("a", "b"))
     of = lambda name: F.broadcast(ratios.select(F.col("bucket").alias(name), F.col("ratio").alias(f"{name}_ratio")))
-    rows = rows.select("rid", "base", bucket(F.col("a"), buckets=buckets).alias("one"), bucket(F.col("a"), F.col("b"), buckets=buckets).alias("two"))
+    rows = rows.select("rid", *columns, bucket(F.col("a"), buckets=buckets).alias("one"), bucket(F.col("a"), F.col("b"), buckets=buckets).alias("two"))
     scored = rows.join(of("one"), "one", "left").join(of("two"), "two", "left").groupBy("rid").agg(
-        F.first("base").alias("base"),
+        *[F.first(c).alias(c) for c in columns],  # plain numbers, so that the sums stay in a hash table
         F.coalesce(F.sum(F.coalesce("one_ratio", F.lit(0)) + F.coalesce("two_ratio", F.lit(0))), F.lit(0)).alias("total"),
         (F.count("one") + F.count("two")).alias("n"),
     )
     llr = F.when(F.col("n") > 0, F.col("total") / F.col("n") / UNIT).otherwise(F.lit(0.0))
-    return scored.select("base.*", llr.alias("llr")).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least))
+    return scored.select(*columns, llr.alias("llr")).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least))

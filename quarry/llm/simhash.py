@@ -121,17 +121,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
     rows = rows.select("doc_id", F.xxhash64("text").alias("own"), F.xxhash64("next_text").alias("next"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
-    texts = F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t"), F.lit("").alias("sha")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t"), F.sha2("edited", 256).alias("sha")))
-    both = rows.select("rid", "doc_id", "own", "next", "n_chars", F.inline(texts).alias("is_edited", "t", "sha"))
-    both = both.select("rid", "is_edited", "doc_id", "own", "next", "n_chars", "sha", words_of(F.col("t")).alias("words"))
-    exploded = both.select("rid", "is_edited", "doc_id", "own", "next", "n_chars", "sha", F.inline_outer(shingle_rows("words")).alias(*[f"w{k}" for k in range(SHINGLE)]))
-    keep = ["doc_id", "own", "next", "n_chars", "sha"]
+    # the digest goes along as numbers of 60 bits, so that the sums stay in a hash table
+    digits = [F.conv(F.substring(F.sha2("t", 256), at, 15), 16, 10).cast("long") for at in range(1, 65, 15)]
+    sha = [f"sha{k}" for k in range(len(digits))]
+    texts = F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t")))
+    both = rows.select("rid", "doc_id", "own", "next", "n_chars", F.inline(texts).alias("is_edited", "t"))
+    both = both.select("rid", "is_edited", "doc_id", "own", "next", "n_chars", *[d.alias(c) for c, d in zip(sha, digits, strict=True)], words_of(F.col("t")).alias("words"))
+    exploded = both.select("rid", "is_edited", "doc_id", "own", "next", "n_chars", *sha, F.inline_outer(shingle_rows("words")).alias(*[f"w{k}" for k in range(SHINGLE)]))
+    keep = ["doc_id", "own", "next", "n_chars", *sha]
     summed = votes(exploded, ["rid", "is_edited"], keep)
     high, low = fingerprint_halves()
     marks = materialize(summed.select("rid", "is_edited", *keep, high.alias("high"), low.alias("low")), "fingerprints")
 
     own = marks.where("not is_edited").select("rid", "doc_id", "own", "next", "n_chars", "high", "low")
-    changed = marks.where("is_edited").select("rid", F.col("sha").alias("edited_sha256"), F.col("high").alias("e_high"), F.col("low").alias("e_low"))
+    edited_sha = F.lower(F.concat(*[F.lpad(F.hex(c), 15 if k < len(sha) - 1 else 64 % 15, "0") for k, c in enumerate(sha)]))
+    changed = marks.where("is_edited").select("rid", edited_sha.alias("edited_sha256"), F.col("high").alias("e_high"), F.col("low").alias("e_low"))
     of_text = own.groupBy(F.col("own").alias("next")).agg(F.first("high").alias("n_high"), F.first("low").alias("n_low"))
     pairs = near_pairs(own)
     ends = pairs.select(F.col("high_a").alias("high"), F.col("low_a").alias("low")).union(pairs.select("high_b", "low_b"))

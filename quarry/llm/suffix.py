@@ -23,7 +23,9 @@ from quarry.llm.repeats import gram_hashes, mix, pieces, sliding, GRAM
 #: Bytes of the strings that count.
 WINDOW = 100
 #: Bytes of pieces that a task sorts together, about.
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_500_000
+#: Bytes of texts that a task cuts into pieces together, about.
+BATCH_BYTES = 8_000_000
 #: An anchor with more different pieces than this is divided by a second anchor, the greatest hash of each window's grams.
 HOT_PIECES = 20_000
 
@@ -111,13 +113,27 @@ def _mark(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) & 0x7FFF
 
 
+def _small(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and texts of about BATCH_BYTES at a time."""
+    for b in batches:
+        ids, texts, size = [], [], 0
+        for d, t in zip(b["d"], b["text"], strict=True):
+            ids.append(d)
+            texts.append((t or "").encode("utf-8"))
+            size += len(texts[-1])
+            if size >= BATCH_BYTES:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if ids:
+            yield ids, texts
+
+
 def _find(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pieces of a batch; of those that are the same bytes only the first goes on, the others are settled here."""
-        for b in batches:
+        for d_ids, texts in _small(batches):
             found = []
-            for k, (d, t) in enumerate(zip(b["d"], b["text"], strict=True)):
-                raw = (t or "").encode("utf-8")
+            for d, raw in zip(d_ids, texts, strict=True):
                 anchor, key, start, n, periodic = pieces(np.frombuffer(raw, np.uint8), window)
                 if len(anchor):
                     found.append((anchor, key, np.full(len(anchor), d), _pack(_mark(raw), start, n, periodic)))
