@@ -15,7 +15,9 @@ ANY = " OR ".join(f"{c} ILIKE '%{t}%'" for t in TERMS for c in WEIGHTS)
 SCORE = " + ".join(f"CASE WHEN {c} ILIKE '%{t}%' THEN {w} ELSE 0 END" for t in TERMS for c, w in WEIGHTS.items())
 AS_OF = "1997-06-30"
 WITH = f"WITH {X.TICKETS} "
-one = F.count(F.lit(1))
+def one():
+    return F.count(F.lit(1))
+
 
 
 def rows(spark, sf):
@@ -84,7 +86,7 @@ def _score(spark, sf):
 
 @query("I07_status_filter", WITH + "SELECT status, count(*) AS n FROM tickets WHERE status NOT IN ('F') GROUP BY status")
 def _status_filter(spark, sf):
-    return rows(spark, sf).where(~F.col("status").isin("F")).groupBy("status").agg(one.alias("n"))
+    return rows(spark, sf).where(~F.col("status").isin("F")).groupBy("status").agg(one().alias("n"))
 
 
 @query("I08_since_months", WITH + f"SELECT key FROM tickets WHERE created > DATE '{AS_OF}' - INTERVAL 4 MONTH AND created <= DATE '{AS_OF}'")
@@ -111,7 +113,7 @@ def _top(spark, sf):
 
 @query("I12_count", WITH + f"SELECT substr(key, 1, 3) AS kind, count(*) AS n FROM tickets WHERE {ANY} GROUP BY kind")
 def _count(spark, sf):
-    return rows(spark, sf).where(tickets.match_any(TERMS, list(WEIGHTS))).groupBy(F.substring("key", 1, 3).alias("kind")).agg(one.alias("n"))
+    return rows(spark, sf).where(tickets.match_any(TERMS, list(WEIGHTS))).groupBy(F.substring("key", 1, 3).alias("kind")).agg(one().alias("n"))
 
 
 @query("I13_oldest", WITH + f"SELECT key, CAST(created AS VARCHAR) AS created FROM tickets WHERE {ANY} ORDER BY tickets.created, key LIMIT 1")
@@ -172,13 +174,13 @@ def _merge(spark, sf):
 
 @query("I22_group_breakdown", WITH + "SELECT root_cause, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM tickets GROUP BY root_cause")
 def _breakdown(spark, sf):
-    g = rows(spark, sf).groupBy("root_cause").agg(one.alias("n"))
+    g = rows(spark, sf).groupBy("root_cause").agg(one().alias("n"))
     return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("all")))).select("root_cause", "n", F.round(100 * F.col("n") / F.col("all"), 4).alias("pct"))
 
 
 @query("I23_trend", WITH + "SELECT strftime(date_trunc('month', created), '%Y-%m') AS month, count(*) AS n, count(*) - lag(count(*)) OVER (ORDER BY strftime(date_trunc('month', created), '%Y-%m')) AS delta FROM tickets GROUP BY month")
 def _trend(spark, sf):
-    g = rows(spark, sf).groupBy(F.date_format("created", "yyyy-MM").alias("month")).agg(one.alias("n"))
+    g = rows(spark, sf).groupBy(F.date_format("created", "yyyy-MM").alias("month")).agg(one().alias("n"))
     return g.withColumn("delta", F.col("n") - F.lag("n").over(Window.orderBy("month")))
 
 
