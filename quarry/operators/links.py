@@ -10,10 +10,15 @@ from quarry.operators.dedup import cosine
 
 def shared_tag_pairs(tags: DataFrame, least: int = 3) -> DataFrame:
     """tags: id, doc_id, tag -> a, b, shared: pairs of chunks of different documents with at least `least` common tags,
-    each once. An inverted index: each tag's chunks meet in a join on the tag, and pairs are summed map-side."""
-    a, b = tags.alias("a"), tags.alias("b")
-    met = a.join(b, (F.col("a.tag") == F.col("b.tag")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.doc_id") != F.col("b.doc_id")))
-    return met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    each once. Tags are put in order of how rare they are; chunks with enough tags in common share one of the
+    first n - least + 1, so only these meet in a join, and common tags seldom do. A pair is taken at its rarest common tag."""
+    often = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    own = tags.join(often, "tag").groupBy("id", "doc_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("n", "tag"))), lambda x: x["tag"]).alias("own"))
+    first = own.withColumn("tag", F.explode(F.slice("own", 1, F.greatest(F.size("own") - (least - 1), F.lit(0)))))
+    a, b = (first.select("tag", F.col("id").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
+    met = a.join(b, "tag").where("a < b and doc_a <> doc_b").withColumn("both", F.array_intersect("own_a", "own_b"))
+    met = met.where((F.size("both") >= least) & (F.element_at("both", 1) == F.col("tag")))
+    return met.select("a", "b", F.size("both").cast("long").alias("shared"))
 
 
 def related(pairs: DataFrame, metric: str, most: int = 5) -> DataFrame:

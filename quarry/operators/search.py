@@ -24,7 +24,8 @@ TAG_STOP = ("address", "report", "client", "issue", "select", "your", "home", "u
 def term_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, id, hits (terms that occur), term_score. The stated queries go to all chunks; each chunk is read once."""
     q = F.broadcast(queries.select("query_id", "terms"))
-    low = F.lower("text")
+    chunks = chunks.select("id", F.lower("text").alias("low"))
+    low = F.col("low")
     hits = F.size(F.filter("terms", lambda t: F.contains(low, F.lower(t))))
     times = lambda t: F.floor((F.length(low) - F.length(F.replace(low, F.lower(t), F.lit("")))) / F.length(t))
     score = F.aggregate("terms", F.lit(0), lambda s, t: s + F.least(F.lit(10), (2 * times(t)).cast("int")))
@@ -77,13 +78,13 @@ def limits_of(queries: DataFrame) -> DataFrame:
     return out
 
 
-def search(queries: DataFrame, chunks: DataFrame, links: DataFrame, priority: tuple[str, ...] = ("sop", "manual")) -> Found:
+def search(queries: DataFrame, chunks: DataFrame, links: DataFrame, priority: tuple[str, ...] = ("sop", "manual"), cut: bool = True) -> Found:
     """queries (query_id, terms, level) over chunks (id, text, tags, keywords) and links (id, other).
 
     First the chunks with the terms; then those that they refer to, by frequency; then chunks with a term or a
     discovered token, by the number of their tokens that were discovered; then chunks with a priority tag, by hits.
     Scores add up what the terms (40), the discovered tags (20) and keywords (15) and the phase give; a query's rows are
-    ranked by score and id and cut at its level's total."""
+    ranked by score and id and, with `cut`, ended at its level's total."""
     hits = term_hits(queries, chunks)
     limits = limits_of(queries)
     one = initial(hits)
@@ -122,4 +123,5 @@ def search(queries: DataFrame, chunks: DataFrame, links: DataFrame, priority: tu
     score = F.coalesce("term_score", F.lit(0)) + F.least(F.lit(20), 4 * common("tags", F.col("top_tags"))) + F.least(F.lit(15), 3 * common("keywords", F.col("top_words"))) + bonus
     ranked = scored.select("query_id", "id", "match_type", score.cast("int").alias("score")).join(F.broadcast(limits.select("query_id", "total")), "query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return Found(ranked.withColumn("rank", rank).where(F.col("rank") <= F.col("total")).drop("total"), tags, keywords)
+    ranked = ranked.withColumn("rank", rank)
+    return Found((ranked.where(F.col("rank") <= F.col("total")) if cut else ranked).drop("total"), tags, keywords)

@@ -15,21 +15,24 @@ def one():
 
 
 
-def queries(spark, sf):
+def queries(spark, sf, tagged=None):
     """query_id, terms, level: three neighbours each in the list of the commonest keywords."""
-    n = X.tagged(spark, sf).select(F.explode("keywords").alias("word")).groupBy("word").agg(one().alias("n")).orderBy(F.desc("n"), "word").limit(60)
+    c = X.tagged(spark, sf) if tagged is None else tagged
+    n = c.select(F.explode("keywords").alias("word")).groupBy("word").agg(one().alias("n")).orderBy(F.desc("n"), "word").limit(60)
     ranked = n.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1)
     q = ranked.groupBy(F.floor(F.col("r") / 3).alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("terms"))
     return q.withColumn("level", F.element_at(F.array(*map(F.lit, search.LEVELS)), (F.col("query_id") % 4 + 1).cast("int")))
 
 
-def related(spark, sf):
-    rows = X.tagged(spark, sf).select("id", "doc_id", F.explode("keywords").alias("tag"))
+def related(tagged):
+    rows = tagged.select("id", "doc_id", F.explode("keywords").alias("tag"))
     return links.related(links.shared_tag_pairs(rows), "shared").select("id", "other")
 
 
-def found(spark, sf):
-    return search.search(queries(spark, sf), X.tagged(spark, sf), related(spark, sf))
+def found(spark, sf, cut=True):
+    """The tagged chunks are used by every phase, so they are kept; a lost part is computed again."""
+    c = X.tagged(spark, sf).persist()
+    return search.search(queries(spark, sf, c), c, related(c), cut=cut)
 
 
 def _caps(name: str) -> str:
