@@ -1,5 +1,5 @@
-"""Main text of web pages: site templates are found by counting element subtrees per host, then the
-article's blocks are read without the page's furniture."""
+"""Main text of web pages: site templates are found by counting element subtrees per host, inside articles by the
+different articles that have them, then the article's blocks are read without templates and the page's furniture."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ from quarry.llm.common import materialize
 #: A subtree is a template's if at least this share of the host's pages, and this many pages, have it.
 PAGE_SHARE = 0.3
 LEAST_PAGES = 4
+#: An article whose other text is shorter than this share of a subtree's text is a copy of that subtree, not one that has it as furniture.
+OTHER_TEXT = 0.1
 
 #: HTML element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +42,8 @@ FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments reply replies respond disqus discussion share sharing social "
     "related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager widget search contentinfo complementary dialog skip".split()
 )
+#: Elements that are not taken out of a list or table on their own.
+ITEMS = frozenset("li dt dd tr td th thead tbody tfoot caption".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -120,11 +124,16 @@ def containers(root: Node, tag: str) -> list[Node]:
     return found
 
 
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
 def subtree_hashes(root: Node) -> tuple[dict[int, int], set[int]]:
-    """The hash of each element's subtree (tag, names and text), by id of the node; and the hashes of those
-    with text outside any article or main element, which may be a template's."""
+    """The hash of each element's subtree (tag, names and text), by id of the node; and the ids of those with
+    text outside any article or main element and with none in them, which may be a template's."""
     own: dict[int, int] = {}
     found: set[int] = set()
+    holders: set[int] = set()
     todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while todo:
         node, inside, done = todo.pop()
@@ -134,12 +143,77 @@ def subtree_hashes(root: Node) -> tuple[dict[int, int], set[int]]:
             todo += [(x, inside, False) for x in node.children if isinstance(x, Node)]
             continue
         parts = [f"{own[id(x)]:x}" if isinstance(x, Node) else " ".join(x.split()) for x in node.children]
-        own[id(node)] = h = xxhash.xxh3_64_intdigest(f"<{node.tag} {' '.join(node.names)}>" + "\x00".join(p for p in parts if p))
-        if not inside and any(parts) and node.tag not in ("#root", "html", "body", "head"):
-            found.add(h - (1 << 64) if h >= 1 << 63 else h)
+        own[id(node)] = signed(xxhash.xxh3_64_intdigest(f"<{node.tag} {' '.join(node.names)}>" + "\x00".join(p for p in parts if p)))
+        if node.tag in ("article", "main") or any(isinstance(x, Node) and id(x) in holders for x in node.children):
+            holders.add(id(node))
+        elif not inside and any(parts) and node.tag not in ("#root", "html", "body", "head"):
+            found.add(id(node))
     return own, found
 
 
+def tops(root: Node) -> list[Node]:
+    """The outermost article elements, and the main elements that aren't in one."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("article", "main"):
+            found.append(node)
+        if node.tag != "article":
+            todo += [x for x in reversed(node.children) if isinstance(x, Node)]
+    return found
+
+
+def inner_parts(top: Node) -> list[tuple[Node, int | None]]:
+    """The subtrees with text in an article (or in a main element, beside its articles) that may be a template's:
+    blocks, and inline elements that aren't part of a sentence. Each with what tells the article apart from others
+    that have it too: the hash of its longest text outside the subtree; None if little else stands in the article."""
+    texts: list[str] = []
+    spans: list[tuple[Node, int, int]] = []
+    todo: list[tuple[Node, bool, bool, int]] = [(top, False, False, -1)]
+    while todo:
+        node, able, closed, start = todo.pop()
+        if start >= 0:
+            if able:
+                spans.append((node, start, len(texts)))
+            continue
+        closed = closed or top.tag == "main" and node is not top and node.tag in ("article", "main")
+        direct = " ".join(" ".join(x for x in node.children if isinstance(x, str)).split())
+        start = len(texts)
+        if direct:
+            texts.append(direct)
+        todo.append((node, able and not closed, closed, start))
+        for x in reversed(node.children):
+            if isinstance(x, Node) and not furniture(x, True):
+                todo.append((x, not closed and x.tag not in ITEMS and (x.tag in BLOCK or not direct), closed, -1))
+    if top.tag == "main":
+        holds = {id(x) for x in tops(top) if x is not top}
+        apart: set[int] = set()
+        pending: list[tuple[Node, list[int]]] = [(top, [])]
+        while pending:
+            node, above = pending.pop()
+            if id(node) in holds:
+                apart.update(above)
+            elif holds:
+                pending += [(x, [*above, id(node)]) for x in node.children if isinstance(x, Node)]
+        spans = [s for s in spans if id(s[0]) not in apart]
+    sizes = [len(t) for t in texts]
+    before, after, sums = [-1], [-1], [0]
+    for k in range(len(texts)):
+        before.append(k if before[-1] < 0 or sizes[k] > sizes[before[-1]] else before[-1])
+        sums.append(sums[-1] + sizes[k])
+    for k in range(len(texts) - 1, -1, -1):
+        after.append(k if after[-1] < 0 or sizes[k] >= sizes[after[-1]] else after[-1])
+    after.reverse()
+    found = []
+    for node, start, end in spans:
+        within = sums[end] - sums[start]
+        others = [k for k in (before[start], after[end]) if k >= 0]
+        if within:
+            much = others and sums[-1] - within >= OTHER_TEXT * within
+            found.append((node, signed(xxhash.xxh3_64_intdigest(texts[max(others, key=sizes.__getitem__)])) if much else None))
+    return found
+
+
 def blocks(node: Node, dropped: set[int]) -> list[str]:
     """The texts between block boundaries in page order, white space folded, empty ones left out. Headers
     count as furniture unless the node is an article or main element."""
@@ -173,23 +247,20 @@ def blocks(node: Node, dropped: set[int]) -> list[str]:
     return found
 
 
-def main_text(html: str | None, templates: set[int]) -> str:
-    """Text of the page's articles, else of its main element, else of the whole page without furniture and templates."""
+def main_text(html: str | None, templates: set[int], inner: set[int] = frozenset()) -> str:
+    """Text of the page's articles, else of its main element, else of the whole page, without furniture and
+    templates: subtrees outside of articles, and `inner` ones in them. What has no text without these is passed over."""
     root = parse(html)
     dropped: set[int] = set()
-    if templates:
-        own, seen = subtree_hashes(root)
-        seen &= templates
-        inside: list[tuple[Node, bool]] = [(root, False)]
-        while inside:
-            node, kept = inside.pop()
-            kept = kept or node.tag in ("article", "main")
-            h = own[id(node)]
-            if not kept and (h - (1 << 64) if h >= 1 << 63 else h) in seen:
-                dropped.add(id(node))
-            inside += [(x, kept) for x in node.children if isinstance(x, Node)]
-    top = containers(root, "article") or containers(root, "main") or [root]
-    return "\n\n".join(t for x in top for t in blocks(x, dropped))
+    if templates or inner:
+        own, outer = subtree_hashes(root)
+        dropped = {x for x in outer if own[x] in templates}
+        if inner:
+            dropped |= {id(node) for top in tops(root) for node, _ in inner_parts(top) if own[id(node)] in inner}
+    for top in (containers(root, "article"), containers(root, "main"), [root]):
+        if text := "\n\n".join(t for x in top for t in blocks(x, dropped)):
+            return text
+    return ""
 
 
 def host_of(url):
@@ -197,37 +268,50 @@ def host_of(url):
 
 
 def templates(pages: DataFrame, share: float = PAGE_SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """host, subtrees: hashes of the subtrees outside articles that recur across many pages of the host. At most
-    1 / share times as many as a page has, so a host's list is bounded whatever its number of pages."""
+    """host, subtrees, inner: hashes of the subtrees that recur across many pages of the host outside articles, and
+    across many of its articles inside them. Articles count once for each different longest text beside the subtree,
+    so copies of an article don't make its parts a template. At most 1 / share times as many as a page has, so a
+    host's list is bounded whatever its number of pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            counts: dict[tuple[str, int | None], int] = {}
+            counts: dict[tuple[str, int | None, int | None], int] = {}
             for host, html in zip(b["host"], b["html"], strict=True):
-                for h in (None, *subtree_hashes(parse(html))[1]):
-                    counts[host, h] = counts.get((host, h), 0) + 1
-            yield pd.DataFrame({"host": [k for k, _ in counts], "subtree": pd.array([h for _, h in counts], dtype="Int64"), "n": list(counts.values())})
+                root = parse(html)
+                own, outer = subtree_hashes(root)
+                keys = {(host, None, None), *((host, own[x], None) for x in outer)}
+                for top in tops(root):
+                    keys.add((host, None, own[id(top)]))
+                    keys.update((host, own[id(node)], beside) for node, beside in inner_parts(top) if beside is not None)
+                for k in keys:
+                    counts[k] = counts.get(k, 0) + 1
+            columns = [pd.array(x, dtype="Int64") for x in ([k[1] for k in counts], [k[2] for k in counts])]
+            yield pd.DataFrame({"host": [k[0] for k in counts], "subtree": columns[0], "beside": columns[1], "n": list(counts.values())})
 
     counts = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host <> ''")
-    counts = counts.mapInPandas(run, "host string, subtree bigint, n bigint").groupBy("host", "subtree").agg(F.sum("n").alias("n"))
+    counts = counts.mapInPandas(run, "host string, subtree bigint, beside bigint, n bigint").groupBy("host", "subtree", "beside").agg(F.sum("n").alias("n"))
+    inside = F.col("beside").isNotNull()
+    counts = counts.groupBy("host", "subtree", inside.alias("inside")).agg(F.sum(F.when(inside, F.lit(1)).otherwise(F.col("n"))).alias("n"))
     counts = materialize(counts, "subtrees")
-    hosts = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    many = counts.where("subtree is not null").join(hosts, "host").where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
-    return many.groupBy("host").agg(F.collect_set("subtree").alias("subtrees"))
+    hosts = counts.where("subtree is null").select("host", "inside", F.col("n").alias("whole"))
+    many = counts.where("subtree is not null").join(hosts, ["host", "inside"]).where((F.col("n") >= least) & (F.col("n") >= share * F.col("whole")))
+    sets = [F.collect_set(F.when(F.col("inside") == F.lit(x), F.col("subtree"))).alias(name) for x, name in ((False, "subtrees"), (True, "inner"))]
+    return many.groupBy("host").agg(*sets)
 
 
 def extract(pages: DataFrame, share: float = PAGE_SHARE, least: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Null or empty html gives an empty text, as does a page without text; a null or odd url has no host and no
-    templates; repeated rows each give a row (and count as pages of their host); an empty table gives no rows. What stands inside an article or main element
-    is never taken for a template's, as copies of an article on one site would else lose their text."""
+    templates; repeated rows each give a row (and count as pages of their host); an empty table gives no rows. Copies
+    of an article on one site keep their text, as an article counts once for the parts that recur in articles."""
     own = templates(pages, share, least)
 
     @F.pandas_udf(T.StringType())
-    def run(html: pd.Series, subtrees: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, set() if s is None else set(map(int, s))) for h, s in zip(html, subtrees, strict=True)], dtype=object)
+    def run(html: pd.Series, subtrees: pd.Series, inner: pd.Series) -> pd.Series:
+        whole = lambda s: set() if s is None else set(map(int, s))
+        return pd.Series([main_text(h, whole(s), whole(i)) for h, s, i in zip(html, subtrees, inner, strict=True)], dtype=object)
 
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host")).join(own, "host", "left")
-    rows = rows.select("page_id", "url", run("html", "subtrees").alias("text"))
+    rows = rows.select("page_id", "url", run("html", "subtrees", "inner").alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))

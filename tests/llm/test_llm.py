@@ -283,6 +283,29 @@ def test_templates_go(spark):
     assert got == {i: f"Own text {i}" for i in range(12)} | {99: "", 98: "q"}
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_templates_in_articles_go(spark, tag):
+    page = lambda i, text: f"<body><{tag}><h1>T{i}</h1><p>{text}</p><div class='x{i % 2}7'>Read our app <b>now</b></div></{tag}></body>"
+    own = {i: f"Own words of page {i} and <b>the same</b> ones" for i in range(12)}
+    copied = "A long text that stands on many pages of this site, " * 9
+    rows = [(i, f"http://a.example.com/{i}", page(0, t).replace("T0", f"T{i}")) for i, t in own.items()]
+    # copies of one article, some with another date, and edited copies: their paragraphs stay
+    rows += [(100 + i, f"http://b.example.com/{i}", f"<{tag}><div><p>{copied}</p></div><time>{i}.1.2020</time></{tag}>") for i in range(8)]
+    rows += [(200 + i, f"http://c.example.com/{i}", f"<{tag}><p>Short but the same</p><p>{copied}</p><p>n {i}</p></{tag}>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = {i: f"T{i}\n\nOwn words of page {i} and the same ones" for i in own}
+    want |= {100 + i: f"{copied.strip()}\n\n{i}.1.2020" for i in range(8)} | {200 + i: f"Short but the same\n\n{copied.strip()}\n\nn {i}" for i in range(8)}
+    assert got == want
+
+
+def test_articles_are_chosen_after_the_deletion():
+    page = "<main><p>Text of the page</p><article><div>Always here</div></article></main>"
+    root = html.parse(page)
+    own, _ = html.subtree_hashes(root)
+    inner = {own[id(root.children[0].children[1].children[0])]}
+    assert html.main_text(page, set()) == "Always here" and html.main_text(page, set(), inner) == "Text of the page"
+
+
 # op6
 
 
