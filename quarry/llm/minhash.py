@@ -21,7 +21,7 @@ SIMILAR = 0.8
 #: A pair of weighted Jaccard 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Buckets of up to so many texts are compared pair by pair; larger ones are cut by so many of the following bands.
+#: Buckets of up to so many texts are compared pair by pair at once; larger ones are cut by so many of the following bands first.
 SMALL, NEXT = 8, 4
 #: Shingles whose processes run side by side in a task.
 BLOCK = 200_000
@@ -114,8 +114,13 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def marks(signature: np.ndarray) -> np.ndarray:
+    """A byte for each slot of each signature, eight in a number."""
+    return (mix(signature.astype(np.float32).view(np.uint32).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).view(np.int64)
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, content (digest of the words), n (shingles), bands of each row."""
+    """doc_id, content (digest of the words), n (shingles), bands, marks of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -127,10 +132,11 @@ def sign(docs: DataFrame) -> DataFrame:
                     bags.append(shingles(words))
                     contents.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
                     total, at = total + len(bags[-1]), at + 1
-                yield pd.DataFrame({"doc_id": ids[start:at], "content": contents, "n": [len(x) for x in bags], "bands": list(bands(signatures(bags)))})
+                own = signatures(bags)
+                yield pd.DataFrame({"doc_id": ids[start:at], "content": contents, "n": [len(x) for x in bags], "bands": list(bands(own)), "marks": list(marks(own))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, content binary, n bigint, bands array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, content binary, n bigint, bands array<bigint>, marks array<bigint>")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -165,16 +171,19 @@ def verify(pairs: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFra
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b): texts (doc_id, bands) that share a band, in numbers that grow with the texts.
+def buckets(distinct: DataFrame) -> DataFrame:
+    """id, i, bucket, size: the buckets of more than one text (doc_id, bands)."""
+    one = distinct.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("i", "bucket"))
+    size = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return one.join(size, "bucket")
+
+
+def candidates(distinct: DataFrame, one: DataFrame) -> DataFrame:
+    """(a, b): texts (doc_id, bands) that share a band (one: their buckets()), in numbers that grow with the texts.
 
     All pairs of a bucket of up to SMALL texts; in a larger one each text with the most central one, the one with the
     most companions over its large buckets. Larger buckets are also cut by each of the NEXT following bands, and their parts
-    treated in the same way: texts that are similar share many such parts, which are small unless all of a part is much
-    alike, and then its hub links it."""
-    one = distinct.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("i", "bucket"))
-    size = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    one = materialize(one.join(size, "bucket"), "buckets")
+    treated in the same way: this joins most of the texts that are alike. What it leaves apart is for across()."""
     # only texts in large buckets carry their other bands along, and how many companions they have
     large = one.where(F.col("size") > SMALL).groupBy("id").agg(F.collect_list(F.struct("i", "bucket")).alias("own"), F.sum("size").alias("central"))
     parts = F.flatten(F.transform("own", lambda x: F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda k: F.xxhash64(x["bucket"], F.element_at("bands", (x["i"] + k) % BANDS + 1)))))
@@ -191,6 +200,38 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return few.select(F.inline(pair)).unionByName(star).distinct()
 
 
+def equal_slots(x: str, y: str):
+    """The number of equal bytes of two columns of marks."""
+
+    def equal(k: int):
+        d = F.col(x)[k].bitwiseXOR(F.col(y)[k])
+        # a byte's lowest bit is set where any of its bits is
+        for by, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, by).bitwiseAND(F.lit(mask)))
+        return F.lit(8) - F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return sum((equal(k) for k in range(1, SLOTS // 8)), equal(0))
+
+
+def across(distinct: DataFrame, one: DataFrame, label: DataFrame, done: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of large buckets that `done` lacks and that could still join two components of `label`.
+
+    A bucket of one component has none; else each text outside the bucket's largest component is paired with those of
+    all others. A pair is ruled out by numbers of shingles that differ too much for an overlap of `least`, or by
+    signatures with fewer equal slots than one of `least` has, by 7 standard deviations (probability < 1e-8)."""
+    own = one.where(F.col("size") > SMALL).select("id", "bucket").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    top = parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    own = materialize(own.join(top, "bucket").join(distinct.select(F.col("doc_id").alias("id"), "n", "marks"), "id"), "apart")
+    x, y = (own.select(F.col("bucket").alias(f"bucket_{z}"), F.col("id").alias(z), F.col("n").alias(f"n_{z}"), F.col("component").alias(f"c_{z}"), F.col("marks").alias(f"m_{z}"), "top") for z in "xy")
+    x = x.where("c_x <> top").drop("top")
+    other = F.expr("bucket_x = bucket_y and c_x <> c_y and (c_y = top or x < y)")
+    alike = F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y") - 1e-6
+    slots = equal_slots("m_x", "m_y") >= int(SLOTS * least - 7 * (SLOTS * least * (1 - least)) ** 0.5)
+    met = x.join(y, other & alike & slots).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.join(done, ["a", "b"], "left_anti")
+
+
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), n_shingles of each row with a doc_id.
 
@@ -199,15 +240,24 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     ones too) are one class. Rows that repeat a doc_id and words give a row each; rows with a null doc_id are left out;
     an empty table gives no rows.
 
-    Signatures find candidates (see candidates()), whose whole texts are compared."""
+    Signatures find candidates (see candidates()), whose whole texts are compared; then all pairs that share a band and
+    are still in different components (see across()), so that no two texts that share a band are left apart wrongly."""
     docs = docs.where(F.col("doc_id").isNotNull())
     signed = materialize(sign(docs), "signatures")
-    distinct = signed.groupBy("content").agg(F.min_by(F.struct("doc_id", "n", "bands"), "doc_id").alias("m")).select(F.col("content"), "m.*")
+    distinct = signed.groupBy("content").agg(F.min_by(F.struct("doc_id", "n", "bands", "marks"), "doc_id").alias("m")).select(F.col("content"), "m.*")
     distinct = materialize(distinct, "distinct")
-    pairs = materialize(candidates(distinct.where("n > 0")), "pairs")
+    worded = distinct.where("n > 0")
+    one = materialize(buckets(worded), "buckets")
+    pairs = materialize(candidates(worded, one), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = materialize(packed(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    label = components(verify(pairs, texts, least).select("a", "b"))
+    links = materialize(verify(pairs, texts, least).select("a", "b"), "found")
+    label = components(links)
+    rest = materialize(across(worded, one, label, pairs, least), "rest")
+    if not rest.isEmpty():
+        more = materialize(verify(rest, texts, least).select("a", "b"), "found")
+        if not more.isEmpty():
+            label = components(links.unionByName(more))
 
     final = distinct.select("content", F.col("doc_id").alias("id")).join(label, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"))
     return signed.select("doc_id", "content", F.col("n").alias("n_shingles")).join(final, "content").select("doc_id", "class_id", "n_shingles")

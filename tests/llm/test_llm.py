@@ -245,6 +245,30 @@ def test_classes_of_a_large_group(spark):
     assert sum(got[d] == want[d] for d in want) >= len(want) - 1
 
 
+def test_classes_of_large_groups_are_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(300)]
+        for _ in range(150):
+            w = list(base)
+            # around the limit of 0.8: many pairs are linked only over others
+            for _ in range(rng.randint(3, 9)):
+                w[rng.randint(0, 299)] = f"n{rng.randint(0, 10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    got = {d: r["class_id"] for d, r in by_id(minhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))).items()}
+    assert got == brute_classes(dict(rows))
+
+
+def test_equal_slots(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (40, minhash.SLOTS)).astype(np.uint8)
+    b = np.where(rng.random(a.shape) < 0.4, a, rng.integers(0, 256, a.shape)).astype(np.uint8)
+    rows = [(i, x.view(np.int64).tolist(), y.view(np.int64).tolist()) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    got = spark.createDataFrame(rows, "i int, x array<bigint>, y array<bigint>").select("i", minhash.equal_slots("x", "y").alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == dict(enumerate((a == b).sum(1).tolist()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
