@@ -12,10 +12,10 @@ from quarry.llm.common import materialize, words_of
 
 BITS = 128
 SHINGLE = 5
-#: Fingerprints at most this many bits apart count as near.
-RADIUS = 3
+#: Fingerprints at most this many bits apart count as near: the mean distance at a shingle Jaccard of 0.8.
+RADIUS = 19
 #: Blocks of a fingerprint; at least BLOCKS - RADIUS of them are equal in near ones.
-BLOCKS = 5
+BLOCKS = 20
 #: Ranges of doc_id in which neighbours are looked up.
 RANGES = 4096
 
@@ -94,25 +94,25 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (high_a, low_a, high_b, low_b) of different fingerprints at most `radius` bits apart, each once.
 
     prints: columns high, low. Each fingerprint stands in one table for every choice of BLOCKS - radius blocks, keyed
-    by them; near ones agree in at least so many blocks, so they meet in some table."""
+    by them; near ones agree in at least so many blocks, so they meet in some table. Distances are taken as part of
+    the join, so that only near pairs leave it."""
     distinct = prints.select("high", "low").distinct()
     parts = blocks_of("high", "low")
     tables = [F.concat_ws(":", F.lit(str(t)), *[parts[k] for k in chosen]) for t, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - radius))]
-    keyed = distinct.select("high", "low", F.explode(F.array(*[F.xxhash64(t) for t in tables])).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    keyed = materialize(keyed.join(shared, "key"), "blocks")
-    a, b = (keyed.select("key", F.col("high").alias(f"high_{x}"), F.col("low").alias(f"low_{x}")) for x in "ab")
-    near = a.join(b, "key").where("high_a < high_b or (high_a = high_b and low_a < low_b)")
+    keyed = materialize(distinct.select("high", "low", F.explode(F.array(*[F.xxhash64(t) for t in tables])).alias("key")), "blocks")
+    a, b = (keyed.select(F.col("key").alias(f"key_{x}"), F.col("high").alias(f"high_{x}"), F.col("low").alias(f"low_{x}")) for x in "ab")
     apart = F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b"))) + F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b")))
-    return near.where(apart <= radius).select("high_a", "low_a", "high_b", "low_b").distinct()
+    once = F.expr("high_a < high_b or (high_a = high_b and low_a < low_b)")
+    return a.join(b, (F.col("key_a") == F.col("key_b")) & (apart <= radius) & once).select("high_a", "low_a", "high_b", "low_b").distinct()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near of each row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near, class_id, n_same, near_ids of each row.
 
     The edited text has its last third replaced from the start of the next row's text. near_edited and near_next are
     likenesses (0 to 1) of the fingerprint to those of the edited and of the next text; n_near is the number of other
-    fingerprints within RADIUS bits. A null text is empty; a text without words has the fingerprint 0; rows that
+    fingerprints within RADIUS bits. Rows of equal fingerprints are a class: class_id is its least doc_id, n_same its
+    number of other rows; near_ids are the class_ids of the fingerprints within RADIUS bits, in order. A null text is empty; a text without words has the fingerprint 0; rows that
     repeat a doc_id follow each other in order of their texts; null doc_ids come last; one row alone is its own next; an
     empty table gives no rows."""
     rows = neighbours(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
@@ -137,10 +137,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited_sha = F.lower(F.concat(*[F.lpad(F.hex(c), 15 if k < len(sha) - 1 else 64 % 15, "0") for k, c in enumerate(sha)]))
     changed = marks.where("is_edited").select("rid", edited_sha.alias("edited_sha256"), F.col("high").alias("e_high"), F.col("low").alias("e_low"))
     of_text = own.groupBy(F.col("own").alias("next")).agg(F.first("high").alias("n_high"), F.first("low").alias("n_low"))
-    pairs = near_pairs(own)
-    ends = pairs.select(F.col("high_a").alias("high"), F.col("low_a").alias("low")).union(pairs.select("high_b", "low_b"))
-    near = ends.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n_near"))
-    done = own.join(changed, "rid").join(of_text, "next", "left").join(near, ["high", "low"], "left")
+    same = materialize(own.groupBy("high", "low").agg(F.min("doc_id").alias("class_id"), (F.count(F.lit(1)) - 1).alias("n_same")), "classes")
+    pairs = near_pairs(same)
+    ends = pairs.select(F.col("high_a").alias("high"), F.col("low_a").alias("low"), F.col("high_b").alias("o_high"), F.col("low_b").alias("o_low")).union(pairs.select("high_b", "low_b", "high_a", "low_a"))
+    other = same.select(F.col("high").alias("o_high"), F.col("low").alias("o_low"), F.col("class_id").alias("other_id"))
+    near = ends.join(other, ["o_high", "o_low"]).groupBy("high", "low").agg(F.count(F.lit(1)).alias("n_near"), F.array_sort(F.collect_list("other_id")).alias("near_ids"))
+    done = own.join(changed, "rid").join(of_text, "next", "left").join(same.join(near, ["high", "low"], "left"), ["high", "low"])
     h, l = F.col("high"), F.col("low")  # noqa: E741
     return done.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(h, l).alias("fingerprint"),
@@ -148,4 +150,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         likeness([h, l], [F.col("e_high"), F.col("e_low")]).alias("near_edited"),
         likeness([h, l], [F.col("n_high"), F.col("n_low")]).alias("near_next"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        "class_id", "n_same", F.coalesce("near_ids", F.array().cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>")).alias("near_ids"),
     )

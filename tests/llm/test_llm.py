@@ -424,6 +424,18 @@ def test_permuted_tables_find_all_near_ones(spark):
     assert got == {frozenset((a, b)) for i, a in enumerate(every) for b in every[:i] if (a ^ b).bit_count() <= simhash.RADIUS}
 
 
+def test_near_rows_are_named(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(1000)]
+    edited = [*base[:500], "changed", *base[501:]]
+    other = [f"v{rng.randint(0, 10**6)}" for _ in range(1000)]
+    rows = [(4, " ".join(base)), (2, " ".join(edited)), (9, " ".join(base)), (5, " ".join(other)), (7, " ".join([*base[:100], "x", *base[101:300], "y", *base[301:700], "z", *base[701:]]))]
+    got = by_id(simhash.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {d: (r["class_id"], r["n_same"], r["near_ids"], r["n_near"]) for d, r in got.items()} == {
+        4: (4, 1, [2, 7], 2), 9: (4, 1, [2, 7], 2), 2: (2, 0, [4, 7], 2), 7: (7, 0, [2, 4], 2), 5: (5, 0, [], 0),
+    }
+
+
 # odd rows
 
 
