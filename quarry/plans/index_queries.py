@@ -327,6 +327,14 @@ def _cosine(spark, sf):
     return a.join(e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb")), "label").where("a < b").select("a", "b", F.round(dedup.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
 
 
+@query("G06_cosine_all_rows", f"WITH {QV} SELECT a.vec_id AS a, b.vec_id AS b, round({VECTOR}, 6) AS similarity FROM q a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id")
+def _cosine_all(spark, sf):
+    """Each query vector with all others of its label, whereas G06_cosine takes those of larger ids."""
+    e = table(spark, sf, "embeddings")
+    a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va"))
+    return a.join(e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb")), "label").where("a <> b").select("a", "b", F.round(dedup.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+
+
 @query("G07_related_topk", f"WITH {X.TAGS}, {TAG_ROWS}, {PAIRS}, {BOTH} SELECT id, other, shared, r FROM rl")
 def _topk(spark, sf):
     return links.related(links.shared_tag_pairs(tag_rows(spark, sf)), "shared")

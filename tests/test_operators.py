@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking, redact
-from quarry.plans import ingest_queries
+from quarry.plans import ingest_queries, registry
 from quarry.sources import files
 from quarry.streaming import streams
 
@@ -123,3 +123,10 @@ def test_csv_drop_stream(spark, tmp_path):
     q = streams.csv_drops(spark, str(tmp_path / "in"), _parse_datatype_string(schema), None, lambda df, _: seen.extend(r["key"] for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted(seen) == ["k1", "k2"]
+
+
+def test_each_query_vector_meets_all_of_its_label(spark, tmp_path):
+    rows = [(i, [float(i % 5 + 1), 1.0], i % 2) for i in range(45)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["a"], r["b"]) for r in registry.QUERIES["G06_cosine_all_rows"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a in (0, 20, 40) for b in range(0, 45, 2) if a != b}
