@@ -37,7 +37,7 @@ def _addresses(spark, sf):
 
 @query("E04_prune_near_dup_versions", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, sha256(substr(text, 1, 20000)) ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1")
 def _versions(spark, sf):
-    return dedup.first_of(X.documents(spark, sf), ["source", F.sha2(F.substring("text", 1, 20_000), 256)], F.desc("doc_id")).select("doc_id")
+    return dedup.first_of(X.documents(spark, sf), ["source", F.sha2("text", 256)], F.desc("doc_id")).select("doc_id")
 
 
 @query("E11_learned_static_kb", f"WITH {QV}, k AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}]{{3,}}'))) AS words FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}]{{3,}}')) AS words FROM documents WHERE doc_id % 20 = 0), m AS (SELECT doc_id, item_id, len(list_intersect(d.words, k.words)) AS shared FROM d, k) SELECT doc_id, item_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, item_id) AS r FROM m WHERE shared >= 3) WHERE r = 1")

@@ -125,6 +125,14 @@ def test_csv_drop_stream(spark, tmp_path):
     assert sorted(seen) == ["k1", "k2"]
 
 
+def test_versions_are_compared_whole(spark, tmp_path):
+    start = "word " * 5000
+    rows = [(1, start + "a", "s"), (2, start + "b", "s"), (3, start + "b", "s"), (4, start + "b", "t")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["E04_prune_near_dup_versions"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3, 4]
+
+
 def test_each_query_vector_meets_all_of_its_label(spark, tmp_path):
     rows = [(i, [float(i % 5 + 1), 1.0], i % 2) for i in range(45)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
