@@ -26,8 +26,11 @@ SPLIT = (
 #: The same split for texts without the characters of ODD, for the faster standard library module.
 PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 ODD = r"[^\x00-\x1b\x20-\x7e\u00c0-\u024f]"
-#: Pieces that a task remembers before it starts afresh; bounds its memory, not its results.
-REMEMBERED = 400_000
+#: Pieces of one generation of a task's memory. It holds two: when the young one is full the old one goes, and a piece
+#: that is met again moves to the young one. This bounds the memory, not the results.
+REMEMBERED = 200_000
+#: The lower bits of a queue entry, which hold the place in the piece.
+PLACE = 40
 
 
 def byte_letters() -> list[str]:
@@ -46,10 +49,12 @@ class Codec:
         back = {c: b for b, c in enumerate(letters)}
         vocab = data["model"]["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"])
-        #: (left id, right id) -> (rank, merged id); a rank has one merged id, so ties go by position
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: left id << 32 | right id -> rank, and what the merge of each rank gives
+        self.merges: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, (a, b) in enumerate(pairs):
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.merges.setdefault(vocab[a] << 32 | vocab[b], rank)
+            self.merged.append(vocab[a + b])
         self.of_byte = [vocab.get(c) for c in letters]
         self.strings = {i: bytes(back[c] for c in s) for s, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
@@ -58,31 +63,37 @@ class Codec:
         self.pieces = regex.compile(SPLIT).findall
         self.string_of = {str(i): s for i, s in self.strings.items()}
         self.plain_pieces, self.odd = re.compile(PLAIN_SPLIT).findall, re.compile(ODD).search
-        self.known: dict[str, str] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one piece."""
+        """The ids of one piece. The queue holds rank << PLACE | place of the left symbol; an entry is stale if the pair
+        that now starts there has another rank."""
         ids = [i for b in piece if (i := self.of_byte[b]) is not None]
-        n, get = len(ids), self.merges.get
-        queue = [(*m, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (m := get((a, b)))]
+        n, get, merged = len(ids), self.merges.get, self.merged
+        queue = [rank << PLACE | i for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (rank := get(a << 32 | b)) is not None]
         if not queue:
             return ids
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        # -1 stands before the first and after the last symbol; no pair has it
+        before, after, place = list(range(-1, n)), list(range(1, n + 1)), (1 << PLACE) - 1
+        ids.append(-1)
         push, pop = heapq.heappush, heapq.heappop
         heapq.heapify(queue)
         while queue:
-            _, merged, i, a, b = pop(queue)
+            least = pop(queue)
+            i, rank = least & place, least >> PLACE
             j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            if get(ids[i] << 32 | ids[j]) != rank:
                 continue  # stale: a neighbour has merged since
-            ids[i], ids[j] = merged, -1
+            own = ids[i] = merged[rank]
+            ids[j] = -1
             after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if m := get((merged, ids[k])):
-                    push(queue, (*m, i, merged, ids[k]))
-            if (h := before[i]) >= 0 and (m := get((ids[h], merged))):
-                push(queue, (*m, h, ids[h], merged))
+            before[k] = i
+            if (rank := get(own << 32 | ids[k])) is not None:
+                push(queue, rank << PLACE | i)
+            h = before[i]
+            if (rank := get(ids[h] << 32 | own)) is not None:
+                push(queue, rank << PLACE | h)
         return [i for i in ids if i >= 0]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
@@ -92,22 +103,27 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
     def remember(self, piece: str) -> str:
-        """The ids of a piece, as text."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[piece] = found = ",".join(map(str, self.merge(piece.encode("utf-8"))))
+        """The ids of a piece that the young generation lacks, as text."""
+        found = self.old.get(piece)
+        if found is None:
+            found = ",".join(map(str, self.merge(piece.encode("utf-8"))))
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        self.young[piece] = found
         return found
 
     def ids_text(self, text: str) -> str:
         """The ids of a whole text, joined by commas."""
         found: list[str] = []
-        get, remember = self.known.get, self.remember
+        remember = self.remember
         for k, span in enumerate(self.at_added.split(text) if self.at_added else [text]):
             if k % 2:
                 found.append(str(self.added[span]))
             elif span:
                 cut = self.pieces(span) if self.odd(span) else self.plain_pieces(span)
-                found += [get(p) or remember(p) for p in cut]
+                for at in range(0, len(cut), 100_000):
+                    get = self.young.get
+                    found += [get(p) or remember(p) for p in cut[at : at + 100_000]]
         return ",".join([x for x in found if x])
 
     def encode(self, text: str) -> list[int]:

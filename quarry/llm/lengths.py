@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe
+from quarry.llm.common import materialize
 
 #: Lengths of one block of the two-level sums.
 BLOCK = 1024
@@ -73,5 +74,6 @@ def quantile(sums: DataFrame, share: float) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """totals() over the encoded lengths of every whole text; a null or empty text has length 0."""
-    return totals(histogram(bpe.lengths(docs, path)))
+    """totals() over the encoded lengths of every whole text; a null or empty text has length 0. The histogram, one row for
+    each length, is written once, as totals() reads it twice. Rows that repeat each count; other columns are left out."""
+    return totals(materialize(histogram(bpe.lengths(docs, path)), "lengths"))
