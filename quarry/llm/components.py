@@ -1,4 +1,4 @@
-"""Connected components of a table of links, without collecting it."""
+"""Connected components of a table of links, without collecting it, and the buckets that could still join some."""
 
 from __future__ import annotations
 
@@ -24,3 +24,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if after.where("next <> component").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def apart(members: DataFrame, label: DataFrame) -> DataFrame:
+    """members (id, bucket) with component and top, only of buckets in which more than one component is left; top is the
+    component with most members there. label: id, component; an id that it lacks is its own component."""
+    own = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    top = parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    return own.join(top, "bucket")

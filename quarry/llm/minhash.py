@@ -1,4 +1,6 @@
-"""MinHash near-duplicates of word shingles as multisets: BagMinHash signatures, bands, exact overlap, classes."""
+"""MinHash near-duplicates of word shingles as multisets: BagMinHash signatures, bands, exact overlap, classes.
+
+Texts are known by the digest of their words (id), so rows that share a doc_id or have none are told apart."""
 
 from __future__ import annotations
 
@@ -8,43 +10,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
-from quarry.llm.components import components
+from quarry.llm.common import GOLDEN as _G
+from quarry.llm.common import Hashes, id_key, materialize, mix, text_key, zipped
+from quarry.llm.components import apart, components
 
 SHINGLE = 5
 SIMILAR = 0.8
 #: A pair of weighted Jaccard 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Buckets of up to so many texts are compared pair by pair at once; larger ones are cut by so many of the following bands first.
-SMALL, NEXT = 8, 4
+#: Buckets of up to so many texts are compared pair by pair at once; larger ones through hubs first, see classes().
+SMALL = 8
+#: Turns in which texts that are still apart meet another hub, before all pairs that are left.
+TURNS = 2
 #: Shingles whose processes run side by side in a task.
 BLOCK = 200_000
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-_G = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 250_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_hashes = Hashes()
 
 
 def words_of(text: str | None) -> list[str]:
@@ -120,40 +106,29 @@ def marks(signature: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, content (digest of the words), n (shingles), bands, marks of each row."""
+    """doc_id, text_key, id (digest of the words), n (shingles), bands, marks of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, texts, at = b["doc_id"].tolist(), b["text"].tolist(), 0
+            texts, at = b["text"].tolist(), 0
             while at < len(texts):
-                bags, contents, start, total = [], [], at, 0
+                bags, ids, start, total = [], [], at, 0
                 while at < len(texts) and total < BLOCK:
                     words = words_of(texts[at])
                     bags.append(shingles(words))
-                    contents.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
+                    ids.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
                     total, at = total + len(bags[-1]), at + 1
-                own = signatures(bags)
-                yield pd.DataFrame({"doc_id": ids[start:at], "content": contents, "n": [len(x) for x in bags], "bands": list(bands(own)), "marks": list(marks(own))})
+                own, rows = signatures(bags), b.iloc[start:at]
+                yield pd.DataFrame({"doc_id": rows["doc_id"].array, "text_key": rows["text_key"].array, "id": ids, "n": [len(x) for x in bags], "bands": list(bands(own)), "marks": list(marks(own))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, content binary, n bigint, bands array<bigint>, marks array<bigint>")
-
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(run, f"doc_id {kind}, text_key binary, id binary, n bigint, bands array<bigint>, marks array<bigint>")
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed UTF-8 bytes of each text, to move less in a shuffle."""
 
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        z = zstandard.ZstdCompressor(level=1).compress
-        return pd.Series([z((t or "").encode("utf-8")) for t in texts], dtype=object)
-
-    return docs.select("doc_id", run(F.col("text").cast("string")).alias("text"))
-
-
-def verify(pairs: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) of doc ids whose whole texts (packed()) overlap by at least `least`, with their similarity."""
-    text = docs.select("doc_id", "text")
-    both = pairs.join(text.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(text.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) of ids whose whole texts (id, text: zipped) overlap by at least `least`."""
+    both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hub, bag = None, None
@@ -163,40 +138,28 @@ def verify(pairs: DataFrame, docs: DataFrame, least: float = SIMILAR) -> DataFra
             for x, y in zip(b["text_a"], b["text_b"], strict=True):
                 if hub is None or y != hub:
                     hub, bag = y, shingles(words(y))
-                found.append(overlap(shingles(words(x)), bag))
-            out = pd.DataFrame({"a": b["a"], "b": b["b"], "similarity": found})
-            yield out[out["similarity"] >= least]
+                found.append(overlap(shingles(words(x)), bag) >= least)
+            yield b.loc[found, ["a", "b"]]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, f"a {kind}, b {kind}, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
 
 
 def buckets(distinct: DataFrame) -> DataFrame:
-    """id, i, bucket, size: the buckets of more than one text (doc_id, bands)."""
-    one = distinct.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("i", "bucket"))
+    """id, bucket, size: the buckets of more than one text (id, bands)."""
+    one = distinct.select("id", F.explode("bands").alias("bucket"))
     size = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return one.join(size, "bucket")
+    return one.join(size, "bucket").select("id", "bucket", "size")
 
 
-def candidates(distinct: DataFrame, one: DataFrame) -> DataFrame:
-    """(a, b): texts (doc_id, bands) that share a band (one: their buckets()), in numbers that grow with the texts.
-
-    All pairs of a bucket of up to SMALL texts; in a larger one each text with the most central one, the one with the
-    most companions over its large buckets. Larger buckets are also cut by each of the NEXT following bands, and their parts
-    treated in the same way: this joins most of the texts that are alike. What it leaves apart is for across()."""
-    # only texts in large buckets carry their other bands along, and how many companions they have
-    large = one.where(F.col("size") > SMALL).groupBy("id").agg(F.collect_list(F.struct("i", "bucket")).alias("own"), F.sum("size").alias("central"))
-    parts = F.flatten(F.transform("own", lambda x: F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda k: F.xxhash64(x["bucket"], F.element_at("bands", (x["i"] + k) % BANDS + 1)))))
-    cut = large.join(distinct.select(F.col("doc_id").alias("id"), "bands"), "id").select("id", "central", F.explode(parts).alias("bucket"))
-    size = cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    cut = materialize(cut.join(size, "bucket"), "parts")
-
-    few = one.where(F.col("size") <= SMALL).select("id", "bucket").unionByName(cut.where(F.col("size") <= SMALL).select("id", "bucket"))
-    few = few.groupBy("bucket").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+def candidates(one: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of a bucket of up to SMALL texts; in a larger one each text with the most central one, that
+    with the most companions over its large buckets. Their number grows with the texts."""
+    few = one.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     pair = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    many = large.select("id", "central", F.explode("own.bucket").alias("bucket")).unionByName(cut.where(F.col("size") > SMALL).select("id", "central", "bucket"))
-    hub = many.groupBy("bucket").agg(F.max_by("id", F.struct("central", "id")).alias("hub"))
-    star = many.join(hub, "bucket").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    large = one.where(F.col("size") > SMALL)
+    central = large.groupBy("id").agg(F.sum("size").alias("central"))
+    hub = large.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("central", "id")).alias("hub"))
+    star = large.join(hub, "bucket").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     return few.select(F.inline(pair)).unionByName(star).distinct()
 
 
@@ -213,58 +176,86 @@ def equal_slots(x: str, y: str):
     return sum((equal(k) for k in range(1, SLOTS // 8)), equal(0))
 
 
-def across(distinct: DataFrame, one: DataFrame, label: DataFrame, done: DataFrame, least: float) -> DataFrame:
-    """(a, b): the pairs of large buckets that `done` lacks and that could still join two components of `label`.
+def possible(least: float):
+    """Whether texts x and y (n_x, m_x, n_y, m_y) may overlap by `least`: not if their numbers of shingles differ too much for
+    it (exact), nor if their signatures have fewer equal slots than such a pair has, by 7 standard deviations
+    (probability < 1e-8)."""
+    alike = F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y") - 1e-6
+    return alike & (equal_slots("m_x", "m_y") >= int(SLOTS * least - 7 * (SLOTS * least * (1 - least)) ** 0.5))
+
 
-    A bucket of one component has none; else each text outside the bucket's largest component is paired with those of
-    all others. A pair is ruled out by numbers of shingles that differ too much for an overlap of `least`, or by
-    signatures with fewer equal slots than one of `least` has, by 7 standard deviations (probability < 1e-8)."""
-    own = one.where(F.col("size") > SMALL).select("id", "bucket").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    top = parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    own = materialize(own.join(top, "bucket").join(distinct.select(F.col("doc_id").alias("id"), "n", "marks"), "id"), "apart")
+def plausible(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """The pairs that possible() doesn't rule out."""
+    x, y = (distinct.select(F.col("id").alias(z), F.col("n").alias(f"n_{s}"), F.col("marks").alias(f"m_{s}")) for z, s in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(possible(least)).select("a", "b")
+
+
+def stars(left: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each text outside its bucket's largest component with one text of that component, another one each turn."""
+    hub = left.where("component = top").groupBy("bucket").agg(F.max_by("id", F.xxhash64(F.lit(turn), "id")).alias("hub"))
+    return left.where("component <> top").join(hub, "bucket").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def across(left: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """(a, b): each text outside its bucket's largest component with those of all other components, where possible()."""
+    own = materialize(left.join(distinct.select("id", "n", "marks"), "id"), "apart")
     x, y = (own.select(F.col("bucket").alias(f"bucket_{z}"), F.col("id").alias(z), F.col("n").alias(f"n_{z}"), F.col("component").alias(f"c_{z}"), F.col("marks").alias(f"m_{z}"), "top") for z in "xy")
     x = x.where("c_x <> top").drop("top")
     other = F.expr("bucket_x = bucket_y and c_x <> c_y and (c_y = top or x < y)")
-    alike = F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y") - 1e-6
-    slots = equal_slots("m_x", "m_y") >= int(SLOTS * least - 7 * (SLOTS * least * (1 - least)) ** 0.5)
-    met = x.join(y, other & alike & slots).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return met.join(done, ["a", "b"], "left_anti")
+    return x.join(y, other & possible(least)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_shingles of each row with a doc_id.
+def labelled(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """doc_id, text_key, id, n, component of each row, where component is the id of the class.
 
-    Two texts are linked if their multisets of 5-word shingles overlap by at least `least`, or if their words are the
-    same; classes are the connected groups. Texts of 1 to 4 words are one shingle; texts without words (null and empty
-    ones too) are one class. Rows that repeat a doc_id and words give a row each; rows with a null doc_id are left out;
-    an empty table gives no rows.
-
-    Signatures find candidates (see candidates()), whose whole texts are compared; then all pairs that share a band and
-    are still in different components (see across()), so that no two texts that share a band are left apart wrongly."""
-    docs = docs.where(F.col("doc_id").isNotNull())
+    Signatures find the texts that share a band. Those of small buckets, and in large ones each with a hub, have their
+    whole texts compared. Texts of a large bucket that are still in different components meet other hubs in TURNS turns,
+    and then all texts of the other components. So no pair that shares a band is left uncompared but for those in one
+    component, and the number of pairs grows with the square only of texts that share bands and are not alike."""
     signed = materialize(sign(docs), "signatures")
-    distinct = signed.groupBy("content").agg(F.min_by(F.struct("doc_id", "n", "bands", "marks"), "doc_id").alias("m")).select(F.col("content"), "m.*")
-    distinct = materialize(distinct, "distinct")
+    first = F.min_by(F.struct("text_key", "n", "bands", "marks"), "text_key")
+    distinct = materialize(signed.groupBy("id").agg(first.alias("m")).select("id", "m.*"), "distinct")
     worded = distinct.where("n > 0")
     one = materialize(buckets(worded), "buckets")
-    pairs = materialize(candidates(worded, one), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = materialize(packed(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = materialize(verify(pairs, texts, least).select("a", "b"), "found")
+    some = distinct.join(one.select("id").distinct(), "id", "left_semi").select("id", "text_key")
+    texts = docs.select(text_key(F.col("text")).alias("text_key"), zipped(F.col("text").cast("string")).alias("text"))
+    texts = materialize(texts.join(some, "text_key").dropDuplicates(["text_key"]).select("id", "text"), "texts")
+
+    done = materialize(plausible(candidates(one), worded, least), "pairs")
+    links = materialize(verify(done, texts, least), "found")
     label = components(links)
-    rest = materialize(across(worded, one, label, pairs, least), "rest")
-    if not rest.isEmpty():
-        more = materialize(verify(rest, texts, least).select("a", "b"), "found")
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
+    for turn in range(TURNS + 1):
+        left = materialize(apart(one.where(F.col("size") > SMALL).select("id", "bucket"), label), "left")
+        if left.isEmpty():
+            break
+        asked = plausible(stars(left, turn), worded, least) if turn < TURNS else across(left, worded, least)
+        asked = materialize(asked.join(done, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(verify(asked, texts, least), "found")
+        if more.isEmpty():
+            continue
+        done, links = done.unionByName(asked), links.unionByName(more)
+        label = components(links)
+    final = distinct.select("id").join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return signed.select("doc_id", "text_key", "id", "n").join(final, "id")
 
-    final = distinct.select("content", F.col("doc_id").alias("id")).join(label, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"))
-    return signed.select("doc_id", "content", F.col("n").alias("n_shingles")).join(final, "content").select("doc_id", "class_id", "n_shingles")
+
+def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class; null if none has one), n_shingles of each row.
+
+    Two texts are linked if their multisets of 5-word shingles overlap by at least `least`, or if their words are the
+    same; classes are the connected groups. Texts of 1 to 4 words are one shingle; texts without words (null and empty
+    ones too) are one class; very long texts are compared whole. Rows that repeat a doc_id, with the same or with another
+    text, and rows with a null doc_id give a row each; other columns are left out; an empty table gives no rows."""
+    rows = materialize(labelled(docs, least), "labelled")
+    of = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(of, "component").select("doc_id", "class_id", F.col("n").alias("n_shingles"))
 
 
 def dedup(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The rows of docs that stand for their class, one for each; rows with a null doc_id stay as they are."""
-    kept = classes(docs, least).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    """One row of docs, with its own columns, for each class of classes(): that of the least doc_id (null last), of rows
+    with the same doc_id that of the least digest of its text, of rows that repeat both any one. An empty table gives no rows."""
+    rows = labelled(docs, least)
+    least_row = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), "text_key"))
+    kept = rows.groupBy("component").agg(least_row.alias("m")).select(id_key(F.col("m.doc_id")).alias("d_"), F.col("m.text_key").alias("t_"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), id_key(F.col("doc_id")).alias("d_"), text_key(F.col("text")).alias("t_"))
+    return own.join(kept, ["d_", "t_"], "left_semi").dropDuplicates(["d_", "t_"]).select("row_.*")

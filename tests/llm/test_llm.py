@@ -241,8 +241,17 @@ def test_classes_of_a_large_group(spark):
             w[rng.randint(0, 399)] = f"n{rng.randint(0, 10**9)}"
         rows.append((i, " ".join(w)))
     got = {d: r["class_id"] for d, r in by_id(minhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))).items()}
-    want = brute_classes(dict(rows))
-    assert sum(got[d] == want[d] for d in want) >= len(want) - 1
+    assert got == brute_classes(dict(rows))
+
+
+def test_repeated_and_null_ids_lose_no_text(spark):
+    long = [" ".join(f"{p}{k}" for k in range(30)) for p in "abc"]
+    rows = [(1, long[0], 1), (1, long[1], 2), (2, long[2], 3), (None, long[1] + " x", 4), (None, long[0].replace("a29", "y"), 5), (None, "lonely text", 6), (3, long[2], 7), (3, long[2], 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, row int")
+    kept = {r["row"] for r in minhash.dedup(df).collect()}
+    assert kept == {1, 2, 3, 6}
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in minhash.classes(df).collect())
+    assert got == [(0, 0), (0, 1), (0, 1), (1, 1), (1, 1), (2, 2), (3, 2), (3, 2)]
 
 
 def test_classes_of_large_groups_are_brute_force(spark):
@@ -410,30 +419,85 @@ def test_fingerprints(docs, texts):
     assert np.median([r["near_edited"] for r in got.values()]) > 0.5 > np.median([r["near_next"] for r in got.values()]) + 0.3
 
 
-def test_permuted_tables_find_all_near_ones(spark):
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def as_prints(spark, prints):
+    return spark.createDataFrame([(f"{x:032x}", signed(x >> 64), signed(x & (2**64 - 1))) for x in prints], "id string, high bigint, low bigint")
+
+
+def test_permuted_tables_find_all_near_ones(spark, monkeypatch):
     rng = random.Random(4)
     prints = set()
     for _ in range(60):
         x = rng.getrandbits(128)
-        prints |= {x} | {x ^ sum(1 << b for b in rng.sample(range(128), rng.randint(1, 5))) for _ in range(4)}
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    df = spark.createDataFrame([(signed(x >> 64), signed(x & (2**64 - 1))) for x in prints], "high bigint, low bigint")
-    mask = 2**64 - 1
-    got = {frozenset(((r[0] & mask) << 64 | r[1] & mask, (r[2] & mask) << 64 | r[3] & mask)) for r in simhash.near_pairs(df).collect()}
-    every = list(prints)
-    assert got == {frozenset((a, b)) for i, a in enumerate(every) for b in every[:i] if (a ^ b).bit_count() <= simhash.RADIUS}
+        prints |= {x} | {x ^ sum(1 << b for b in rng.sample(range(128), rng.randint(1, 6))) for _ in range(4)}
+    # a group around one fingerprint that fills buckets, with some of it connected only over others
+    x = rng.getrandbits(128)
+    prints |= {x ^ sum(1 << b for b in rng.sample(range(128), rng.randint(1, 7))) for _ in range(120)}
+    every = sorted(prints)
+    want = {frozenset((a, b)) for i, a in enumerate(every) for b in every[:i] if (a ^ b).bit_count() <= simhash.RADIUS}
+    got = {frozenset((int(r[0], 16), int(r[1], 16))) for r in simhash.near_pairs(as_prints(spark, prints)).collect()}
+    assert got == want
+    top = {x: x for x in every}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for pair in want:
+        a, b = sorted(map(find, pair))
+        top[b] = a
+    label = {int(r["id"], 16): int(r["component"], 16) for r in simhash.near_classes(as_prints(spark, prints)).collect()}
+    assert {x: label.get(x, x) for x in every} == {x: find(x) for x in every}
 
 
-def test_near_rows_are_named(spark):
+def test_fingerprint_bits(spark, texts):
+    """The votes of each bit, from the shingles' hashes alone."""
+    some = dict(sorted(texts.items())[:25]) | {10**6: "one two", 10**6 + 1: "a b c d e a b c d e a"}
+    rows = []
+    for d, t in some.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        rows += [(d, *(w[i : i + 5] + [None] * 5)[:5]) for i in range(max(len(w) - 4, min(len(w), 1)))]
+    cells = [f"w{k}" for k in range(5)]
+    hashed = spark.createDataFrame(rows, "d bigint, " + ", ".join(f"{c} string" for c in cells)).select("d", F.xxhash64(*cells), F.xxhash64(F.lit(7), *cells)).collect()
+    votes, n = defaultdict(lambda: [0] * 128), Counter()
+    for d, high, low in hashed:
+        n[d] += 1
+        for k, h in enumerate((high, low)):
+            for i in range(64):
+                votes[d][64 * k + i] += (h >> i) & 1
+    want = {d: "".join(f"{sum(1 << i for i in range(64) if 2 * votes[d][64 * k + i] > n[d]):016x}" for k in (0, 1)) for d in some}
+    got = by_id(simhash.fingerprints(spark.createDataFrame(list(some.items()), "doc_id bigint, text string")))
+    assert {d: r["fingerprint"] for d, r in got.items()} == want
+    order = sorted(some, reverse=True)
+    for i, d in enumerate(order):
+        r, after = got[d], got[order[(i + 1) % len(order)]]
+        like = lambda a, b: max(0.0, float(np.cos((int(a, 16) ^ int(b, 16)).bit_count() / 128 * np.pi)))
+        assert r["near_next"] == pytest.approx(like(r["fingerprint"], after["fingerprint"]))
+        assert r["near_edited"] == pytest.approx(like(r["fingerprint"], r["edited_fingerprint"]))
+
+
+def test_next_rows_with_gaps_and_outliers(spark):
+    rng = random.Random(9)
+    ids = sorted({*range(500), *(rng.randint(0, 10**6) for _ in range(300)), 10**15, -(10**12)})
+    rows = [(d, f"text {d}") for d in ids] + [(None, "none")]
+    got = simhash.neighbours(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = {f"text {d}": f"text {ids[i - 1]}" for i, d in enumerate(ids) if i} | {f"text {ids[0]}": "none", "none": f"text {ids[-1]}"}
+    assert {r["text"]: r["next_text"] for r in got} == want
+    assert len({(r["range"], r["nth"]) for r in got}) == len(rows) and len({r["range"] for r in got}) > 60
+
+
+def test_near_rows_are_a_class(spark):
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(1000)]
     edited = [*base[:500], "changed", *base[501:]]
     other = [f"v{rng.randint(0, 10**6)}" for _ in range(1000)]
-    rows = [(4, " ".join(base)), (2, " ".join(edited)), (9, " ".join(base)), (5, " ".join(other)), (7, " ".join([*base[:100], "x", *base[101:300], "y", *base[301:700], "z", *base[701:]]))]
+    rows = [(4, " ".join(base)), (2, " ".join(edited)), (9, " ".join(base)), (5, " ".join(other)), (7, " ".join([*base[:100], "x", *base[101:]])), (None, " ".join(other))]
     got = by_id(simhash.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")))
-    assert {d: (r["class_id"], r["n_same"], r["near_ids"], r["n_near"]) for d, r in got.items()} == {
-        4: (4, 1, [2, 7], 2), 9: (4, 1, [2, 7], 2), 2: (2, 0, [4, 7], 2), 7: (7, 0, [2, 4], 2), 5: (5, 0, [], 0),
-    }
+    assert {d: (r["class_id"], r["n_same"], r["n_class"]) for d, r in got.items()} == {4: (2, 1, 4), 9: (2, 1, 4), 2: (2, 0, 4), 7: (2, 0, 4), 5: (5, 1, 2), None: (5, 1, 2)}
 
 
 # odd rows
@@ -452,7 +516,8 @@ def test_odd_rows(odd, labels):
     for name in ("suffix", "toxicity", "quality", "bpe", "lm", "mix", "simhash"):
         assert sorted(r["doc_id"] is None or r["doc_id"] for r in got[name]) == sorted(r[0] is None or r[0] for r in ODD), name
     classes = {r["doc_id"]: r["class_id"] for r in got["classes"]}
-    assert classes == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5, 6: 6, 7: 5, 8: 8}
+    assert classes == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5, 6: 6, 7: 5, 8: 8, None: None}
+    assert classes[None] is None
     assert sorted((r["doc_id"] or 0) for r in got["dedup"]) == [0, 1, 2, 5, 6, 8]
     assert got["dedup"][0].asDict().keys() == odd.first().asDict().keys() == got["chosen"][0].asDict().keys() == got["suffix dedup"][0].asDict().keys()
     assert {r["doc_id"]: r["kept"] for r in got["quality"]}[3] is False
