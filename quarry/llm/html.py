@@ -1,5 +1,9 @@
-"""Main text of web pages: site templates are found by counting element subtrees per host, inside articles by the
-different articles that have them, then the article's blocks are read without templates and the page's furniture."""
+"""Main text of web pages: site templates are found by counting element subtrees per host, then the blocks that are left
+are read without the page's furniture.
+
+A subtree that recurs beside many different texts of the host is a template. So is each subtree in a slot, which is a
+place in the page (the tags and names down to it), if what the host's pages have there often recurs: a menu, an advert or
+a footer that is filled from a stock of texts goes also where its filling is met once."""
 
 from __future__ import annotations
 
@@ -15,10 +19,19 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import materialize
 
-#: A subtree is a template's if at least this share of the host's pages, and this many pages, have it.
-PAGE_SHARE = 0.3
+#: A subtree is a template's if it is met beside at least this many different texts of the host, and beside this share of
+#: them all: outside articles and inside.
 LEAST_PAGES = 4
-#: An article whose other text is shorter than this share of a subtree's text is a copy of that subtree, not one that has it as furniture.
+PAGE_SHARE = 0.05
+ARTICLE_SHARE = 0.3
+#: A slot is a template's if this share of its uses recur, this share of the host's pages use it, and no more than that share
+#: of the pages has its longest text there.
+SLOT_AGAIN = 0.08
+SLOT_SHARE = 0.3
+SLOT_LONGEST = 0.05
+#: Parts into which the pages of a host are dealt.
+SALT = 32
+#: A page or article whose other text is shorter than this share of a subtree's text is a copy of that subtree, not one that has it as furniture.
 OTHER_TEXT = 0.1
 
 #: HTML element groups.
@@ -42,6 +55,8 @@ FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments reply replies respond disqus discussion share sharing social "
     "related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager widget search contentinfo complementary dialog skip".split()
 )
+#: Elements whose content is no text of the page.
+UNSEEN = frozenset("script style noscript iframe template svg canvas object head title".split())
 #: Elements that are not taken out of a list or table on their own.
 ITEMS = frozenset("li dt dd tr td th thead tbody tfoot caption".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
@@ -128,26 +143,27 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def subtree_hashes(root: Node) -> tuple[dict[int, int], set[int]]:
-    """The hash of each element's subtree (tag, names and text), by id of the node; and the ids of those with
+def subtree_hashes(root: Node) -> tuple[dict[int, int], dict[int, int]]:
+    """The hash of each element's subtree (tag, names and text), by id of the node; and the slots, by id, of those with
     text outside any article or main element and with none in them, which may be a template's."""
     own: dict[int, int] = {}
-    found: set[int] = set()
+    found: dict[int, int] = {}
     holders: set[int] = set()
-    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    todo: list[tuple[Node, bool, bool, int]] = [(root, False, False, 0)]
     while todo:
-        node, inside, done = todo.pop()
+        node, inside, done, above = todo.pop()
         inside = inside or node.tag in ("article", "main")
         if not done:
-            todo.append((node, inside, True))
-            todo += [(x, inside, False) for x in node.children if isinstance(x, Node)]
+            slot = signed(xxhash.xxh3_64_intdigest(f"{above:x}<{node.tag} {' '.join(node.names)}>"))
+            todo.append((node, inside, True, slot))
+            todo += [(x, inside, False, slot) for x in node.children if isinstance(x, Node)]
             continue
         parts = [f"{own[id(x)]:x}" if isinstance(x, Node) else " ".join(x.split()) for x in node.children]
         own[id(node)] = signed(xxhash.xxh3_64_intdigest(f"<{node.tag} {' '.join(node.names)}>" + "\x00".join(p for p in parts if p)))
         if node.tag in ("article", "main") or any(isinstance(x, Node) and id(x) in holders for x in node.children):
             holders.add(id(node))
-        elif not inside and any(parts) and node.tag not in ("#root", "html", "body", "head"):
-            found.add(id(node))
+        elif not inside and any(parts) and node.tag not in UNSEEN and node.tag not in ("#root", "html", "body"):
+            found[id(node)] = above
     return own, found
 
 
@@ -163,39 +179,24 @@ def tops(root: Node) -> list[Node]:
     return found
 
 
-def inner_parts(top: Node) -> list[tuple[Node, int | None]]:
-    """The subtrees with text in an article (or in a main element, beside its articles) that may be a template's:
-    blocks, and inline elements that aren't part of a sentence. Each with what tells the article apart from others
-    that have it too: the hash of its longest text outside the subtree; None if little else stands in the article."""
+def beside(top: Node, enter, able) -> tuple[list[tuple[Node, int | None, bool]], int]:
+    """The subtrees with text below `top` that `able` names, each with what tells this page or article apart from others
+    that have it too: the hash of the longest text of `top` outside the subtree, None if little else stands there; and
+    whether the longest text of all stands in it. Then that text's hash. enter(x) says whether x is read."""
     texts: list[str] = []
     spans: list[tuple[Node, int, int]] = []
-    todo: list[tuple[Node, bool, bool, int]] = [(top, False, False, -1)]
+    todo: list[tuple[Node, int]] = [(top, -1)]
     while todo:
-        node, able, closed, start = todo.pop()
+        node, start = todo.pop()
         if start >= 0:
-            if able:
+            if id(node) in able:
                 spans.append((node, start, len(texts)))
             continue
-        closed = closed or top.tag == "main" and node is not top and node.tag in ("article", "main")
         direct = " ".join(" ".join(x for x in node.children if isinstance(x, str)).split())
-        start = len(texts)
+        todo.append((node, len(texts)))
         if direct:
             texts.append(direct)
-        todo.append((node, able and not closed, closed, start))
-        for x in reversed(node.children):
-            if isinstance(x, Node) and not furniture(x, True):
-                todo.append((x, not closed and x.tag not in ITEMS and (x.tag in BLOCK or not direct), closed, -1))
-    if top.tag == "main":
-        holds = {id(x) for x in tops(top) if x is not top}
-        apart: set[int] = set()
-        pending: list[tuple[Node, list[int]]] = [(top, [])]
-        while pending:
-            node, above = pending.pop()
-            if id(node) in holds:
-                apart.update(above)
-            elif holds:
-                pending += [(x, [*above, id(node)]) for x in node.children if isinstance(x, Node)]
-        spans = [s for s in spans if id(s[0]) not in apart]
+        todo += [(x, -1) for x in reversed(node.children) if isinstance(x, Node) and enter(x)]
     sizes = [len(t) for t in texts]
     before, after, sums = [-1], [-1], [0]
     for k in range(len(texts)):
@@ -204,14 +205,47 @@ def inner_parts(top: Node) -> list[tuple[Node, int | None]]:
     for k in range(len(texts) - 1, -1, -1):
         after.append(k if after[-1] < 0 or sizes[k] >= sizes[after[-1]] else after[-1])
     after.reverse()
+    marks: dict[int, int] = {}
+
+    def mark(k: int) -> int:
+        if k not in marks:
+            marks[k] = signed(xxhash.xxh3_64_intdigest(texts[k]))
+        return marks[k]
+
     found = []
     for node, start, end in spans:
         within = sums[end] - sums[start]
         others = [k for k in (before[start], after[end]) if k >= 0]
         if within:
             much = others and sums[-1] - within >= OTHER_TEXT * within
-            found.append((node, signed(xxhash.xxh3_64_intdigest(texts[max(others, key=sizes.__getitem__)])) if much else None))
-    return found
+            found.append((node, mark(max(others, key=sizes.__getitem__)) if much else None, start <= before[-1] < end))
+    return found, mark(before[-1]) if texts else 0
+
+
+def outer_parts(root: Node, outer: dict[int, int]) -> tuple[list[tuple[Node, int | None, bool]], int]:
+    """beside() of the whole page, for the subtrees outside its articles."""
+    return beside(root, lambda x: x.tag not in UNSEEN, outer)
+
+
+def inner_parts(top: Node) -> list[tuple[Node, int | None, bool]]:
+    """beside() of an article (or of a main element, without its articles): blocks, and inline elements that aren't part of
+    a sentence."""
+    apart: set[int] = set()
+    able: set[int] = set()
+    holds = {id(x) for x in tops(top) if x is not top} if top.tag == "main" else set()
+    todo: list[tuple[Node, tuple[int, ...]]] = [(top, ())]
+    while todo:
+        node, above = todo.pop()
+        if id(node) in holds:
+            apart.update((id(node), *above))
+            continue
+        direct = any(isinstance(x, str) and x.strip() for x in node.children)
+        for x in node.children:
+            if isinstance(x, Node) and not furniture(x, True):
+                if x.tag not in ITEMS and (x.tag in BLOCK or not direct):
+                    able.add(id(x))
+                todo.append((x, (*above, id(x)) if holds else ()))
+    return beside(top, lambda x: not furniture(x, True), able - apart)[0]
 
 
 def blocks(node: Node, dropped: set[int]) -> list[str]:
@@ -247,16 +281,20 @@ def blocks(node: Node, dropped: set[int]) -> list[str]:
     return found
 
 
-def main_text(html: str | None, templates: set[int], inner: set[int] = frozenset()) -> str:
+NONE: frozenset[int] = frozenset()
+
+
+def main_text(html: str | None, templates: frozenset[int] | set[int] = NONE, inner: frozenset[int] | set[int] = NONE, slots: frozenset[int] | set[int] = NONE) -> str:
     """Text of the page's articles, else of its main element, else of the whole page, without furniture and
-    templates: subtrees outside of articles, and `inner` ones in them. What has no text without these is passed over."""
+    templates: subtrees and slots outside of articles, and `inner` subtrees in them. What has no text without these is
+    passed over."""
     root = parse(html)
     dropped: set[int] = set()
-    if templates or inner:
+    if templates or inner or slots:
         own, outer = subtree_hashes(root)
-        dropped = {x for x in outer if own[x] in templates}
+        dropped = {x for x, slot in outer.items() if slot in slots or own[x] in templates}
         if inner:
-            dropped |= {id(node) for top in tops(root) for node, _ in inner_parts(top) if own[id(node)] in inner}
+            dropped |= {id(node) for top in tops(root) for node, *_ in inner_parts(top) if own[id(node)] in inner}
     for top in (containers(root, "article"), containers(root, "main"), [root]):
         if text := "\n\n".join(t for x in top for t in blocks(x, dropped)):
             return text
@@ -267,51 +305,69 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def templates(pages: DataFrame, share: float = PAGE_SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """host, subtrees, inner: hashes of the subtrees that recur across many pages of the host outside articles, and
-    across many of its articles inside them. Articles count once for each different longest text beside the subtree,
-    so copies of an article don't make its parts a template. At most 1 / share times as many as a page has, so a
-    host's list is bounded whatever its number of pages."""
+def subtree_counts(pages: DataFrame) -> DataFrame:
+    """host, inside, slot, subtree, n: beside how many different texts of the host each subtree is met, outside articles
+    (with its slot) and inside. Rows without subtree count the pages whose longest text stands in the slot and, without slot,
+    the host's different pages and articles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            counts: dict[tuple[str, int | None, int | None], int] = {}
+            rows: set[tuple[str, bool, int | None, int | None, int]] = set()
             for host, html in zip(b["host"], b["html"], strict=True):
                 root = parse(html)
                 own, outer = subtree_hashes(root)
-                keys = {(host, None, None), *((host, own[x], None) for x in outer)}
+                parts, longest = outer_parts(root, outer)
+                rows.add((host, False, None, None, longest))
+                rows.update((host, False, outer[id(node)], own[id(node)], other) for node, other, _ in parts if other is not None)
+                rows.update((host, False, outer[id(node)], None, longest) for node, _, holds in parts if holds)
                 for top in tops(root):
-                    keys.add((host, None, own[id(top)]))
-                    keys.update((host, own[id(node)], beside) for node, beside in inner_parts(top) if beside is not None)
-                for k in keys:
-                    counts[k] = counts.get(k, 0) + 1
-            columns = [pd.array(x, dtype="Int64") for x in ([k[1] for k in counts], [k[2] for k in counts])]
-            yield pd.DataFrame({"host": [k[0] for k in counts], "subtree": columns[0], "beside": columns[1], "n": list(counts.values())})
-
-    counts = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host <> ''")
-    counts = counts.mapInPandas(run, "host string, subtree bigint, beside bigint, n bigint").groupBy("host", "subtree", "beside").agg(F.sum("n").alias("n"))
-    inside = F.col("beside").isNotNull()
-    counts = counts.groupBy("host", "subtree", inside.alias("inside")).agg(F.sum(F.when(inside, F.lit(1)).otherwise(F.col("n"))).alias("n"))
-    counts = materialize(counts, "subtrees")
-    hosts = counts.where("subtree is null").select("host", "inside", F.col("n").alias("whole"))
-    many = counts.where("subtree is not null").join(hosts, ["host", "inside"]).where((F.col("n") >= least) & (F.col("n") >= share * F.col("whole")))
-    sets = [F.collect_set(F.when(F.col("inside") == F.lit(x), F.col("subtree"))).alias(name) for x, name in ((False, "subtrees"), (True, "inner"))]
-    return many.groupBy("host").agg(*sets)
+                    rows.add((host, True, None, None, own[id(top)]))
+                    rows.update((host, True, None, own[id(node)], other) for node, other, _ in inner_parts(top) if other is not None)
+            host, inside, *numbers = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pd.DataFrame({"host": host, "inside": inside} | {c: pd.array(x, dtype="Int64") for c, x in zip(("slot", "subtree", "other"), numbers, strict=True)})
+
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host <> ''")
+    rows = rows.mapInPandas(run, "host string, inside boolean, slot bigint, subtree bigint, other bigint").distinct()
+    return rows.groupBy("host", "inside", "slot", "subtree").agg(F.count(F.lit(1)).alias("n"))
+
+
+def templates(pages: DataFrame, share: float = PAGE_SHARE, least: int = LEAST_PAGES) -> DataFrame:
+    """host, subtrees, inner, slots: hashes of what to delete on the host's pages. Subtrees are counted by the different
+    texts they stand beside, so copies of a page or article don't make its parts a template. A host has at most 1 / share
+    times as many subtrees as a page has, and as many slots as its pages have places that a share of them use, so its
+    row is bounded whatever its number of pages."""
+    counts = materialize(subtree_counts(pages), "subtrees")
+    whole = counts.where("subtree is null and slot is null").select("host", "inside", F.col("n").alias("whole"))
+    held = counts.where("subtree is null and slot is not null").select("host", "slot", F.col("n").alias("longest"))
+    counts = counts.where("subtree is not null").join(whole, ["host", "inside"])
+    of_host = F.when(F.col("inside"), ARTICLE_SHARE).otherwise(share)
+    many = counts.groupBy("host", "inside", "subtree").agg(F.sum("n").alias("n"), F.first("whole").alias("whole")).where((F.col("n") >= least) & (F.col("n") >= of_host * F.col("whole")))
+    places = counts.where("not inside").groupBy("host", "slot").agg(F.sum("n").alias("uses"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"), F.first("whole").alias("whole"))
+    places = places.join(held, ["host", "slot"], "left").where(F.coalesce("longest", F.lit(0)) <= SLOT_LONGEST * F.col("whole"))
+    places = places.where((F.col("uses") >= least) & (F.col("again") >= SLOT_AGAIN * F.col("uses")) & (F.col("uses") >= SLOT_SHARE * F.col("whole")))
+    kinds = many.select("host", F.when(F.col("inside"), "inner").otherwise("subtrees").alias("kind"), F.col("subtree").alias("mark"))
+    kinds = kinds.union(places.select("host", F.lit("slots"), "slot"))
+    return kinds.groupBy("host").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("mark"))).alias(k) for k in ("subtrees", "inner", "slots")])
 
 
 def extract(pages: DataFrame, share: float = PAGE_SHARE, least: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Null or empty html gives an empty text, as does a page without text; a null or odd url has no host and no
-    templates; repeated rows each give a row (and count as pages of their host); an empty table gives no rows. Copies
-    of an article on one site keep their text, as an article counts once for the parts that recur in articles."""
-    own = templates(pages, share, least)
+    templates; very long pages are read whole; repeated rows each give a row (and count once as pages of their host); other
+    columns are left out; an empty table gives no rows. Copies of an article on one site keep their text.
+
+    The templates' rows go out SALT-fold, so that pages of a host that has a third of all rows don't meet in one task
+    where Spark finds the table too large to broadcast."""
+    own = materialize(templates(pages, share, least), "templates")
+    own = own.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
 
     @F.pandas_udf(T.StringType())
-    def run(html: pd.Series, subtrees: pd.Series, inner: pd.Series) -> pd.Series:
-        whole = lambda s: set() if s is None else set(map(int, s))
-        return pd.Series([main_text(h, whole(s), whole(i)) for h, s, i in zip(html, subtrees, inner, strict=True)], dtype=object)
+    def run(html: pd.Series, subtrees: pd.Series, inner: pd.Series, slots: pd.Series) -> pd.Series:
+        whole = lambda s: NONE if s is None else frozenset(map(int, s))
+        return pd.Series([main_text(h, whole(s), whole(i), whole(p)) for h, s, i, p in zip(html, subtrees, inner, slots, strict=True)], dtype=object)
 
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host")).join(own, "host", "left")
-    rows = rows.select("page_id", "url", run("html", "subtrees", "inner").alias("text"))
+    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(own, ["host", "salt"], "left")
+    rows = rows.select("page_id", "url", run("html", "subtrees", "inner", "slots").alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -305,9 +305,9 @@ def test_main_text():
         "<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a>m</a></nav><article><h1>A &amp; B</h1><p><b>x  y<br><p>z&nbsp;&#233;<ul><li>1<li>2</ul>"
         "<script>var a='</p>';</script><div class='comments'><p>no</p></div></article><div class=\"ad\">buy</div><div class='cookie-notice'>c</div><footer>f</footer>"
     )
-    assert html.main_text(page, set()) == "A & B\n\nx y\n\nz é\n\n1\n\n2"
-    assert html.main_text(None, set()) == html.main_text("", set()) == html.main_text("<nav>x</nav>", set()) == ""
-    assert html.main_text("<p>a<div>b</div>c</p>", set()) == "a\n\nb\n\nc"
+    assert html.main_text(page) == "A & B\n\nx y\n\nz é\n\n1\n\n2"
+    assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
+    assert html.main_text("<p>a<div>b</div>c</p>") == "a\n\nb\n\nc"
 
 
 def test_templates_go(spark):
@@ -336,7 +336,51 @@ def test_articles_are_chosen_after_the_deletion():
     root = html.parse(page)
     own, _ = html.subtree_hashes(root)
     inner = {own[id(root.children[0].children[1].children[0])]}
-    assert html.main_text(page, set()) == "Always here" and html.main_text(page, set(), inner) == "Text of the page"
+    assert html.main_text(page) == "Always here" and html.main_text(page, inner=inner) == "Text of the page"
+
+
+def plain_pages(n, hosts=2):
+    """Pages without article, main or telling names: only counts can tell menus, adverts and footers from the text."""
+    rng = random.Random(12)
+    stock = [f"Stock line {k} about nothing" for k in range(6)]
+    rows, want = [], {}
+    for i in range(n):
+        words = lambda k: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(k))
+        own = [f"Title {words(4)}", words(40), words(25)]
+        menu = "".join(f"<div><a>{w}</a></div>" for w in rng.choice(stock).split())
+        rare = f"Only once {i}" if i % 9 == 0 else rng.choice(stock)
+        rows.append((i, f"http://h{i % hosts}.example.com/{i}", f"<body><div class='x1'>{menu}</div><div class='x2'>{rare}</div><div class='x3'><h1>{own[0]}</h1><p>{own[1]}</p><p>{own[2]}</p></div><div class='x4'>&copy; h{i % hosts} {rng.choice(stock)}</div></body>"))
+        want[i] = "\n\n".join(own)
+    return rows, want
+
+
+def test_slots_go(spark):
+    rows, want = plain_pages(80)
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
+def test_subtree_counts_are_brute_force(spark):
+    rows, _ = plain_pages(30)
+    rows += rows[:3]
+    seen = defaultdict(set)
+    for _, url, page in rows:
+        host = url.split("/")[2]
+        for block in re.findall(r"<div class='x[24]'>[^<]*</div>", page):
+            seen[host, block].add(max(re.findall(r">([^<]+)<", page), key=len))
+    root = {b: html.parse(f"<body>{b}</body>") for _, b in seen}
+    own = {b: html.subtree_hashes(r)[0][id(r.children[0].children[0])] for b, r in root.items()}
+    got = {(r["host"], r["subtree"]): r["n"] for r in html.subtree_counts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect() if r["subtree"] is not None}
+    assert {(h, b): got[h, own[b]] for h, b in seen} == {k: len(v) for k, v in seen.items()}
+
+
+def test_odd_pages(spark):
+    schema = "page_id bigint, url string, html string, host string, salt int, subtrees string, text string, slots string"
+    long = "<p>" + "long " * 50_000 + "</p>"
+    rows = [(1, None, None, "a", 1, "b", "c", "d"), (2, "http://a.example.com/", "", None, None, None, None, None), (3, "http://a.example.com/", long, "x", 2, "y", "z", "w"), (3, "http://a.example.com/", long, "x", 2, "y", "z", "w"), (None, "::", "<p>q", None, None, None, None, None)]
+    got = html.extract(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 1), (1, 0), (2, 0), (3, 249_999), (3, 249_999)]
+    assert html.extract(spark.createDataFrame([], schema)).count() == 0
 
 
 # op6
