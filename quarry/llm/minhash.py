@@ -27,6 +27,8 @@ SLOTS = BANDS * ROWS
 SMALL = 8
 #: Turns in which texts that are still apart meet another hub, before all pairs that are left.
 TURNS = 2
+#: Texts, and shingles in them, of one block of a large group, about.
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 60_000
 #: Shingles whose processes run side by side in a task.
 BLOCK = 200_000
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -49,11 +51,22 @@ def shingles(words: list[str]) -> np.ndarray:
     return out
 
 
+def numbered(bag: np.ndarray) -> frozenset[int]:
+    """A multiset as a set: the k-th occurrence of a shingle is an element of its own."""
+    bag = np.sort(bag)
+    first = np.flatnonzero(np.concatenate([[True], bag[1:] != bag[:-1]])) if len(bag) else np.zeros(0, np.int64)
+    nth = np.arange(len(bag)) - np.repeat(first, np.diff(np.concatenate([first, [len(bag)]])))
+    return frozenset((mix(bag + nth.astype(np.uint64) * _G) if nth.any() else mix(bag)).tolist())
+
+
+def alike(a: frozenset[int], b: frozenset[int]) -> float:
+    """Weighted Jaccard similarity of two numbered() multisets; 1 if both are empty."""
+    both = len(a & b)
+    return both / max(len(a) + len(b) - both, 1) if a or b else 1.0
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two multisets; 1 if both are empty."""
-    keys, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = np.bincount(at[: len(a)], minlength=len(keys)), np.bincount(at[len(a) :], minlength=len(keys))
-    return float(np.minimum(x, y).sum() / max(np.maximum(x, y).sum(), 1)) if len(keys) else 1.0
+    return alike(numbered(a), numbered(b))
 
 
 def signatures(bags: list[np.ndarray]) -> np.ndarray:
@@ -126,19 +139,23 @@ def sign(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"doc_id {kind}, text_key binary, id binary, n bigint, bands array<bigint>, marks array<bigint>")
 
 
+def bag_of(packed: bytes) -> frozenset[int]:
+    """numbered() shingles of a zipped text."""
+    return numbered(shingles(words_of(zstandard.ZstdDecompressor().decompress(packed).decode("utf-8"))))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts (id, text: zipped) overlap by at least `least`."""
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hub, bag = None, None
-        words = lambda z: words_of(zstandard.ZstdDecompressor().decompress(z).decode("utf-8"))
+        hub, bag = None, frozenset()
         for b in batches:
             found = []
             for x, y in zip(b["text_a"], b["text_b"], strict=True):
                 if hub is None or y != hub:
-                    hub, bag = y, shingles(words(y))
-                found.append(overlap(shingles(words(x)), bag) >= least)
+                    hub, bag = y, bag_of(y)
+                found.append(alike(bag_of(x), bag) >= least)
             yield b.loc[found, ["a", "b"]]
 
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
@@ -180,8 +197,12 @@ def possible(least: float):
     """Whether texts x and y (n_x, m_x, n_y, m_y) may overlap by `least`: not if their numbers of shingles differ too much for
     it (exact), nor if their signatures have fewer equal slots than such a pair has, by 7 standard deviations
     (probability < 1e-8)."""
-    alike = F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y") - 1e-6
-    return alike & (equal_slots("m_x", "m_y") >= int(SLOTS * least - 7 * (SLOTS * least * (1 - least)) ** 0.5))
+    sizes = F.least("n_x", "n_y") >= least * F.greatest("n_x", "n_y") - 1e-6
+    return sizes & (equal_slots("m_x", "m_y") >= least_slots(least))
+
+
+def least_slots(least: float) -> int:
+    return int(SLOTS * least - 7 * (SLOTS * least * (1 - least)) ** 0.5)
 
 
 def plausible(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
@@ -196,22 +217,56 @@ def stars(left: DataFrame, turn: int) -> DataFrame:
     return left.where("component <> top").join(hub, "bucket").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def across(left: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
-    """(a, b): each text outside its bucket's largest component with those of all other components, where possible()."""
-    own = materialize(left.join(distinct.select("id", "n", "marks"), "id"), "apart")
-    x, y = (own.select(F.col("bucket").alias(f"bucket_{z}"), F.col("id").alias(z), F.col("n").alias(f"n_{z}"), F.col("component").alias(f"c_{z}"), F.col("marks").alias(f"m_{z}"), "top") for z in "xy")
-    x = x.where("c_x <> top").drop("top")
-    other = F.expr("bucket_x = bucket_y and c_x <> c_y and (c_y = top or x < y)")
-    return x.join(y, other & possible(least)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def across(left: DataFrame, distinct: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): the links between texts of different components that are connected over large buckets.
+
+    Each text outside the largest component of such a group meets all texts of the group's other components. The texts of
+    a group are dealt into blocks of about BLOCK_TEXTS texts or BLOCK_SHINGLES shingles; a task gets a block of the ones
+    and a block of the others, compares their signatures and, where these allow it, their whole texts. Only links leave it."""
+    hub = left.groupBy("bucket").agg(F.min("id").alias("b"))
+    group = components(left.join(hub, "bucket").select(F.col("id").alias("a"), "b").distinct())
+    own = left.select("id", "component").distinct().join(group.select("id", F.col("component").alias("group")), "id")
+    parts = own.groupBy("group", "component").agg(F.count(F.lit(1)).alias("k"))
+    top = parts.groupBy("group").agg(F.max_by("component", F.struct("k", "component")).alias("top"))
+    own = materialize(own.join(top, "group").join(distinct.select("id", "n", "marks"), "id").withColumn("lone", F.col("component") != F.col("top")), "apart")
+    need = lambda count, size: F.greatest(F.ceil(count / BLOCK_TEXTS), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    size = own.groupBy("group").agg(need(F.count_if("lone"), F.sum(F.when(F.col("lone"), F.col("n")))).alias("nx"), need(F.count(F.lit(1)), F.sum("n")).alias("ny"))
+    own = own.join(size, "group").join(texts, "id").withColumn("block", F.abs(F.hash("id")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = ["id", "component", "top", "n", "marks", "text"]
+    x = own.where("lone").select("group", (F.col("block") % F.col("nx")).alias("bx"), every("ny").alias("by"), F.lit(True).alias("is_x"), *cells)
+    y = own.select("group", every("nx").alias("bx"), (F.col("block") % F.col("ny")).alias("by"), F.lit(False).alias("is_x"), *cells)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["is_x"]], rows[~rows["is_x"]]
+        found, bags = [], {}
+        if len(a) and len(b):
+            bytes_of = lambda r: np.stack(r["marks"].to_list()).astype(np.int64).view(np.uint8)
+            m, n, ids, of = bytes_of(b), b["n"].to_numpy(), b["id"].to_list(), b["component"].to_list()
+            texts_of = b["text"].to_list()
+            for x_id, c, top_, n_x, own_, text in zip(a["id"], a["component"], a["top"], a["n"], bytes_of(a), a["text"], strict=True):
+                may = (np.minimum(n, n_x) >= least * np.maximum(n, n_x) - 1e-6) & ((m == own_).sum(1) >= least_slots(least))
+                bag = None
+                for k in np.flatnonzero(may):
+                    if of[k] == c or not (of[k] == top_ or x_id < ids[k]):
+                        continue
+                    bag = bag_of(text) if bag is None else bag
+                    if k not in bags:
+                        bags[k] = bag_of(texts_of[k])
+                    if alike(bag, bags[k]) >= least:
+                        found.append((min(x_id, ids[k]), max(x_id, ids[k])))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return x.unionByName(y).groupBy("group", "bx", "by").applyInPandas(run, "a binary, b binary")
 
 
 def labelled(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, text_key, id, n, component of each row, where component is the id of the class.
 
     Signatures find the texts that share a band. Those of small buckets, and in large ones each with a hub, have their
-    whole texts compared. Texts of a large bucket that are still in different components meet other hubs in TURNS turns,
-    and then all texts of the other components. So no pair that shares a band is left uncompared but for those in one
-    component, and the number of pairs grows with the square only of texts that share bands and are not alike."""
+    whole texts compared. Texts of a large bucket that are still in different components meet other hubs in TURNS turns, and
+    then all texts of the other components (see across()). So no pair that shares a band is left uncompared but for those
+    in one component, and the comparisons grow with the square only of texts that share bands and are not alike."""
     signed = materialize(sign(docs), "signatures")
     first = F.min_by(F.struct("text_key", "n", "bands", "marks"), "text_key")
     distinct = materialize(signed.groupBy("id").agg(first.alias("m")).select("id", "m.*"), "distinct")
@@ -228,12 +283,15 @@ def labelled(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         left = materialize(apart(one.where(F.col("size") > SMALL).select("id", "bucket"), label), "left")
         if left.isEmpty():
             break
-        asked = plausible(stars(left, turn), worded, least) if turn < TURNS else across(left, worded, least)
-        asked = materialize(asked.join(done, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(verify(asked, texts, least), "found")
+        if turn < TURNS:
+            asked = materialize(plausible(stars(left, turn), worded, least).join(done, ["a", "b"], "left_anti"), "pairs")
+            more, done = verify(asked, texts, least), done.unionByName(asked)
+        else:
+            more = across(left, worded, texts, least)
+        more = materialize(more, "found")
         if more.isEmpty():
             continue
-        done, links = done.unionByName(asked), links.unionByName(more)
+        links = links.unionByName(more)
         label = components(links)
     final = distinct.select("id").join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     return signed.select("doc_id", "text_key", "id", "n").join(final, "id")

@@ -1,10 +1,15 @@
 """Toxicity: class-conditional Kneser-Ney models of toxic and ordinary text, compared per token.
 
-A gram's count is the number of documents of a class that hold it, so that a word repeated in one text counts once
-(as a Kneser-Ney continuation count takes each context once; here the contexts are documents). Grams whose
-counts don't tell the classes apart, which all rare ones are, take the same probability in both models, that of the
-shared backoff counts. The others take max(n_c - D, 0) / n_c(context) plus the mass so saved times the lower order.
-"""
+A pair of neighbouring words counts once in each text of a class. The lower order has Kneser-Ney's continuation counts:
+the different words before a word, of the class and, below them, of both classes together (shared):
+
+    p_c(w | v) = max(n_c(v, w) - d, 0) / n_c(v) + left_c(v) p_c(w)
+    p_c(w)     = max(N_c(w) - d, 0) / N_c + left_c p(w)
+    p(w)       = (N(w) + FLOOR) / sum
+
+where left is what the discounts d took. The discount of a count n is min(n, SHARED * e + DEVIATIONS * sqrt(e) + DISCOUNT) with e
+the count that the class would have if it were like both together. So rare expressions, and all those that the classes
+share, are smoothed by the shared counts, which are the same in both models."""
 
 from __future__ import annotations
 
@@ -14,36 +19,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, materialize
+from quarry.llm.common import Hashes, crc_mod, id_key, materialize
 
 #: Labelled documents that the models learn from, at most: ordinary and toxic ones, by the order of a hash of their ids.
 ROWS = (12_000, 3_000)
-#: Standard deviations by which a gram's count in a class must differ from its share, to have counts of its own.
-TELLING = 4.0
-#: What each word has among the shared counts besides the classes in which only one document holds it.
+#: The discount, see above.
+SHARED, DEVIATIONS, DISCOUNT = 2.0, 3.0, 0.75
+#: What each word has among the shared counts besides its own.
 FLOOR = 0.1
-#: What is taken off each count and given to the lower order.
-DISCOUNT = 0.75
+#: Grams with a count left in a class after the discount, at most; they are broadcast. More than that is an error.
+MOST_GRAMS = 2_000_000
 LEAST_SCORE = 0.7
 _WORDS = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Word hashes that a task remembers before it starts afresh.
-REMEMBERED = 250_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word) or 1
-        return found
-
-
-_hashes = _Hashes()
+_hashes = Hashes()
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -57,80 +49,95 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (before * _MIX) ^ (word + (before >> np.uint64(29)))
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted keys among the sorted ones, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
 @dataclass
 class Model:
-    """For the grams that tell: sorted keys, and log p(toxic) - log p(ordinary) of their last word."""
+    """Both models where they differ; each array has a row for a class (ordinary, toxic) behind the sorted keys.
+
+    All other words have p_c(w) = left_c p(w), and all other contexts and pairs no counts of their own (left_c(v) = 1), so
+    that p(w) is the same factor in both likelihoods and isn't needed for their ratio."""
 
     words: np.ndarray
-    word_ratio: np.ndarray
+    p_word: np.ndarray
+    contexts: np.ndarray
+    left: np.ndarray
     pairs: np.ndarray
-    pair_ratio: np.ndarray
+    p_pair: np.ndarray
+    left_all: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
 
     def mean_ratio(self, hashes: np.ndarray) -> float:
-        """Difference of the two log-likelihoods, by token; 0 without tokens. The longest gram that tells counts."""
+        """Difference of the two log-likelihoods, by token; 0 without tokens."""
         if len(hashes) < 2:
             return 0.0
         before, word = hashes[:-1], hashes[1:]
-        ratio = _look(self.words, self.word_ratio, word, np.zeros(len(word)))
-        return float(_look(self.pairs, self.pair_ratio, pair_keys(before, word), ratio).mean())
+        p = np.repeat(self.left_all[:, None], len(word), 1)
+        at, there = _find(self.words, word)
+        p[:, there] = self.p_word[:, at[there]]
+        at, there = _find(self.contexts, before)
+        p[:, there] *= self.left[:, at[there]]
+        at, there = _find(self.pairs, pair_keys(before, word))
+        p[:, there] += self.p_pair[:, at[there]]
+        return float((np.log(p[1]) - np.log(p[0])).mean())
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.mean_ratio(token_hashes(text)) + self.offset, -30, 30))))
 
 
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, absent: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return absent
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], absent)
+def _keys(rows: pd.DataFrame, column: str) -> np.ndarray:
+    return np.ascontiguousarray(rows[column].to_numpy(np.int64)).view(np.uint64)
+
+
+def _collect(rows: DataFrame) -> pd.DataFrame:
+    found = rows.limit(MOST_GRAMS + 1).toPandas()
+    if len(found) > MOST_GRAMS:
+        raise ValueError(f"more than {MOST_GRAMS} grams have counts of their own; take fewer labelled rows")
+    return found
 
 
-def _table(spark_rows: pd.DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    v, w = (np.ascontiguousarray(spark_rows[k].to_numpy(np.int64)).view(np.uint64) for k in "vw")
-    return v, w, spark_rows[columns].to_numpy(float)
+def taken(n: Column, expected: Column) -> Column:
+    """The discount of a count."""
+    return F.least(n, SHARED * expected + DEVIATIONS * F.sqrt(expected) + DISCOUNT)
 
 
-def build(grams: DataFrame, cells: list[Column], n_docs: list[int]) -> Model:
-    """A model from grams (v, w; v is 1 for words alone). cells: each gram's documents in the ordinary and in the
-    toxic class; n_docs: the documents of each class."""
+def build(grams: DataFrame, cells: list[Column]) -> Model:
+    """A model from grams (v, w). cells: in how many ordinary and toxic texts each pair occurs. Only grams with a count
+    left after the discount come to the driver, MOST_GRAMS of either kind at most."""
+    n = [F.col("n0"), F.col("n1")]
     counts = grams.select("v", "w", cells[0].cast("double").alias("n0"), cells[1].cast("double").alias("n1")).where("n0 + n1 > 0")
-    all_docs = max(sum(n_docs), 1)
-    share = n_docs[1] / all_docs
-    expected = (F.col("n0") + F.col("n1")) * share
-    tells = F.abs(F.col("n1") - expected) > TELLING * F.sqrt(expected * (1 - share) + 0.5)
-    less = [F.least(F.col(f"n{c}"), F.lit(DISCOUNT)) for c in (0, 1)]
-    sums = [F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)] + [F.sum(less[c]).alias(f"d{c}") for c in (0, 1)]
-    words, pairs = counts.where("v = 1"), counts.where("v <> 1")
-    once = (F.col("n0") == 1).cast("int") + (F.col("n1") == 1).cast("int")
-    of_all = words.agg(*sums, F.sum(once).alias("once"), F.count(F.lit(1)).alias("n")).first()
-    telling = pairs.where(tells)
-    contexts = pairs.join(F.broadcast(telling.select("v").distinct()), "v").groupBy("v").agg(*sums)
-    own = words.where(tells).orderBy("w").toPandas()
-    two = telling.join(contexts, "v").orderBy("v", "w").toPandas()
-
-    _, w, n = _table(own, ["n0", "n1"])
-    once_of = (n == 1).sum(1)
-    shared = (once_of + FLOOR) / ((of_all["once"] or 0) + FLOOR * (of_all["n"] + 1))
-    p = np.ones((len(n), 2))
-    for c in (0, 1):
-        total = max(of_all[f"s{c}"] or 0, 1)
-        p[:, c] = np.maximum(n[:, c] - DISCOUNT, 0) / total + max(of_all[f"d{c}"] or 0, DISCOUNT) / total * shared
-    order = np.argsort(w)
-    w, p = w[order], p[order]
-    v2, w2, n2 = _table(two, ["n0", "n1", "s0", "s1", "d0", "d1"])
-    lower = np.stack([_look(w, p[:, c], w2, np.ones(len(w2))) for c in (0, 1)], 1)
-    known = lower[:, 0] < 1
-    lower[~known] = 1 / max(of_all["n"], 1)
-    q = np.ones((len(n2), 2))
-    for c in (0, 1):
-        total = np.maximum(n2[:, 2 + c], 1)
-        left = np.where(n2[:, 2 + c] > 0, n2[:, 4 + c] / total, 1.0)
-        q[:, c] = np.maximum(n2[:, c] - DISCOUNT, 0) / total + left * lower[:, c]
-    keys = pair_keys(v2, w2)
-    order2 = np.argsort(keys)
-    return Model(w, np.log(p[:, 1] / p[:, 0]), keys[order2], np.log(q[order2, 1] / q[order2, 0]))
+    words = counts.groupBy("w").agg(*[F.count_if(n[c] > 0).cast("double").alias(f"n{c}") for c in (0, 1)], F.count(F.lit(1)).alias("shared"))
+    words = materialize(words, "toxicity-words")
+    all_ = words.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("shared").alias("shared"), F.count(F.lit(1)).alias("types")).first()
+    total = [max(all_[f"n{c}"] or 0.0, 1.0) for c in (0, 1)]
+    both = F.col("n0") + F.col("n1")
+    words = words.select("w", "shared", *n, *[taken(n[c], both * (total[c] / sum(total))).alias(f"d{c}") for c in (0, 1)])
+    left_all = words.agg(*[F.sum(f"d{c}").alias(f"d{c}") for c in (0, 1)]).first()
+    left_all = np.array([(left_all[f"d{c}"] or 0.0) / total[c] if all_[f"n{c}"] else 1.0 for c in (0, 1)])
+
+    of = counts.groupBy("v").agg(*[F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)])
+    pairs = counts.join(of, "v")
+    sums = F.col("s0") + F.col("s1")
+    pairs = pairs.select("v", "w", "s0", "s1", *n, *[taken(n[c], both * F.col(f"s{c}") / sums).alias(f"d{c}") for c in (0, 1)])
+    own = pairs.where("n0 > d0 or n1 > d1")
+    two = _collect(own.select("v", "w", *[((n[c] - F.col(f"d{c}")) / F.greatest(F.col(f"s{c}"), F.lit(1.0))).alias(f"p{c}") for c in (0, 1)]))
+    contexts = own.groupBy("v").agg(*[F.first(f"s{c}").alias(f"s{c}") for c in (0, 1)], *[F.sum(n[c] - F.col(f"d{c}")).alias(f"k{c}") for c in (0, 1)])
+    ctx = _collect(contexts.select("v", *[(1 - F.col(f"k{c}") / F.greatest(F.col(f"s{c}"), F.lit(1.0))).alias(f"l{c}") for c in (0, 1)]))
+    told = own.select("w").distinct().withColumn("told", F.lit(True))
+    one = _collect(words.join(told, "w", "left").where("n0 > d0 or n1 > d1 or told"))
+
+    smooth = (one["shared"].to_numpy(float) + FLOOR) / ((all_["shared"] or 0) + FLOOR * ((all_["types"] or 0) + 1))
+    p_word = np.array([(one[f"n{c}"] - one[f"d{c}"]).to_numpy(float) / total[c] + left_all[c] * smooth for c in (0, 1)])
+    # elsewhere left_c p(w) stands for both, without p(w)
+    words_, contexts_, pairs_ = _keys(one, "w"), _keys(ctx, "v"), pair_keys(_keys(two, "v"), _keys(two, "w"))
+    a, b, c = np.argsort(words_), np.argsort(contexts_), np.argsort(pairs_)
+    columns = lambda df, x: df[[f"{x}0", f"{x}1"]].to_numpy(float).T
+    return Model(words_[a], p_word[:, a], contexts_[b], columns(ctx, "l")[:, b], pairs_[c], columns(two, "p")[:, c], left_all)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -162,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = ROWS) -> Mod
     """Learns from whole texts of at most sum(most) labelled documents. Each half of them is scored by the
     model of the other half; these scores set the curve from mean log ratio to score."""
     chosen = materialize(training_rows(labels, most), "toxicity-rows").withColumnRenamed("doc_id", "tid")
-    texts = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["tid"]).select("toxic", "fold", F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").alias("tid"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "tid").select("toxic", "fold", "text")
     texts = materialize(texts, "toxicity-texts")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,24 +178,22 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = ROWS) -> Mod
                 found = []
                 for t in own["text"]:
                     h = token_hashes(t)
-                    words = np.unique(h[1:])
-                    found += [np.column_stack([np.ones(len(words), np.uint64), words]), np.unique(np.column_stack([h[:-1], h[1:]]), axis=0)]
+                    found.append(np.unique(np.column_stack([h[:-1], h[1:]]), axis=0))
                 grams, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
                 yield pd.DataFrame({"toxic": toxic, "fold": fold, "v": np.ascontiguousarray(grams[:, 0]).view(np.int64), "w": np.ascontiguousarray(grams[:, 1]).view(np.int64), "n": n})
 
     cell = lambda c, f: F.coalesce(F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n"))), F.lit(0)).alias(f"c{c}{f}")
     grams = texts.mapInPandas(count, "toxic int, fold int, v bigint, w bigint, n bigint").groupBy("v", "w")
     grams = materialize(grams.agg(*[cell(c, f) for f in (0, 1) for c in (0, 1)]), "toxicity-grams")
-    n = {(r["toxic"], r["fold"]): r["count"] for r in texts.groupBy("toxic", "fold").count().collect()}
-    half = lambda f: build(grams, [F.col(f"c{c}{f}") for c in (0, 1)], [n.get((c, f), 0) for c in (0, 1)])
-    model = build(grams, [F.col(f"c{c}0") + F.col(f"c{c}1") for c in (0, 1)], [n.get((c, 0), 0) + n.get((c, 1), 0) for c in (0, 1)])
+    half = lambda f: build(grams, [F.col(f"c{c}{f}") for c in (0, 1)])
+    model = build(grams, [F.col(f"c{c}0") + F.col(f"c{c}1") for c in (0, 1)])
     shared = docs.sparkSession.sparkContext.broadcast([half(1), half(0)])
 
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"x": [shared.value[f].mean_ratio(token_hashes(t)) for f, t in zip(b["fold"], b["text"], strict=True)], "toxic": b["toxic"]})
 
-    seen = texts.mapInPandas(cross, "x double, toxic int").toPandas().sort_values(["x", "toxic"])
+    seen = texts.mapInPandas(cross, "x double, toxic int").toPandas().sort_values(["x", "toxic"])  # a number for each labelled row
     model.slope, model.offset = logistic(seen["x"].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
 
@@ -196,9 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = ROWS) -> Mod
 def scores(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text.
 
-    A null or empty text has the score of no evidence (mean ratio 0); held_out is null for a null doc_id; repeated
-    rows each give a row; without labels of both classes every mean ratio is scored on a fixed curve; an empty table
-    gives no rows. Labels, lang, source and doc_id are no inputs of a score."""
+    A null or empty text has the score of no evidence (mean ratio 0); very long texts are scored whole; a null doc_id counts
+    as the empty string where it decides what is held out; repeated rows each give a row; without labels of both classes
+    every mean ratio is scored on a fixed curve; other columns are left out, whatever their names; an empty table gives no
+    rows. Labels, lang, source and doc_id are no inputs of a score."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -206,5 +212,5 @@ def scores(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = ROWS) ->
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": [shared.value.score(t) for t in b["text"]]})
 
-    rows = docs.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", (crc_mod(id_key(F.col("doc_id")), 3) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= LEAST_SCORE).cast("int"))
