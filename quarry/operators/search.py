@@ -8,35 +8,42 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.scratch import written
+
 #: Rows that each phase may add, and in all, by depth.
 LEVELS = {
-    "Quick": {"related": 5, "deep": 0, "priority": 3, "fuzzy": 0, "entity": 0, "total": 20},
-    "Standard": {"related": 55, "deep": 25, "priority": 40, "fuzzy": 0, "entity": 0, "total": 165},
-    "Deep": {"related": 110, "deep": 50, "priority": 80, "fuzzy": 20, "entity": 70, "total": 420},
-    "Exhaustive": {"related": 220, "deep": 100, "priority": 160, "fuzzy": 40, "entity": 140, "total": 840},
+    "Quick": {"related": 5, "learned": 0, "deep": 0, "cluster": 0, "priority": 3, "fuzzy": 0, "entity": 0, "total": 20},
+    "Standard": {"related": 55, "learned": 15, "deep": 25, "cluster": 20, "priority": 40, "fuzzy": 0, "entity": 0, "total": 165},
+    "Deep": {"related": 110, "learned": 30, "deep": 50, "cluster": 40, "priority": 80, "fuzzy": 20, "entity": 70, "total": 420},
+    "Exhaustive": {"related": 220, "learned": 60, "deep": 100, "cluster": 80, "priority": 160, "fuzzy": 40, "entity": 140, "total": 840},
 }
-#: What a phase adds to a score.
-BONUS = {"Initial": 10, "Related": 7, "Query": 5, "DeepDive": 3}
+#: The phases in the order in which they run.
+PHASES = ("Initial", "Related", "Learned", "DeepDive", "Cluster", "Query", "Fuzzy", "Entity")
+#: What a phase adds to a score, and what all others add.
+BONUS = {"Initial": 10, "Related": 7, "Query": 5, "DeepDive": 3, "Learned": 8}
+OTHER_BONUS = 2
 #: Tags that tell nothing.
 TAG_STOP = ("address", "report", "client", "issue", "select", "your", "home", "usage", "task", "role")
 
 
 def term_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, id, hits (terms that occur), term_score. The stated queries go to all chunks; each chunk is read once."""
-    q = F.broadcast(queries.select("query_id", "terms"))
+    """query_id, id, hits (terms that occur), term_score, fuzzy (how many of the terms of at least 5 characters occur with
+    their first 5). The stated queries go to all chunks, which are read once."""
+    q = F.broadcast(queries.select("query_id", "terms"))  # a stated set of searches
     chunks = chunks.select("id", F.lower("text").alias("low"))
     low = F.col("low")
-    hits = F.size(F.filter("terms", lambda t: F.contains(low, F.lower(t))))
+    count = lambda ts: F.size(F.filter(ts, lambda t: F.contains(low, F.lower(t))))
+    prefixes = F.transform(F.filter("terms", lambda t: F.length(t) >= 5), lambda t: F.substring(t, 1, 5))
     times = lambda t: F.floor((F.length(low) - F.length(F.replace(low, F.lower(t), F.lit("")))) / F.length(t))
     score = F.aggregate("terms", F.lit(0), lambda s, t: s + F.least(F.lit(10), (2 * times(t)).cast("int")))
-    rows = chunks.crossJoin(q).withColumn("hits", hits).where("hits > 0")
-    return rows.select("query_id", "id", "hits", F.least(F.lit(40), score).alias("term_score"))
+    rows = chunks.crossJoin(q).withColumn("hits", count("terms")).withColumn("fuzzy", count(prefixes)).where("hits > 0 or fuzzy > 1")
+    return rows.select("query_id", "id", "hits", F.least(F.lit(40), score).alias("term_score"), "fuzzy")
 
 
 def initial(hits: DataFrame) -> DataFrame:
     """Chunks with two terms; for queries without any such chunk, with one."""
-    best = Window.partitionBy("query_id")
-    return hits.withColumn("best_", F.max("hits").over(best)).where("hits >= 2 or best_ < 2").drop("best_")
+    two = hits.where("hits >= 2").select("query_id").distinct().withColumn("two_", F.lit(True))
+    return hits.where("hits > 0").join(F.broadcast(two), "query_id", "left").where("hits >= 2 or two_ is null").drop("two_")
 
 
 def discover(phase1: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,16 +62,17 @@ def discover(phase1: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame
 
 @dataclass
 class Found:
-    """What a search gives: the ranked rows and what it discovered on the way."""
+    """What a search gives: the ranked rows, what it discovered on the way, and each phase's rows."""
 
     ranked: DataFrame
     tags: DataFrame
     keywords: DataFrame
+    phases: DataFrame
 
 
 def _cap(df: DataFrame, limits: DataFrame, column: str, *order) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "id"))
-    return df.join(F.broadcast(limits.select("query_id", column)), "query_id").withColumn("r_", r).where(F.col("r_") <= F.col(column)).drop("r_", column)
+    return df.join(F.broadcast(limits.select("query_id", F.col(column).alias("cap_"))), "query_id").withColumn("r_", r).where("r_ <= cap_").drop("r_", "cap_")
 
 
 def limits_of(queries: DataFrame) -> DataFrame:
@@ -78,50 +86,86 @@ def limits_of(queries: DataFrame) -> DataFrame:
     return out
 
 
-def search(queries: DataFrame, chunks: DataFrame, links: DataFrame, priority: tuple[str, ...] = ("sop", "manual"), cut: bool = True) -> Found:
-    """queries (query_id, terms, level) over chunks (id, text, tags, keywords) and links (id, other).
+def referred(first: DataFrame, links: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """query_id, id: what the first phase's chunks refer to, most often first: three times the cap, of these the ones that
+    exist, of these the cap."""
+    refs = first.select("query_id", "id").join(links, "id").groupBy("query_id", F.col("other").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    refs = _cap(refs, limits.withColumn("related", F.col("related") * 3), "related", F.desc("n"))
+    return _cap(refs.join(chunks.select("id"), "id", "left_semi"), limits, "related", F.desc("n")).select("query_id", "id")
+
+
+def priority_tokens(queries: DataFrame, tags: DataFrame, keywords: DataFrame) -> DataFrame:
+    """query_id, tokens: the terms and, but for Quick, the first five of the discovered tags and keywords."""
+    found = tags.select("query_id", "token", "r").union(keywords.select("query_id", "token", F.col("r") + 1000)).groupBy("query_id", "token").agg(F.min("r").alias("r"))
+    five = found.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("r"))).where("k <= 5").groupBy("query_id").agg(F.collect_set("token").alias("five"))
+    none = F.array().cast("array<string>")
+    more = F.when(F.col("level") == "Quick", none).otherwise(F.coalesce("five", none))
+    return queries.join(five, "query_id", "left").select("query_id", F.array_distinct(F.concat(F.transform("terms", F.lower), F.transform(more, F.lower))).alias("tokens"))
+
+
+def search(queries: DataFrame, chunks: DataFrame, links: DataFrame, entities: DataFrame, priority: tuple[str, ...] = ("sop", "manual"), cut: bool = True) -> Found:
+    """queries (query_id, terms, level) over chunks (id, text, tags, keywords, cluster, learned), links (id, other) and
+    entities (id, entity). Each phase leaves out what earlier ones found and adds as many rows as the level allows:
+
+    Initial: chunks with the terms. Related: those that they refer to, by frequency. Learned: learned chunks with a term,
+    by hits. DeepDive: chunks with a term or a discovered token, by the number of their tokens that were discovered.
+    Cluster: chunks of the initial ones' clusters of at least 3, by size. Query: chunks with a priority tag and a term
+    or one of the first discovered tokens, by hits. Fuzzy: chunks with the beginnings of two terms. Entity: chunks that
+    share one of the initial ones' ten most frequent entities, by id.
 
-    First the chunks with the terms; then those that they refer to, by frequency; then chunks with a term or a
-    discovered token, by the number of their tokens that were discovered; then chunks with a priority tag, by hits.
     Scores add up what the terms (40), the discovered tags (20) and keywords (15) and the phase give; a query's rows are
-    ranked by score and id and, with `cut`, ended at its level's total."""
-    hits = term_hits(queries, chunks)
+    ranked by score and id and, with `cut`, ended at its level's total. Terms meet all chunks once; the phases are
+    written as they come, so none runs twice."""
+    queries = written(queries, "queries")
+    hits = written(term_hits(queries, chunks), "hits")
     limits = limits_of(queries)
-    one = initial(hits)
-    tags, keywords = discover(one, chunks)
-    first = one.select("query_id", "id").withColumn("match_type", F.lit("Initial"))
+    one = written(initial(hits), "initial")
+    tags, keywords = (written(x, "discovered") for x in discover(one, chunks))
+    found = one.select("query_id", "id").withColumn("phase", F.lit(0))
+
+    def add(phase: str, rows: DataFrame, column: str | None = None, *order) -> None:
+        nonlocal found
+        rows = rows.join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        if column:
+            rows = _cap(rows, limits, column, *order)
+        found = found.unionByName(written(rows.select("query_id", "id").withColumn("phase", F.lit(PHASES.index(phase))), phase.lower()))
 
-    refs = one.select("query_id", "id").join(links, "id").groupBy("query_id", F.col("other").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    three = _cap(refs, limits, "related", F.desc("n")).select("query_id", "id").withColumn("match_type", F.lit("Related"))
-    found = first.unionByName(three)
+    add("Related", referred(one, links, chunks, limits))
+    add("Learned", hits.where("hits > 0").join(chunks.where("learned").select("id"), "id", "left_semi"), "learned", F.desc("hits"))
 
     tokens = tags.select("query_id", "token").union(keywords.select("query_id", "token")).distinct()
     held = chunks.select("id", F.explode(F.array_union("tags", "keywords")).alias("token"))
-    shared = held.join(F.broadcast(tokens), "token").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
-    deep = hits.select("query_id", "id", "hits").join(shared, ["query_id", "id"], "full").fillna(0, ["n", "hits"])
-    deep = deep.join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    four = _cap(deep, limits, "deep", F.desc("n")).select("query_id", "id").withColumn("match_type", F.lit("DeepDive"))
-    found = found.unionByName(four)
-
-    prior = chunks.where(F.arrays_overlap("tags", F.array(*map(F.lit, priority)))).select("id")
-    six = hits.join(prior, "id").join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    six = _cap(six, limits, "priority", F.desc("hits")).select("query_id", "id").withColumn("match_type", F.lit("Query"))
-    found = found.unionByName(six)
-
-    # a chunk may be both initial and related; the earlier phase counts
-    order = F.element_at(F.create_map(*[x for k, name in enumerate(("Initial", "Related", "DeepDive", "Query")) for x in (F.lit(name), F.lit(k))]), F.col("match_type"))
-    found = found.groupBy("query_id", "id").agg(F.min_by("match_type", order).alias("match_type"))
+    shared = held.join(F.broadcast(tokens), "token").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))  # 35 tokens a query at most
+    deep = hits.where("hits > 0").select("query_id", "id").join(shared, ["query_id", "id"], "full").fillna(0, ["n"])
+    add("DeepDive", deep, "deep", F.desc("n"))
+
+    named = chunks.select("id", "cluster").where("cluster is not null")
+    size = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size >= 3")
+    wanted = one.join(named, "id").select("query_id", "cluster").distinct().join(size, "cluster")
+    add("Cluster", wanted.join(named, "cluster").select("query_id", "id", "size"), "cluster", F.desc("size"))
+
+    prior = chunks.where(F.arrays_overlap("tags", F.array(*map(F.lit, priority)))).select("id", F.lower("text").alias("low"))
+    held = F.size(F.filter("tokens", lambda t: F.contains(F.col("low"), t)))
+    six = prior.crossJoin(F.broadcast(priority_tokens(queries, tags, keywords))).withColumn("n", held).where("n > 0")
+    add("Query", six.select("query_id", "id", "n"), "priority", F.desc("n"))
+    add("Fuzzy", hits.where("fuzzy >= 2"), "fuzzy", F.desc("fuzzy"))
+
+    often = one.join(entities, "id").groupBy("query_id", "entity").agg(F.count(F.lit(1)).alias("n"))
+    top = often.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "entity"))).where("r <= 10")
+    add("Entity", entities.join(F.broadcast(top.select("query_id", "entity")), "entity").select("query_id", "id").distinct(), "entity")
+
     tag_list = tags.groupBy("query_id").agg(F.collect_set("token").alias("top_tags"))
     word_list = keywords.groupBy("query_id").agg(F.collect_set("token").alias("top_words"))
     scored = found.join(hits.select("query_id", "id", "term_score"), ["query_id", "id"], "left").join(chunks.select("id", "tags", "keywords"), "id")
     scored = scored.join(F.broadcast(tag_list), "query_id", "left").join(F.broadcast(word_list), "query_id", "left")
     none = F.array().cast("array<string>")
     common = lambda a, b: F.size(F.filter(a, lambda t: F.array_contains(F.coalesce(b, none), t)))
-    bonus = F.lit(2)
+    match_type = F.element_at(F.array(*map(F.lit, PHASES)), F.col("phase") + 1)
+    bonus = F.lit(OTHER_BONUS)
     for name, points in BONUS.items():
-        bonus = F.when(F.col("match_type") == name, points).otherwise(bonus)
+        bonus = F.when(match_type == name, points).otherwise(bonus)
     score = F.coalesce("term_score", F.lit(0)) + F.least(F.lit(20), 4 * common("tags", F.col("top_tags"))) + F.least(F.lit(15), 3 * common("keywords", F.col("top_words"))) + bonus
-    ranked = scored.select("query_id", "id", "match_type", score.cast("int").alias("score")).join(F.broadcast(limits.select("query_id", "total")), "query_id")
+    ranked = scored.select("query_id", "id", match_type.alias("match_type"), score.cast("int").alias("score")).join(F.broadcast(limits.select("query_id", "total")), "query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     ranked = ranked.withColumn("rank", rank)
-    return Found((ranked.where(F.col("rank") <= F.col("total")) if cut else ranked).drop("total"), tags, keywords)
+    return Found((ranked.where(F.col("rank") <= F.col("total")) if cut else ranked).drop("total"), tags, keywords, found)

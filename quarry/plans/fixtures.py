@@ -23,6 +23,8 @@ tw AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all
 tr AS (SELECT id, word, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, word) AS r FROM tw),
 tk AS (SELECT id, list(word ORDER BY r) AS keywords FROM tr WHERE r <= 6 GROUP BY id),
 tagged AS (SELECT c.*, coalesce(tk.keywords, []) AS keywords, list_concat(list_concat([c.category], coalesce(tk.keywords, [])), [c.lang]) AS tags FROM chunks c LEFT JOIN tk ON c.id = tk.id)"""
+#: What the search reads: chunks with tags, a cluster and whether they were learned; and their entities.
+SEARCHED = r"""lo AS (SELECT id, lower(text) AS low, tags, keywords, array_to_string(list_sort(tags[1:2]), '+') AS cluster, category = 'general' AND k = 0 AS learned FROM tagged)"""
 ENTITIES = CHUNKS + r""",
 ew AS (SELECT DISTINCT id, doc_id, word FROM (SELECT id, doc_id, unnest(regexp_extract_all(text, '\p{Lu}\p{Ll}{4,}')) AS word FROM chunks)),
 er AS (SELECT id, doc_id, word, CASE WHEN length(word) % 2 = 0 THEN 'ORG' ELSE 'PRODUCT' END AS label FROM ew),
@@ -65,6 +67,11 @@ def tagged(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("tags", F.concat(F.array("category"), F.col("keywords"), F.array("lang")))
 
 
+def searched(tagged: DataFrame) -> DataFrame:
+    """id, text, tags, keywords, cluster, learned."""
+    return tagged.select("id", "text", "tags", "keywords", F.array_join(F.array_sort(F.slice("tags", 1, 2)), "+").alias("cluster"), ((F.col("category") == "general") & (F.col("k") == 0)).alias("learned"))
+
+
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     """id, doc_id, label, word: up to ten capitalised words of each kind in a chunk."""
     found = chunks(spark, sf).select("id", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{4,}"), F.lit(0)))).alias("word"))

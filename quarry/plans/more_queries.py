@@ -10,7 +10,7 @@ from quarry.operators import dedup, redact, search
 from quarry.plans import fixtures as X
 from quarry.plans.index_queries import CLUSTER, QV, VECTOR
 from quarry.plans.registry import query, table
-from quarry.plans.search_queries import WITH, found, queries, related
+from quarry.plans.search_queries import WITH, found, index, queries
 
 
 def one():
@@ -79,27 +79,15 @@ def _tables(spark, sf):
 
 @query("H04_phase3_related", WITH + "SELECT query_id, id FROM p3")
 def _related(spark, sf):
-    c = X.tagged(spark, sf)
+    c, linked, _ = index(spark, sf)
     q = queries(spark, sf, c)
-    first = search.initial(search.term_hits(q, c))
-    refs = first.select("query_id", "id").join(related(c), "id").groupBy("query_id", F.col("other").alias("id")).agg(one().alias("n"))
-    return search._cap(refs, search.limits_of(q), "related", F.desc("n")).select("query_id", "id")
-
-
-@query("H10_phase7_fuzzy", WITH + ", pf AS (SELECT query_id, list_transform(list_filter(terms, lambda t: length(t) >= 5), lambda t: substr(t, 1, 5)) AS prefixes FROM q) SELECT query_id, id FROM pf, lo WHERE len(list_filter(prefixes, lambda p: contains(low, p))) >= 2")
-def _fuzzy(spark, sf):
-    c = X.tagged(spark, sf)
-    q = queries(spark, sf, c).select("query_id", F.transform(F.filter("terms", lambda t: F.length(t) >= 5), lambda t: F.substring(t, 1, 5)).alias("prefixes"))
-    rows = c.select("id", F.lower("text").alias("low")).crossJoin(F.broadcast(q))
-    return rows.where(F.size(F.filter("prefixes", lambda p: F.contains(F.col("low"), p))) >= 2).select("query_id", "id")
+    return search.referred(search.initial(search.term_hits(q, c)), linked, c, search.limits_of(q))
 
 
 @query("H12_exclusion_chain", WITH + "SELECT query_id, id, CAST(min(o) AS INTEGER) AS phase FROM al GROUP BY ALL")
 def _chain(spark, sf):
     """One phase a chunk: the first that found it (before the cut by score)."""
-    r = found(spark, sf, cut=False).ranked
-    order = F.element_at(F.create_map(*[x for k, name in enumerate(("Initial", "Related", "DeepDive", "Query")) for x in (F.lit(name), F.lit(k))]), F.col("match_type"))
-    return r.select("query_id", "id", order.alias("phase"))
+    return found(spark, sf, cut=False).phases
 
 
 @query("H13_label_match_type", WITH + "SELECT query_id, match_type, count(*) AS n FROM rk GROUP BY ALL")
