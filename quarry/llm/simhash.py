@@ -122,9 +122,9 @@ def in_tables(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
     """id, high, low, bucket, size: the fingerprints (id, high, low) in the tables' buckets of more than one."""
     if blocks % 2 or not radius < blocks:
         raise ValueError("an even number of blocks above the radius is needed")
-    keyed = materialize(prints.select("id", "high", "low", F.explode(table_keys(F.col("high"), F.col("low"), blocks, radius)).alias("bucket")), "tables")
-    size = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return keyed.join(size, "bucket")
+    keyed = prints.select("high", "low", F.explode(table_keys(F.col("high"), F.col("low"), blocks, radius)).alias("bucket"))
+    size = materialize(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    return keyed.join(size, "bucket").join(prints, ["high", "low"])
 
 
 def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
