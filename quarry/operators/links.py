@@ -27,6 +27,27 @@ def related(pairs: DataFrame, metric: str, most: int = 5) -> DataFrame:
     return both.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(metric), "other"))).where(F.col("r") <= most)
 
 
+def pairs_of_new(tags: DataFrame, new: DataFrame, least: int = 3) -> DataFrame:
+    """id, other, shared: the chunks of `new` (id) with all others of other documents that have `least` tags in common. As in
+    shared_tag_pairs() a pair meets at its rarest common tag, and only tags of new chunks are met."""
+    often = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    own = tags.join(often, "tag").groupBy("id", "doc_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("n", "tag"))), lambda x: x["tag"]).alias("own"))
+    first = own.withColumn("tag", F.explode(F.slice("own", 1, F.greatest(F.size("own") - (least - 1), F.lit(0)))))
+    a = first.join(new, "id", "left_semi")
+    b = first.select("tag", F.col("id").alias("other"), F.col("doc_id").alias("other_doc"), F.col("own").alias("other_own"))
+    met = a.join(b, "tag").where("doc_id <> other_doc").withColumn("both", F.array_intersect("own", "other_own"))
+    met = met.where((F.size("both") >= least) & (F.element_at("both", 1) == F.col("tag")))
+    return met.select("id", "other", F.size("both").cast("long").alias("shared"))
+
+
+def related_by_similarity(pairs: DataFrame, vectors: DataFrame, least: float = 0.7, most: int = 5) -> DataFrame:
+    """id, other, similarity, r: of the pairs (a, b) those whose vectors (id, vector) have a cosine of at least `least`, and of
+    these the best partners of each side. Chunks without a vector have no links."""
+    x, y = (vectors.select(F.col("id").alias(c), F.col("vector").alias(f"v{c}")) for c in "ab")
+    near = pairs.join(x, "a").join(y, "b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    return related(near.where(F.col("similarity") >= least), "similarity", most)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
     """query_id, vec_id, similarity, r: for a stated set of query vectors, all vectors are compared where they lie."""
     q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))

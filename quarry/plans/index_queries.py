@@ -174,13 +174,17 @@ def _same_topic(spark, sf):
     return m.withColumn("s", F.round(dedup.cosine(F.col("va"), F.col("vb")), 6)).groupBy("vec_id").agg(F.max("s").alias("best"), F.bool_or(F.col("s") >= 0.92).alias("duplicate"))
 
 
-@query("E10_learned_cross_topic", f"WITH {QV}, m AS (SELECT a.vec_id, b.vec_id AS other, round({VECTOR}, 6) AS s FROM q a JOIN embeddings b ON a.label <> b.label) SELECT vec_id, other, s FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS r FROM m) WHERE r = 1")
+@query("E10_learned_cross_topic", f"WITH {QV}, m AS (SELECT a.vec_id, b.vec_id AS other, round({VECTOR}, 6) AS s FROM q a JOIN embeddings b ON a.label <> b.label) SELECT m.vec_id, other, s, s >= 0.98 OR (s >= 0.92 AND (SELECT count(*) FROM documents x JOIN documents y ON x.lang = y.lang AND x.source = y.source WHERE x.doc_id = m.vec_id AND y.doc_id = other) > 0) AS duplicate FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS r FROM m) m WHERE r = 1")
 def _cross_topic(spark, sf):
     e = table(spark, sf, "embeddings")
     a = F.broadcast(e.where("vec_id % 20 = 0").select("vec_id", "label", F.col("embedding").alias("va")))
     m = e.select(F.col("vec_id").alias("other"), F.col("label").alias("l2"), F.col("embedding").alias("vb")).crossJoin(a).where("label <> l2")
     m = m.select("vec_id", "other", F.round(dedup.cosine(F.col("va"), F.col("vb")), 6).alias("s"))
-    return dedup.first_of(m, ["vec_id"], F.desc("s"), "other")
+    best = dedup.first_of(m, ["vec_id"], F.desc("s"), "other")
+    tags = X.documents(spark, sf).select("doc_id", F.array("lang", "source").alias("tags"))
+    shared = F.coalesce(F.size(F.array_intersect("t1", "t2")), F.lit(0))
+    best = best.join(tags.toDF("vec_id", "t1"), "vec_id", "left").join(tags.toDF("other", "t2"), "other", "left")
+    return best.select("vec_id", "other", "s", ((F.col("s") >= 0.98) | ((F.col("s") >= 0.92) & (shared >= 2))).alias("duplicate"))
 
 
 @query("E12_keyword_set", f"WITH {X.WORDS}, c AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}]{{3,}}')) AS word FROM documents) GROUP BY ALL) SELECT doc_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS r FROM c) WHERE r <= 20")
@@ -243,31 +247,6 @@ def _phrases(spark, sf):
     return X.tagged(spark, sf).select("id", F.array_join(extra, ",").alias("extra"))
 
 
-CATS = {"sop": ("the", "of"), "manual": ("der", "das"), "queries": ("que", "les"), "general": ("el", "los")}
-SCORES = ", ".join("{'s': " + " + ".join(f"CAST(contains(t, ' {k} ') AS INTEGER)" for k in ks) + f", 'o': {-i}, 'n': '{n}'" + "}" for i, (n, ks) in enumerate(CATS.items()))
-
-
-@query("F09_classify_dynamic", f"WITH {X.CHUNKS}, s AS (SELECT id, list_sort([{SCORES}])[-1] AS best FROM (SELECT id, lower(text) AS t FROM chunks)) SELECT id, best.n AS category, 2 * best.s AS score FROM s")
-def _classify(spark, sf):
-    t = F.lower("text")
-    options = [F.struct(sum((F.contains(t, F.lit(f" {k} ")).cast("int") for k in ks), F.lit(0)).alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("n")) for i, (n, ks) in enumerate(CATS.items())]
-    c = X.chunks(spark, sf).select("id", F.array_max(F.array(*options)).alias("best"))
-    return c.select("id", F.col("best.n").alias("category"), (2 * F.col("best.s")).alias("score"))
-
-
-@query("F10_classify_rules", f"WITH {X.CHUNKS}, s AS (SELECT id, 4 * CAST(contains(t, ' the ') AS INTEGER) AS a, 3 * len(regexp_extract_all(t, '\\|')) AS b, 2 * len(regexp_extract_all(t, '\\d+\\.')) AS c FROM (SELECT id, lower(text) AS t FROM chunks)) SELECT id, CASE WHEN greatest(a, b, c) < 3 THEN 'general' WHEN a >= b AND a >= c THEN 'manual' WHEN b >= c THEN 'queries' ELSE 'sop' END AS category FROM s")
-def _rules(spark, sf):
-    t = F.lower("text")
-    s = X.chunks(spark, sf).select("id", (4 * F.contains(t, F.lit(" the ")).cast("int")).alias("a"), (3 * F.regexp_count(t, F.lit(r"\|"))).alias("b"), (2 * F.regexp_count(t, F.lit(r"\d+\."))).alias("c"))
-    return s.select("id", F.when(F.greatest("a", "b", "c") < 3, "general").when((F.col("a") >= F.col("b")) & (F.col("a") >= F.col("c")), "manual").when(F.col("b") >= F.col("c"), "queries").otherwise("sop").alias("category"))
-
-
-@query("F11_classify_by_tags", f"WITH {X.TAGS} SELECT id, CASE WHEN list_contains(tags, 'sop') THEN 'procedure' WHEN list_has_any(tags, ['fr', 'de', 'es']) THEN 'foreign' ELSE 'other' END AS kind FROM tagged")
-def _by_tags(spark, sf):
-    t = F.col("tags")
-    return X.tagged(spark, sf).select("id", F.when(F.array_contains(t, "sop"), "procedure").when(F.arrays_overlap(t, F.array(*map(F.lit, ("fr", "de", "es")))), "foreign").otherwise("other").alias("kind"))
-
-
 @query("F12_promote_and_cap", f"WITH {X.TAGS} SELECT id, array_to_string(list_concat([category], list_filter(tags, lambda t: t <> category))[1:5], ',') AS tags FROM tagged")
 def _promote(spark, sf):
     return X.tagged(spark, sf).select("id", F.array_join(F.slice(F.array_union(F.array("category"), F.array_except("tags", F.array("category"))), 1, 5), ",").alias("tags"))
@@ -339,11 +318,6 @@ def _cosine_all(spark, sf):
     return a.join(e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb")), "label").where("a <> b").select("a", "b", F.round(dedup.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
 
 
-@query("G07_related_topk", f"WITH {X.TAGS}, {TAG_ROWS}, {PAIRS}, {BOTH} SELECT id, other, shared, r FROM rl")
-def _topk(spark, sf):
-    return links.related(links.shared_tag_pairs(tag_rows(spark, sf)), "shared")
-
-
 CLUSTER = "array_to_string(list_sort(tags[1:3]), '+')"
 
 
@@ -359,28 +333,6 @@ def _membership(spark, sf):
     return t.join(t.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
 
 
-@query("G10_enrich_cross_refs", f"WITH {X.TAGS}, {TAG_ROWS}, {PAIRS}, {BOTH}, x AS (SELECT id, string_agg(other, ',' ORDER BY r) AS related FROM rl GROUP BY id) SELECT g.id, {CLUSTER} AS cluster, coalesce(related, '') AS related, lower(array_to_string(tags, ' ')) AS search_text FROM tagged g LEFT JOIN x ON g.id = x.id")
-def _enrich(spark, sf):
-    rel = links.related(links.shared_tag_pairs(tag_rows(spark, sf)), "shared").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "other"))), lambda x: x["other"]), ",").alias("related"))
-    return X.tagged(spark, sf).join(rel, "id", "left").select("id", F.array_join(F.array_sort(F.slice("tags", 1, 3)), "+").alias("cluster"), F.coalesce("related", F.lit("")).alias("related"), F.lower(F.array_join("tags", " ")).alias("search_text"))
-
-
-@query("G11_backward_refs", f"WITH {X.TAGS}, {TAG_ROWS}, {PAIRS} SELECT DISTINCT CASE WHEN a.doc_id % 10 = 0 THEN pr.b ELSE pr.a END AS id FROM pr JOIN tagged a ON a.id = pr.a JOIN tagged b ON b.id = pr.b WHERE (a.doc_id % 10 = 0) <> (b.doc_id % 10 = 0)")
-def _backward(spark, sf):
-    """Existing chunks that new ones link to: only tags of the new chunks are joined."""
-    t = tag_rows(spark, sf)
-    new, old = t.where("doc_id % 10 = 0").alias("n"), t.where("doc_id % 10 <> 0").alias("o")
-    met = old.join(new, F.col("n.tag") == F.col("o.tag")).groupBy(F.col("o.id").alias("id"), F.col("n.id").alias("new_id")).agg(F.count(F.lit(1)).alias("shared"))
-    return met.where("shared >= 3").select("id").distinct()
-
-
-@query("G14_avg_related", f"WITH {X.TAGS}, {TAG_ROWS}, {PAIRS}, {BOTH} SELECT round((SELECT count(*) FROM rl) / (SELECT count(*) FROM tagged)::DOUBLE, 6) AS avg_related")
-def _avg(spark, sf):
-    rel = links.related(links.shared_tag_pairs(tag_rows(spark, sf)), "shared").agg(F.count(F.lit(1)).alias("links"))
-    n = X.chunks(spark, sf).agg(F.count(F.lit(1)).alias("n"))
-    return rel.crossJoin(n).select(F.round(F.col("links") / F.col("n"), 6).alias("avg_related"))
-
-
 KNN = f"s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round({VECTOR}, 6) AS similarity FROM q a, embeddings b WHERE a.vec_id <> b.vec_id)"
 
 

@@ -33,20 +33,6 @@ redacted("DP8_redact_person_names", lambda t: redact.persons(t, ("Alex Doe",)))
 redacted("DP9_query_safe_mode", lambda t: F.when(redact.is_log_query(t), redact.account_numbers(redact.bearer(t))).otherwise(redact.credentials(t)))
 
 
-@query("E04_prune_near_dup_versions", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, sha256(substr(text, 1, 20000)) ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1")
-def _versions(spark, sf):
-    return dedup.first_of(X.documents(spark, sf), ["source", F.sha2("text", 256)], F.desc("doc_id")).select("doc_id")
-
-
-@query("E11_learned_static_kb", f"WITH {QV}, k AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}]{{3,}}'))) AS words FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}]{{3,}}')) AS words FROM documents WHERE doc_id % 20 = 0), m AS (SELECT doc_id, item_id, len(list_intersect(d.words, k.words)) AS shared FROM d, k) SELECT doc_id, item_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, item_id) AS r FROM m WHERE shared >= 3) WHERE r = 1")
-def _static(spark, sf):
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
-    k = table(spark, sf, "benchmark").select("item_id", F.explode(words("text")).alias("word"))
-    d = X.documents(spark, sf).where("doc_id % 20 = 0").select("doc_id", F.explode(words("text")).alias("word"))
-    m = d.join(k, "word").groupBy("doc_id", "item_id").agg(one().alias("shared")).where("shared >= 3")
-    return dedup.first_of(m, ["doc_id"], F.desc("shared"), "item_id")
-
-
 @query("F01_entities", f"WITH {X.ENTITIES} SELECT id, label, string_agg(word, ',' ORDER BY word) AS words FROM entities GROUP BY id, label")
 def _entities(spark, sf):
     return X.entities(spark, sf).groupBy("id", "label").agg(F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))

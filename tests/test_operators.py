@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import chunking, redact
-from quarry.plans import ingest_queries, registry
+from quarry.operators import categories, chunking, fuzzy, redact, spans, tickets
+from quarry.plans import ingest_queries, more_queries, registry, rule_queries  # noqa: F401
 from quarry.sources import files
 from quarry.streaming import streams
 
@@ -160,16 +160,162 @@ def test_csv_drop_stream(spark, tmp_path):
     assert sorted(seen) == ["k1", "k2"]
 
 
-def test_versions_are_compared_whole(spark, tmp_path):
-    start = "word " * 5000
-    rows = [(1, start + "a", "s"), (2, start + "b", "s"), (3, start + "b", "s"), (4, start + "b", "t")]
-    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = registry.QUERIES["E04_prune_near_dup_versions"](spark, str(tmp_path)).collect()
-    assert sorted(r["doc_id"] for r in got) == [1, 3, 4]
-
-
 def test_each_query_vector_meets_all_of_its_label(spark, tmp_path):
     rows = [(i, [float(i % 5 + 1), 1.0], i % 2) for i in range(45)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {(r["a"], r["b"]) for r in registry.QUERIES["G06_cosine_all_rows"](spark, str(tmp_path)).collect()}
     assert got == {(a, b) for a in (0, 20, 40) for b in range(0, 45, 2) if a != b}
+
+
+def plain_ratio(a, b):
+    """The token-set ratio by the textbook table of common subsequences."""
+
+    def like(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            new = [0]
+            for j, d in enumerate(y):
+                new.append(row[j] + 1 if c == d else max(row[j + 1], new[j]))
+            row = new
+        return 200 * row[-1] / (len(x) + len(y)) if x or y else 100.0
+
+    x, y = set(a.split()), set(b.split())
+    both, one_, two = (sorted(s) for s in (x & y, x - y, y - x))
+    if not x or not y:
+        return 0.0
+    if both and (not one_ or not two):
+        return 100.0
+    s, p, q = " ".join(both), " ".join(both + one_), " ".join(both + two)
+    return max([like(p, q)] + ([like(s, p), like(s, q)] if both else []))
+
+
+def test_token_set_ratio():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (" ".join(rng.choice(["ab", "abc", "b", "cad", "x"]) + rng.choice("12345") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        assert fuzzy.token_set_ratio(a, b) == pytest.approx(plain_ratio(a, b)), (a, b)
+
+
+def groups(keys, linked):
+    top = {k: k for k in keys}
+
+    def find(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for a, b in linked:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    return {k: find(k) for k in keys}
+
+
+def test_fuzzy_classes_are_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = {r["doc_id"]: (r["text"] or "")[:1000] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    base = [f"word{rng.randint(0, 999)}" for _ in range(60)]
+    for i in range(30):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randint(0, 59)] = f"new{rng.randint(0, 9)}"
+        rows[1000 + i] = " ".join(w[: rng.choice((20, 60, 60))])
+    rows |= {2000: "", 2001: "  ", 2002: "a", 2003: "a a"}
+    keys = sorted(rows)
+    linked = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if set(rows[a].split()) == set(rows[b].split()) or fuzzy.token_set_ratio(rows[a], rows[b]) >= 97]
+    got = {r["k"]: r["kept_key"] for r in fuzzy.fuzzy_classes(spark.createDataFrame(list(rows.items()), "k bigint, t string"), "k", F.col("t")).collect()}
+    assert got == groups(keys, linked)
+
+
+def test_newest_versions(spark):
+    rows = [(1, "s", "one two three four five six seven"), (2, "s", "other words here"), (3, "s", "one two three four five six seven eight"), (4, "s", "one  two three four five six seven"), (5, "t", None), (6, "t", None)]
+    df = spark.createDataFrame(rows, "k bigint, b string, t string")
+    kept = lambda i: sorted(r["k"] for r in fuzzy.newest_versions(df, "b", "k", F.col("t"), i).collect())
+    assert kept(1) == [1, 2, 3, 4, 6]
+    assert kept(2) == [2, 4, 5, 6]
+
+
+def test_chunk_spans(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(2)
+    rows = [(d, s, p, k, " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, 12)))) for d in range(3) for s in range(2) for p in range(s * 5, s * 5 + 5) for k in range(rng.randint(0, 4))]
+    want = set()
+    for d, s in {(r[0], r[1]) for r in rows}:
+        def flush(words, pages):
+            at = 0
+            while words:
+                part = " ".join(words[at : at + 30])
+                want.add((f"doc{d}::ch{s:02d}::p{pages[0]}-{pages[-1]}::para::{hashlib.sha256(part.encode()).hexdigest()[:8]}", part))
+                if at + 30 >= len(words):
+                    return
+                at += 25
+
+        text, pages = [], []
+        for p in sorted({r[2] for r in rows if r[:2] == (d, s)}):
+            text += [r[4] for r in sorted(rows) if r[:3] == (d, s, p)]
+            pages.append(p)
+            if max(1, len(" ".join(text)) // 4) >= 45:
+                flush(" ".join(text).split(), pages)
+                text, pages = [], []
+        flush(" ".join(text).split(), pages)
+    got = {(r["id"], r["text"]) for r in spans.chunk_spans(spark.createDataFrame(rows, "doc_id bigint, span bigint, page bigint, pos bigint, text string"), 30, 5).collect()}
+    assert got == want
+
+
+def test_context_with_related(spark):
+    chunks = spark.createDataFrame([(f"c{i}", i, "x" * n) for i, n in enumerate((30, 30, 500, 30, 30, 30))], "id string, doc_id bigint, text string")
+    links = spark.createDataFrame([("c0", "c2", 1), ("c0", "c1", 2), ("c0", "c5", 3), ("c3", "c0", 1)], "id string, other string, r int")
+    hits = spark.createDataFrame([(7, 1, "c0"), (7, 2, "c1"), (7, 3, "c3"), (7, 4, "c2"), (7, 5, "c4")], "query_id bigint, r int, id string")
+    got = spans.context_with_related(hits, chunks, links, 150).first()
+    # c2 doesn't fit as a link and ends the context as a hit; c5 is the third link; c1 and c0 are there already
+    assert (got["ids"], got["used"]) == (["c0", "c1", "c3"], 3 * 34)
+
+
+def test_csv_types():
+    assert categories.detect_csv_type(["Key", "Summary", "Resolution", "Vertical"]) == ("jira_tickets", "Summary")
+    assert categories.detect_csv_type(["id", "Title", "Notes"]) == ("tabular_data", "Notes")
+    assert categories.detect_csv_type(["a", "b"], [{"a": "x", "b": "long text " * 4}] * 2) == ("tabular_data", "b")
+    assert categories.detect_csv_type(["a", "b"]) == ("tabular_data", "a") and categories.detect_csv_type([]) == ("tabular_data", "text")
+
+
+@pytest.mark.parametrize("raw", ["no json", "{}", "[]", "[1, 2]", '[{"name": "!!!"}]', None, ""])
+def test_odd_category_answers(spark, raw):
+    assert not one(spark, categories.parse_categories, raw)
+
+
+@pytest.mark.parametrize("sql", ["DELETE FROM t", "SELECT 1; DROP TABLE t", "CREATE TABLE x AS SELECT 1"])
+def test_raw_sql_is_one_select(spark, sql):
+    with pytest.raises(ValueError):
+        tickets.raw_sql(spark, sql)
+
+
+def test_fields_without_intent(spark):
+    assert one(spark, tickets.detect_fields, "modem") == tickets.DEFAULT_FIELDS
+    assert one(spark, tickets.detect_fields, "fix roku")["Platform_Affected"] == 3
+
+
+def test_summaries(spark):
+    """Each rule of the router's summary on its own."""
+    from quarry.functions import text as T
+
+    say = lambda t, most: one(spark, lambda c: T.summarize(c, most), t)
+    assert say("One.  Two.\nThree.", 100) == "One. Two. Three." and say("One. Two. Three.", 7) == "One. Tw"
+    long = "A one. B two. " + "middle " * 30 + "end. Last one."
+    assert say(long, 60) == "A one. B two. ... Last one."
+    assert say(long, 300).startswith("A one. B two. middle") and say(long, 300).endswith("... Last one.")
+
+
+def test_task_transitions_are_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    allowed = {"queued": ("crawling", "failed"), "crawling": ("synthesizing", "failed"), "synthesizing": ("review", "failed"), "review": ("queued",), "failed": ("queued",)}
+    want = {}
+    for r in ingest_queries.X.job_status(spark, sf).orderBy("job_id", "ts", "event_id").collect():
+        state, ok, no = want.get(r["job_id"], ("queued", 0, 0))
+        want[r["job_id"]] = (r["status"], ok + 1, no) if r["status"] in allowed[state] else (state, ok, no + 1)
+    got = {r["job_id"]: (r["state"], r["accepted"], r["refused"]) for r in registry.QUERIES["N06_task_transitions"](spark, sf).collect()}
+    assert got == want
