@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import GOLDEN as _G
 from quarry.llm.common import Hashes, id_key, materialize, mix, text_key, zipped
-from quarry.llm.components import apart, components
+from quarry.operators.components import apart, components
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -239,7 +239,13 @@ def across(left: DataFrame, distinct: DataFrame, texts: DataFrame, least: float)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = rows[rows["is_x"]], rows[~rows["is_x"]]
-        found, bags = [], {}
+        found, bags, above = [], {}, {}
+
+        def root(c):
+            while c in above:
+                c = above[c]
+            return c
+
         if len(a) and len(b):
             bytes_of = lambda r: np.stack(r["marks"].to_list()).astype(np.int64).view(np.uint8)
             m, n, ids, of = bytes_of(b), b["n"].to_numpy(), b["id"].to_list(), b["component"].to_list()
@@ -248,12 +254,13 @@ def across(left: DataFrame, distinct: DataFrame, texts: DataFrame, least: float)
                 may = (np.minimum(n, n_x) >= least * np.maximum(n, n_x) - 1e-6) & ((m == own_).sum(1) >= least_slots(least))
                 bag = None
                 for k in np.flatnonzero(may):
-                    if of[k] == c or not (of[k] == top_ or x_id < ids[k]):
+                    if not (of[k] == top_ or x_id < ids[k]) or root(of[k]) == root(c):
                         continue
                     bag = bag_of(text) if bag is None else bag
                     if k not in bags:
                         bags[k] = bag_of(texts_of[k])
                     if alike(bag, bags[k]) >= least:
+                        above[root(c)] = root(of[k])
                         found.append((min(x_id, ids[k]), max(x_id, ids[k])))
         return pd.DataFrame(found, columns=["a", "b"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, words_of
-from quarry.llm.components import apart, components
+from quarry.operators.components import apart, components
 
 BITS = 128
 SHINGLE = 5
