@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import upsert
+from quarry.operators import folds, upsert
 from quarry.plans import fixtures as X
 from quarry.plans.registry import query, table
 
@@ -187,8 +187,8 @@ def _reconcile(spark, sf):
 @query("N08_quota_view", f"WITH {X.ACCESS} SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS used FROM log WHERE user_id <> 'anonymous'")
 def _used(spark, sf):
     log = X.access_log(spark, sf).where("user_id <> 'anonymous'").withColumn("ts", F.col("ts").cast("timestamp"))
-    log.createOrReplaceTempView("quota_log")
-    return spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS used FROM quota_log")
+    hour = F.unix_micros("ts")
+    return log.select("event_id", one().over(Window.partitionBy("user_id").orderBy(hour).rangeBetween(-3_600_000_000, 0)).alias("used"))
 
 
 @query("N09_expire_sessions", f"WITH {X.ACCESS} SELECT user_id, count(*) AS n FROM log GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1440 MINUTE")
@@ -230,13 +230,6 @@ def _dedup(spark, sf):
 
 @query("N07_sliding_rate_limit")
 def _rate(spark, sf):
-    """A fold over each key's events in order: the last two accepted times decide on the next one."""
-    log = X.access_log(spark, sf).withColumn("t", F.unix_timestamp(F.col("ts").cast("timestamp")))
-    events = log.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("events"))
-    start = F.struct(F.lit(-10**12).cast("long").alias("a"), F.lit(-10**12).cast("long").alias("b"), F.expr("cast(array() as array<bigint>)").alias("ok"))
-
-    def step(acc, e):
-        fits = acc["a"] <= e["t"] - 3600
-        return F.when(fits, F.struct(acc["b"].alias("a"), e["t"].alias("b"), F.concat(acc["ok"], F.array(e["event_id"])).alias("ok"))).otherwise(acc)
-
-    return events.select("user_id", F.explode(F.aggregate("events", start, step)["ok"]).alias("event_id"))
+    """Fewer than two accepted events of the user in the hour before."""
+    log = X.access_log(spark, sf).select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    return folds.rate_limited(log, "user_id")

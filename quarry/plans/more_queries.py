@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import dedup, redact, search
+from quarry.operators import dedup, folds, redact, search
 from quarry.plans import fixtures as X
 from quarry.plans.index_queries import CLUSTER, QV, VECTOR
 from quarry.plans.registry import query, table
@@ -93,21 +93,10 @@ def _latest(spark, sf):
     return X.documents(spark, sf).groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("latest"))
 
 
-@query("A10_write_by_category", f"WITH {X.CHUNKS} SELECT coalesce(category, 'general') AS category, count(*) AS n, min(id) AS first_id FROM chunks GROUP BY 1")
-def _by_category(spark, sf):
-    return X.chunks(spark, sf).groupBy(F.coalesce("category", F.lit("general")).alias("category")).agg(one().alias("n"), F.min("id").alias("first_id"))
-
-
 @query("N06_task_transitions")
 def _transitions(spark, sf):
     """Each job's updates in order: a move is refused if the state that the accepted moves have led to doesn't allow it."""
-    allowed = {"queued": ("crawling", "failed"), "crawling": ("synthesizing", "failed"), "synthesizing": ("review", "failed"), "review": ("queued",), "failed": ("queued",)}
-    moves = F.create_map(*[x for k, v in allowed.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    s = X.job_status(spark, sf).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "status"))).alias("updates"))
-    start = F.struct(F.lit("queued").alias("state"), F.lit(0).alias("accepted"), F.lit(0).alias("refused"))
+    return folds.transitions(X.job_status(spark, sf), MOVES)
 
-    def step(acc, u):
-        ok = F.array_contains(F.coalesce(moves[acc["state"]], F.array().cast("array<string>")), u["status"])
-        return F.when(ok, F.struct(u["status"].alias("state"), (acc["accepted"] + 1).alias("accepted"), acc["refused"].alias("refused"))).otherwise(F.struct(acc["state"].alias("state"), acc["accepted"].alias("accepted"), (acc["refused"] + 1).alias("refused")))
 
-    return s.select("job_id", F.aggregate("updates", start, step).alias("r")).select("job_id", "r.state", "r.accepted", "r.refused")
+MOVES = {"queued": ("crawling", "failed"), "crawling": ("synthesizing", "failed"), "synthesizing": ("review", "failed"), "review": ("queued",), "failed": ("queued",)}

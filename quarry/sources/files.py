@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +67,19 @@ def write_by_category(chunks: DataFrame, path: str) -> None:
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def export_tables(tables: Mapping[str, DataFrame], path: str) -> None:
+    """Each table in a folder of its name, as Parquet, which other engines read too."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_vectors(rows: DataFrame, vectors: DataFrame, payload: Sequence[str], key: str, path: str) -> None:
+    """Rows with the listed payload columns and the vector that the caller supplies by `key` (key, vector), appended."""
+    append(rows.join(vectors, key).select(*payload, "vector"), path)
+
+
+def rebuild(index: DataFrame, path: str) -> None:
+    """Discards what is at a path and writes the index anew."""
+    index.write.mode("overwrite").parquet(path)

@@ -28,11 +28,15 @@ def once(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFr
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def rate_limited(events: DataFrame, most: int = 2, seconds: int = 3600) -> DataFrame:
+def rate_limited(events: DataFrame, most: int = 2, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
     """Accepted events (user_id, event_id): fewer than `most` accepted ones in the seconds before. Only accepted events count,
-    so each key keeps the times of its last `most` of them."""
+    so each key keeps the times of its last `most` of them, until it has rested for `seconds` past the watermark. Events of
+    a batch are judged in their order; one that comes in a later batch than its successors is judged after them."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         accepted = []
@@ -42,19 +46,29 @@ def rate_limited(events: DataFrame, most: int = 2, seconds: int = 3600) -> DataF
                 times = [*times, now][-most:]
                 accepted.append((key[0], event))
         state.update((times,))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), max(times, default=0) * 1000) + seconds * 1000 + 1)
         yield pd.DataFrame(accepted, columns=["user_id", "event_id"])
 
-    return events.groupBy("user_id").applyInPandasWithState(fold, "user_id string, event_id bigint", "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(fold, "user_id string, event_id bigint", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_status(updates: DataFrame) -> DataFrame:
-    """The newest status of each job; a failure outweighs later ones."""
+    """The newest status of each job; a failure outweighs later ones. A job has no end, so its one row of state stays: the
+    state grows with the jobs, not with their updates."""
     return updates.groupBy("job_id").agg(F.max_by("status", F.struct((F.col("status") == "failed").alias("f"), "ts")).alias("status"))
 
 
-def csv_drops(spark: SparkSession, path: str, schema: T.StructType, archive: str | None, upsert: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts a stream over a drop folder: each batch of new files goes to `upsert`, done files to the archive."""
-    source = spark.readStream.schema(schema).option("header", True)
+def csv_drops(spark: SparkSession, path: str, schema: T.StructType, archive: str | None, upsert: Callable[[DataFrame, int], None], checkpoint: str, invalid: str | None = None):
+    """Starts a stream over a drop folder: the rows of each batch of new files that fit the schema go to `upsert`, lines that
+    don't to the folder `invalid` (one for each batch, so that a batch that runs again replaces its own), done files to
+    the archive."""
+    source = spark.readStream.schema(schema.add("bad_", T.StringType())).option("header", True).option("columnNameOfCorruptRecord", "bad_")
     if archive:
         source = source.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return source.csv(path).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def batch(rows: DataFrame, n: int) -> None:
+        upsert(rows.where("bad_ is null").drop("bad_"), n)
+        if invalid:
+            rows.where("bad_ is not null").select("bad_").write.mode("overwrite").text(f"{invalid}/batch={n}")
+
+    return source.csv(path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

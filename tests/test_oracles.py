@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quarry.plans import index_queries, ingest_queries, insight_queries, more_queries, registry, rule_queries, search_queries, text_queries, ticket_queries  # noqa: F401
+from quarry.plans import file_queries, index_queries, ingest_queries, insight_queries, more_queries, registry, rule_queries, search_queries, text_queries, ticket_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
