@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import crc_mod, materialize
-from quarry.llm.eliasfano import Trie, quantise, value_of
+from quarry.llm.eliasfano import Trie, mapped, quantise, value_of
 
 #: Tokens of one block, about.
 BLOCK = 3_000_000
-#: Parts that the vocabulary and the trie are dealt out in, at most; else as many as there are blocks.
-MOST_PARTS = 2048
+#: Parts that the vocabulary and the trie are dealt out in, at most; else as many as there are blocks. A part is one group, so
+#: beyond this many blocks (2 * 10**11 tokens) groups grow with the corpus.
+MOST_PARTS = 1 << 16
 #: What is taken off a pair's count and given to its last word's own probability.
 DISCOUNT = 0.75
 
@@ -161,13 +162,8 @@ def _look_up(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     total, kinds = np.bincount(of, counts, len(contexts)), np.bincount(of, minlength=len(contexts))
     backoff = quantise(np.log10(DISCOUNT * kinds / np.maximum(total, 1))) if len(contexts) else np.zeros(0, np.uint16)
     codes = quantise(np.log10((counts - DISCOUNT) / total[of])) if len(every) else np.zeros(0, np.uint16)
-    words = every & 0xFFFFFFFF
-    trie = Trie(contexts, backoff, of, words, codes, int(words.max()) + 1 if len(words) else 1)
-    try:
-        found = [trie.lookup(k >> 32, np.minimum(k & 0xFFFFFFFF, trie.universe)) if trie.universe > 1 else (np.zeros(len(k), np.uint16),) * 2 for k in asked]
-        found = [(np.where((k & 0xFFFFFFFF) < trie.universe, c, 0).astype(np.uint16), w) for k, (c, w) in zip(asked, found, strict=True)]
-    finally:
-        trie.close()
+    trie = Trie(mapped(Trie.pack(contexts, backoff, of, every & 0xFFFFFFFF, codes)))
+    found = [trie.lookup(k >> 32, k & 0xFFFFFFFF) for k in asked]
     return pd.DataFrame({"block": b["block"], "kind": 1, "part": key[0], "a": [_zip(c) for c, _ in found], "b": [_zip(w) for _, w in found], "n": 0, "types": 0, "once": 0, "twice": 0})
 
 

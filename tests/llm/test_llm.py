@@ -434,12 +434,36 @@ def test_odd_pages(spark):
 
 def test_elias_fano():
     rng = np.random.default_rng(0)
-    for universe, n in ((10, 3), (1000, 900), (10**9, 5000), (2**40, 1000), (5, 5), (1, 1)):
+    for universe, n in ((10, 3), (1000, 900), (10**9, 5000), (2**40, 1000), (5, 5), (1, 1), (3000, 2), (10**6, 70_000)):
         v = np.unique(rng.integers(0, universe, n))
-        low_bits, words, unary = eliasfano.encode(v, universe)
-        asked = np.concatenate([v, rng.integers(0, universe, 500)])
+        e = eliasfano.EliasFano(eliasfano.encode(v, universe))
+        assert (e.access(np.arange(len(v))) == v).all()
+        asked = np.concatenate([v, rng.integers(0, universe, 500), [-1, universe, universe + 7]])
         at = np.minimum(np.searchsorted(v, asked), len(v) - 1)
-        assert (eliasfano.EliasFano(low_bits, words, unary, len(v)).find(asked) == np.where(v[at] == asked, at, -1)).all()
+        assert (e.find(asked) == np.where(v[at] == asked, at, -1)).all()
+        lo, hi = len(v) // 3, len(v) - len(v) // 4
+        assert (e.find(asked, lo, hi) == np.where((v[at] == asked) & (at >= lo) & (at < hi), at, -1)).all()
+        never_falls = np.sort(rng.integers(0, universe, n))
+        assert (eliasfano.EliasFano(eliasfano.encode(never_falls, universe)).access(np.arange(n)) == never_falls).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 4000])
+def test_trie_in_a_mapped_file(tmp_path, n):
+    import mmap
+
+    rng = np.random.default_rng(n)
+    pairs = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 50, n) ** 3, rng.integers(1, 3000, n), strict=True)})
+    contexts = np.array(sorted({a for a, _ in pairs}), np.int64)
+    of = np.searchsorted(contexts, [a for a, _ in pairs])
+    codes, backoff = rng.integers(1, 60_000, len(pairs)).astype(np.uint16), rng.integers(1, 60_000, len(contexts)).astype(np.uint16)
+    (tmp_path / "trie").write_bytes(eliasfano.Trie.pack(contexts, backoff, of, np.array([b for _, b in pairs], np.int64), codes))
+    with open(tmp_path / "trie", "rb") as f:
+        trie = eliasfano.Trie(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        asked = pairs + [(int(a), int(b)) for a, b in zip(rng.integers(0, 130_000, 500), rng.integers(1, 5000, 500), strict=True)] + [(a, 10**9) for a, _ in pairs[:5]]
+        got = trie.lookup(np.array([a for a, _ in asked], np.int64), np.array([b for _, b in asked], np.int64))
+        want, back = dict(zip(pairs, codes.tolist(), strict=True)), dict(zip(contexts.tolist(), backoff.tolist(), strict=True))
+        assert got[0].tolist() == [want.get(p, 0) for p in asked]
+        assert got[1].tolist() == [back.get(a, 0) for a, _ in asked]
 
 
 def test_scores(docs, texts, monkeypatch):
