@@ -4,22 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 
+from quarry.llm.common import GOLDEN as _G
+from quarry.llm.common import mix
+
 #: Bytes of a gram.
 GRAM = 32
 #: Windows of one piece, at most.
 PIECE = 93
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_G = np.uint64(0x9E3779B97F4A7C15)
-
-
 def gram_hashes(data: np.ndarray, least: int = 1) -> dict[int, np.ndarray]:
     """Hashes of the 32 and 64 bytes from each position on."""
     h, size, found = data.astype(np.uint64) + np.uint64(1), 1, {}

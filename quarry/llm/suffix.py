@@ -12,18 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
-from quarry.llm.repeats import gram_hashes, mix, pieces, sliding, GRAM
+from quarry.llm.common import materialize, mix, text_key, zipped
+from quarry.llm.repeats import GRAM, gram_hashes, pieces, sliding
 
 #: Bytes of the strings that count.
 WINDOW = 100
 #: Bytes of pieces that a task sorts together, about.
 SHARD_BYTES = 1_500_000
+#: Texts that may share a doc_id (or have none), and the bits that tell them apart.
+TEXT_BITS = 20
 #: Bytes of texts that a task cuts into pieces together, about.
 BATCH_BYTES = 8_000_000
 #: An anchor with more different pieces than this is divided by a second anchor, the greatest hash of each window's grams.
@@ -99,26 +100,38 @@ def later_windows(parts: list[bytes], window: int, owner: np.ndarray, start: np.
     return part[place][again], offset[place][again]
 
 
-def _pack(mark: np.ndarray | int, start: np.ndarray, windows: np.ndarray, periodic: np.ndarray | int = 0) -> np.ndarray:
-    """Mark of the text (15 bits), start (40), number of windows (7), periodic (1): orders as the start does."""
-    return (np.int64(mark) << 48) | (start.astype(np.int64) << 8) | (windows.astype(np.int64) << 1) | np.int64(periodic)
+def _pack(nth: np.ndarray | int, start: np.ndarray, windows: np.ndarray, periodic: np.ndarray | int = 0) -> np.ndarray:
+    """Number of the text among those of its doc_id (TEXT_BITS), start (35), windows (7), periodic (1): orders as the start does."""
+    return (np.int64(nth) << 43) | (start.astype(np.int64) << 8) | (windows.astype(np.int64) << 1) | np.int64(periodic)
 
 
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.asarray(at, np.int64)
-    return at >> 48, (at >> 8) & ((1 << 40) - 1), (at >> 1) & 127
-
-
-def _mark(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) & 0x7FFF
-
-
-def _small(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Ids and texts of about BATCH_BYTES at a time."""
+    return at >> 43, (at >> 8) & ((1 << 35) - 1), (at >> 1) & 127
+
+
+def numbered(docs: DataFrame, *more: str) -> DataFrame:
+    """d (the doc_id, or the least long for null), nth, text, and more columns, of each row. Different texts of a doc_id are numbered by their
+    digests, from 0; equal ones have one number. Only ids that repeat with another text are looked up."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.col("text").cast("string").alias("text"), *more)
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    shared = rows.select("d", h.alias("h")).groupBy("d").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("d")
+    shared = materialize(shared, "shared-ids")
+    if shared.isEmpty():
+        return rows.select("d", F.lit(0).alias("nth"), "text", *more)
+    keys = rows.join(shared, "d", "left_semi").select("d", text_key(F.col("text")).alias("key")).distinct()
+    keys = keys.withColumn("nth", F.row_number().over(Window.partitionBy("d").orderBy("key")) - 1)
+    keys = materialize(keys.withColumn("nth", F.when(F.col("nth") < 1 << TEXT_BITS, F.col("nth")).otherwise(F.raise_error(F.lit("too many texts of one doc_id")).cast("int"))), "texts-of-ids")
+    marked = rows.withColumn("key", text_key(F.col("text"))).join(keys, ["d", "key"], "left")
+    return marked.select("d", F.coalesce("nth", F.lit(0)).alias("nth"), "text", *more)
+
+
+def _small(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
+    """Ids (with numbers) and texts of about BATCH_BYTES at a time."""
     for b in batches:
         ids, texts, size = [], [], 0
-        for d, t in zip(b["d"], b["text"], strict=True):
-            ids.append(d)
+        for d, nth, t in zip(b["d"], b["nth"], b["text"], strict=True):
+            ids.append((d, nth))
             texts.append((t or "").encode("utf-8"))
             size += len(texts[-1])
             if size >= BATCH_BYTES:
@@ -133,10 +146,10 @@ def _find(window: int):
         """Pieces of a batch; of those that are the same bytes only the first goes on, the others are settled here."""
         for d_ids, texts in _small(batches):
             found = []
-            for d, raw in zip(d_ids, texts, strict=True):
+            for (d, nth), raw in zip(d_ids, texts, strict=True):
                 anchor, key, start, n, periodic = pieces(np.frombuffer(raw, np.uint8), window)
                 if len(anchor):
-                    found.append((anchor, key, np.full(len(anchor), d), _pack(_mark(raw), start, n, periodic)))
+                    found.append((anchor, key, np.full(len(anchor), d), _pack(nth, start, n, periodic)))
             if not found:
                 continue
             anchor, key, d, at = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -154,12 +167,11 @@ def _cut(window: int):
         unzip = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows: list[tuple] = []
-            for d, packed, wanted in zip(b["d"], b["packed"], b["wanted"], strict=True):
+            for d, nth, packed, wanted in zip(b["d"], b["nth"], b["packed"], b["wanted"], strict=True):
                 raw = unzip(packed)
-                mark = _mark(raw)
                 for w in wanted:
                     own, start, n = _unpack(w["at"])
-                    if own != mark:
+                    if own != nth:
                         continue
                     data, anchor = raw[start : start + n + window - 1], w["anchor"]
                     if not w["hot"]:
@@ -169,28 +181,41 @@ def _cut(window: int):
                     edge = [0, *(np.flatnonzero(second[1:] != second[:-1]) + 1).tolist(), len(second)]
                     sub = mix(second ^ np.int64(anchor).view(np.uint64)).view(np.int64)
                     for lo, hi in zip(edge, edge[1:], strict=False):
-                        rows.append((int(sub[lo]), d, int(_pack(mark, start + lo, np.int64(hi - lo))), data[lo : hi + window - 1]))
+                        rows.append((int(sub[lo]), d, int(_pack(nth, start + lo, np.int64(hi - lo))), data[lo : hi + window - 1]))
             yield pd.DataFrame(rows, columns=["anchor", "d", "at", "data"])
 
     return run
 
 
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of rows in the order of their anchors, of about SHARD_BYTES bytes, cut only between anchors."""
+    held, size = [], 0
+    for b in batches:
+        while len(b):
+            upto = size + np.cumsum(b["data"].map(len).to_numpy())
+            full = int(np.searchsorted(upto, SHARD_BYTES))
+            anchor = b["anchor"].to_numpy()
+            last = anchor[full] if full < len(b) else None
+            # the first place at or after the limit where the anchor changes
+            cut = full + int(np.argmax(np.append(anchor[full:] != last, True))) if last is not None else len(b)
+            held.append(b.iloc[:cut])
+            size = int(upto[cut - 1]) if cut else size
+            b = b.iloc[cut:]
+            if len(b):
+                yield pd.concat(held)
+                held, size = [], 0
+    if held:
+        yield pd.concat(held)
+
+
 def _sort(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Windows of a shard's pieces that an earlier one equals, as runs."""
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        b = pd.concat(frames).sort_values("anchor", kind="stable")
-        size, anchor = b["data"].map(len).to_numpy(), b["anchor"].to_numpy()
-        # cut only between anchors
-        block = np.cumsum(size) // SHARD_BYTES
-        block = pd.Series(block).groupby(anchor).transform("min").to_numpy()
-        for _, own in b.groupby(block):
-            mark, start, _n = _unpack(own["at"].to_numpy())
-            # documents in order: by id, then by the mark of their text
+        for own in _shards(batches):
+            nth, start, _n = _unpack(own["at"].to_numpy())
+            # documents in order: by id, then by the number of their text
+            _, owner = np.unique(np.rec.fromarrays([own["d"].to_numpy(), nth]), return_inverse=True)
             d = own["d"].to_numpy()
-            _, owner = np.unique(np.rec.fromarrays([d, mark]), return_inverse=True)
             part, offset = later_windows(own["data"].tolist(), window, owner, start)
             if not len(part):
                 continue
@@ -199,7 +224,7 @@ def _sort(window: int):
             new = np.concatenate([[True], (part[1:] != part[:-1]) | (offset[1:] != offset[:-1] + 1)])
             lo = np.flatnonzero(new)
             n = np.diff(np.concatenate([lo, [len(part)]]))
-            yield pd.DataFrame({"d": d[part[lo]], "at": _pack(0, start[part[lo]] + offset[lo], n) | (mark[part[lo]] << 48)})
+            yield pd.DataFrame({"d": d[part[lo]], "at": _pack(0, start[part[lo]] + offset[lo], n) | (nth[part[lo]] << 43)})
 
     return run
 
@@ -217,9 +242,8 @@ def spans(data_length: int, start: np.ndarray, windows: np.ndarray, window: int)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """d (the doc_id, or the least long for null), at: runs of windows that an earlier window equals."""
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.col("text").cast("string").alias("text"))
-    found = source.mapInPandas(_find(window), "anchor bigint, piece bigint, d bigint, at bigint, later boolean")
+    """d, at: runs of windows that an earlier window equals, in docs as numbered() gives them."""
+    found = docs.mapInPandas(_find(window), "anchor bigint, piece bigint, d bigint, at bigint, later boolean")
     same = Window.partitionBy("anchor", "piece").orderBy("d", "at")
     group = Window.partitionBy("anchor")
     rows = found.withColumn("nth", F.row_number().over(same)).withColumn("later", F.col("later") | (F.col("nth") > 1))
@@ -228,26 +252,19 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = materialize(rows.select("anchor", "d", "at", "later", (F.col("kinds") > HOT_PIECES).alias("hot")), "pieces")
     left = rows.where("not later")
     wanted = left.groupBy("d").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("wanted"))
-    shards = max(1, left.count() * 170 // SHARD_BYTES)
     cut = packed(docs).join(wanted, "d").mapInPandas(_cut(window), "anchor bigint, d bigint, at bigint, data binary")
-    sorted_ = cut.repartition(shards, "anchor").mapInPandas(_sort(window), "d bigint, at bigint")
+    sorted_ = cut.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_sort(window), "d bigint, at bigint")
     return rows.where("later").select("d", "at").unionByName(sorted_)
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """d and the compressed UTF-8 bytes of each text (null: empty), to move less in a shuffle."""
-
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        z = zstandard.ZstdCompressor(level=1).compress
-        return pd.Series([z((t or "").encode("utf-8")) for t in texts], dtype=object)
-
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), run(F.col("text").cast("string")).alias("packed"))
+    """d, nth and the compressed UTF-8 bytes of each text of numbered()."""
+    return docs.select("d", "nth", zipped(F.col("text")).alias("packed"))
 
 
-def _kept(raw: bytes, runs, window: int) -> tuple[list[tuple[int, int]], bytes]:
-    mark, start, n = _unpack(np.array([] if runs is None else runs, np.int64))
-    own = mark == _mark(raw)
+def _kept(raw: bytes, nth: int, runs, window: int) -> tuple[list[tuple[int, int]], bytes]:
+    of, start, n = _unpack(np.array([] if runs is None else runs, np.int64))
+    own = of == nth
     cut = spans(len(raw), start[own], n[own], window)
     at, kept = 0, []
     for lo, hi in cut:
@@ -259,20 +276,21 @@ def _kept(raw: bytes, runs, window: int) -> tuple[list[tuple[int, int]], bytes]:
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs.
 
-    A null text is empty, as is any text shorter than the window free of removals; a null doc_id comes before all
-    others; rows that repeat a doc_id and text are one document and get the same result each, rows that
-    repeat a doc_id with other texts are documents of their own, in an order of their texts' hashes; an empty table
-    gives no rows."""
-    runs = repeats(docs, window).groupBy("d").agg(F.collect_list("at").alias("runs"))
+    A null text is empty, as is any text shorter than the window free of removals; very long texts are taken whole; a null
+    doc_id comes before all others; rows that repeat a doc_id and text are one document and get the same result each,
+    rows that repeat a doc_id with other texts are documents of their own, in an order of their texts' digests; other
+    columns are left out; an empty table gives no rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = numbered(docs)
+    runs = repeats(docs, window).groupBy("d").agg(F.collect_list("at").alias("runs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unzip = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = []
-            for d, z, r in zip(b["d"], b["packed"], b["runs"], strict=True):
+            for d, nth, z, r in zip(b["d"], b["nth"], b["packed"], b["runs"], strict=True):
                 raw = unzip(z)
-                cut, kept = _kept(raw, r, window)
+                cut, kept = _kept(raw, nth, r, window)
                 out.append((d, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["d", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -283,18 +301,19 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the repeated bytes removed from each text; broken characters at the edges of a removal are left out.
     Rows whose text is removed whole go. n_chars, where there is such a column, is counted anew; a null text stays null."""
-    runs = repeats(docs, window).groupBy("d").agg(F.collect_list("at").alias("runs"))
+    own = numbered(docs)
+    runs = repeats(own, window).groupBy("d").agg(F.collect_list("at").alias("runs"))
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
+    def run(texts: pd.Series, nth: pd.Series, lists: pd.Series) -> pd.Series:
         out = []
-        for t, r in zip(texts, lists, strict=True):
-            out.append(t if t is None or r is None else _kept(t.encode("utf-8"), r, window)[1].decode("utf-8", "ignore"))
+        for t, n, r in zip(texts, nth, lists, strict=True):
+            out.append(t if t is None or r is None else _kept(t.encode("utf-8"), n, r, window)[1].decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    marked = docs.select(key.alias("d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")).join(runs, "d", "left")
-    marked = marked.select("row_", run(F.col("row_.text").cast("string"), "runs").alias("left_"))
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
+    marked = numbered(whole, "row_").join(runs, "d", "left")
+    marked = marked.select("row_", run("text", "nth", "runs").alias("left_"))
     marked = marked.where(F.col("left_").isNull() | (F.col("left_") != "") | (F.col("row_.text") == ""))
     new = {"text": F.col("left_"), "n_chars": F.length("left_").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return marked.select(*[new[c].alias(c) if c in new else F.col(f"row_.`{c}`").alias(c) for c in docs.columns])

@@ -187,6 +187,20 @@ def test_removals_of_documents(docs, texts):
     assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in got.items()} == brute_removals(texts.items())
 
 
+def test_texts_that_share_an_id(spark):
+    """Each text of an id is a document of its own, however many there are; equal ones are one."""
+    base = "".join(random.Random(1).choice("abcdef ") for _ in range(300))
+    rows = [(None if i % 2 else 7, base if i < 2 else f"{i:04d}" * 30 + ("" if i % 5 else base[:150])) for i in range(600)] + [(7, base)]
+    got = suffix.removals(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    # order: null first, then 7; within an id by the digest of the text
+    digest = lambda t: hashlib.md5(t.encode()).digest()
+    distinct = sorted({(-1 if d is None else d, digest(t), t) for d, t in rows})
+    want = brute_removals([(i, t) for i, (_, _, t) in enumerate(distinct)])
+    of = Counter((d, want[i]) for i, (d, _, t) in enumerate(distinct) for _ in range(sum(1 for e, u in rows if (-1 if e is None else e, u) == (d, t))))
+    assert Counter((-1 if r["doc_id"] is None else r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got) == of
+
+
 def test_pieces_cover_all_windows():
     data = np.frombuffer(("abc" * 300 + "".join(random.Random(2).choice("xyz ") for _ in range(2000))).encode(), np.uint8)
     _, _, start, size, _ = repeats.pieces(data, 100)
