@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, eliasfano, html, lengths, minhash, mixing, ngrams, quality, queries, repeats, simhash, suffix, toxicity
+from quarry.llm import bpe, eliasfano, html, lengths, minhash, mixing, ngrams, quality, queries, repeats, simhash, suffix, suffix_order, toxicity
 from quarry.operators.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -187,6 +187,31 @@ def test_removals_of_documents(docs, texts):
     assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in got.items()} == brute_removals(texts.items())
 
 
+@pytest.mark.parametrize("n", [3, 9, 10, 11, 200])
+def test_distributed_suffix_order(spark, monkeypatch, n):
+    monkeypatch.setattr(suffix_order, "LOCAL", 4)
+    monkeypatch.setattr(suffix_order, "BLOCK", 16)
+    x = np.random.default_rng(n).integers(1, 3, n)
+    got = suffix_order.ranks(spark.createDataFrame([(i, int(c)) for i, c in enumerate(x)], "pos bigint, c bigint"), n).collect()
+    assert sorted((r["pos"], r["rank"]) for r in got) == list(enumerate(suffix.suffix_ranks(x).tolist()))
+
+
+def test_windows_of_the_distributed_order(spark, monkeypatch):
+    monkeypatch.setattr(suffix_order, "LOCAL", 500)
+    monkeypatch.setattr(suffix_order, "BLOCK", 64)
+    rng = random.Random(6)
+    base = "".join(rng.choice("ab") for _ in range(120))
+    rows = [(i, base[rng.randint(0, 60) :] + rng.choice(["", "x", "aaaa" * 20])) for i in range(9)] + [(20, None), (21, "")]
+    first, want = set(), set()
+    for d, t in rows:
+        for p in range(len(t or "") - 29):
+            if t[p : p + 30] in first:
+                want.add((d, p))
+            first.add(t[p : p + 30])
+    got = suffix_order.later_windows(spark.createDataFrame(rows, "doc_id bigint, text string"), 30).collect()
+    assert {(r["doc_id"], r["start"]) for r in got} == want
+
+
 def test_texts_that_share_an_id(spark):
     """Each text of an id is a document of its own, however many there are; equal ones are one."""
     base = "".join(random.Random(1).choice("abcdef ") for _ in range(300))
