@@ -27,7 +27,7 @@ from quarry.llm.common import Hashes, crc_mod, id_key, materialize
 #: Labelled documents that the models learn from, at most: ordinary and toxic ones, by the order of a hash of their ids.
 ROWS = (12_000, 3_000)
 #: The discount, see above.
-SHARED, DEVIATIONS, DISCOUNT = 2.0, 3.0, 0.75
+SHARED, DEVIATIONS, DISCOUNT = 2.0, 3.0, 1.0
 #: What each word has among the shared counts besides its own.
 FLOOR = 0.1
 #: Grams with a count left in a class after the discount, at most; they are broadcast. More than that is an error.
@@ -121,7 +121,7 @@ def build(grams: DataFrame, cells: list[Column]) -> Model:
     left_all = np.array([(left_all[f"d{c}"] or 0.0) / total[c] if all_[f"n{c}"] else 1.0 for c in (0, 1)])
 
     of = counts.groupBy("v").agg(*[F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)])
-    pairs = counts.join(of, "v")
+    pairs = counts.where("n0 > 1 or n1 > 1").join(of, "v")  # of a count of 1 the discount leaves nothing
     sums = F.col("s0") + F.col("s1")
     pairs = pairs.select("v", "w", "s0", "s1", *n, *[taken(n[c], both * F.col(f"s{c}") / sums).alias(f"d{c}") for c in (0, 1)])
     own = pairs.where("n0 > d0 or n1 > d1")
