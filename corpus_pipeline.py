@@ -7,35 +7,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, minhash, mixing, quality, suffix
-from quarry.llm.common import materialize, table
+from quarry.llm.common import id_key, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. A document is known by its id and text."""
-    marked = docs.withColumn("doc_", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    """Documents that the quality rules keep, with their own columns. A document is known by its id and text, so rows that
+    repeat both share a verdict, and rows with a null id are judged like others; null and empty texts are rejected."""
     labels = table(spark, sf_dir, "labels")
-    kept = quality.verdicts(docs, quality.trusted_rows(labels), keep_text_hash=True).where("kept").select("doc_id", "text_hash").distinct()
-    same = marked["doc_id"].eqNullSafe(kept["doc_id"]) & (marked["doc_"] == kept["text_hash"])
-    return marked.join(kept, same, "left_semi").select(docs.columns)
+    kept = quality.verdicts(docs, quality.trusted_rows(labels), keep_text_hash=True).where("kept")
+    kept = kept.select(id_key(F.col("doc_id")).alias("d_"), F.col("text_hash").alias("h_")).distinct()
+    hashed = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), id_key(F.col("doc_id")).alias("d_"), hashed.alias("h_"))
+    return own.join(kept, ["d_", "h_"], "left_semi").select("row_.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of the least id (null last); texts without words are one group."""
     return minhash.dedup(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 100-byte strings that start earlier in the corpus."""
+    """Documents without the bytes of 100-byte strings that start earlier in the corpus; those that lose all bytes go."""
     return suffix.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that one seeded epoch takes to fill each leaf's budget; at a budget's end the last one stays whole."""
+    """The documents that one seeded epoch takes to fill each leaf's budget; at a budget's end the last one stays whole. Null
+    languages and sources are a leaf like others; a text without words takes nothing and stays if its place is before the end."""
     return mixing.chosen(docs, mixing.Targets(max_epochs=1))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document that is left."""
+    """Token counts and digests of each document that is left, a row for each row; a null text has no tokens."""
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
