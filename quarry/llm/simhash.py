@@ -16,7 +16,7 @@ SHINGLE = 5
 #: Fingerprints at most this many bits apart count as near; the mean distance at a shingle Jaccard of 0.96.
 RADIUS = 8
 #: Blocks of a fingerprint; at least BLOCKS - RADIUS of them are equal in near ones. A table's key holds so many blocks, so
-#: more blocks make more tables (their choices) with longer keys: 10 give 45 of 25 bits, 11 give 165 of 34.
+#: more blocks make more tables (their choices) with longer keys: 10 give 45 of 25 bits, 12 give 495 of 42.
 BLOCKS = 10
 #: Tables' buckets of up to so many fingerprints are compared pair by pair at once; larger ones through a hub first.
 SMALL = 8
