@@ -224,7 +224,9 @@ def across(left: DataFrame, distinct: DataFrame, texts: DataFrame, least: float)
     a group are dealt into blocks of about BLOCK_TEXTS texts or BLOCK_SHINGLES shingles; a task gets a block of the ones
     and a block of the others, compares their signatures and, where these allow it, their whole texts. Only links leave it."""
     hub = left.groupBy("bucket").agg(F.min("id").alias("b"))
-    group = components(left.join(hub, "bucket").select(F.col("id").alias("a"), "b").distinct())
+    # a text joins the hubs of its buckets; few hubs stand for many buckets, so each text goes to its least one, and hubs to that
+    met = left.join(hub, "bucket").groupBy("id").agg(F.min("b").alias("b"), F.collect_set("b").alias("hubs"))
+    group = components(met.select(F.explode(F.array_append("hubs", F.col("id"))).alias("a"), "b").distinct())
     own = left.select("id", "component").distinct().join(group.select("id", F.col("component").alias("group")), "id")
     parts = own.groupBy("group", "component").agg(F.count(F.lit(1)).alias("k"))
     top = parts.groupBy("group").agg(F.max_by("component", F.struct("k", "component")).alias("top"))
@@ -267,6 +269,15 @@ def across(left: DataFrame, distinct: DataFrame, texts: DataFrame, least: float)
     return x.unionByName(y).groupBy("group", "bx", "by").applyInPandas(run, "a binary, b binary")
 
 
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (id, component) after more links (a, b): only the components that these join are looked at."""
+    of = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    pairs = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = components(pairs.distinct())
+    moved = label.join(up.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+    return materialize(moved.unionByName(up.join(label, "id", "left_anti").select("id", "component")), "labels")
+
+
 def labelled(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, text_key, id, n, component of each row, where component is the id of the class.
 
@@ -284,8 +295,7 @@ def labelled(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     texts = materialize(texts.join(some, "text_key").dropDuplicates(["text_key"]).select("id", "text"), "texts")
 
     done = materialize(plausible(candidates(one), worded, least), "pairs")
-    links = materialize(verify(done, texts, least), "found")
-    label = components(links)
+    label = components(materialize(verify(done, texts, least), "found"))
     for turn in range(TURNS + 1):
         left = materialize(apart(one.where(F.col("size") > SMALL).select("id", "bucket"), label), "left")
         if left.isEmpty():
@@ -298,8 +308,7 @@ def labelled(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         more = materialize(more, "found")
         if more.isEmpty():
             continue
-        links = links.unionByName(more)
-        label = components(links)
+        label = joined(label, more)
     final = distinct.select("id").join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     return signed.select("doc_id", "text_key", "id", "n").join(final, "id")
 
