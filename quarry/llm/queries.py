@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, html, lengths, minhash, mixing, ngrams, quality, simhash, suffix, toxicity
+from quarry.llm import bpe, exact, html, lengths, minhash, mixing, ngrams, phrases, quality, simhash, suffix, toxicity
 from quarry.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -51,5 +51,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_html_extraction, op5_bpe, op6_lm_scoring, op7_minhash_near_dedup, op8_mixing, op9_simhash, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_html_extraction, op5_bpe, op6_lm_scoring, op7_minhash_near_dedup, op8_mixing, op9_simhash, op10_token_counts, op11_exact_dedup, op12_collocations)}
+ORACLES: dict[str, str] = {
+    "op11_exact_dedup": """
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from (
+            select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, sha256(text) as text_sha256
+            from (select doc_id, coalesce(text, '') as text from documents) window w as (partition by text))""",
+}
