@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact, html, lengths, minhash, mixing, ngrams, phrases, quality, simhash, suffix, toxicity
+from quarry.llm import bpe, exact, html, lengths, minhash, mixing, negatives, ngrams, phrases, quality, simhash, suffix, toxicity
 from quarry.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -59,7 +59,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_html_extraction, op5_bpe, op6_lm_scoring, op7_minhash_near_dedup, op8_mixing, op9_simhash, op10_token_counts, op11_exact_dedup, op12_collocations)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_quality_rules, op4_html_extraction, op5_bpe, op6_lm_scoring, op7_minhash_near_dedup, op8_mixing, op9_simhash, op10_token_counts, op11_exact_dedup, op12_collocations, op13_hard_negatives)}
 ORACLES: dict[str, str] = {
     "op11_exact_dedup": """
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from (
