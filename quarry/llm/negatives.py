@@ -245,7 +245,7 @@ def answers(rows: DataFrame, asks: DataFrame, codes: Codebooks, positives: bool)
                         may = own & (shard.rows["row"].to_numpy()[at] != row)
                         windows = [(0, may)]
                     else:
-                        windows = [(k, ~own & (score <= top) & (100 * score >= LOW_PERCENT * top)) for k, top in enumerate(tops)]
+                        windows = [(k, ~own & (score <= top) & (score >= -(-LOW_PERCENT * int(top) // 100))) for k, top in enumerate(tops)]
                     for k, may in windows:
                         chosen, places, values = shard.best(score[may], at[may], POSITIVES if positives else NEGATIVES)
                         found.append(pd.DataFrame({"anchor": row, "place": k, "score": values[chosen], "at": places[chosen]}))
@@ -285,7 +285,8 @@ def hard_negatives(embeddings: DataFrame, cell_rows: int = CELL_ROWS, shard_rows
 
     tops = positive.groupBy(F.col("anchor").alias("row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("tops"))
     windows = anchors.join(tops, "row")
-    least = F.ceil(F.array_min("tops") * F.lit(LOW_PERCENT) / 100).cast("double") - 1
+    lowest = F.array_min("tops").cast("double")
+    least = lowest * (LOW_PERCENT / 100) - F.abs(lowest) * 1e-9 - 1  # a margin for rounding
     third = windows.withColumn("floor", least)
     seeds = answers(rows, asked(third, codes, seed_rows), codes, False).where(F.col("rank") == NEGATIVES).groupBy(F.col("anchor").alias("row")).agg(F.count(F.lit(1)).alias("full"), F.min("score").cast("double").alias("reached"))
     fourth = third.join(seeds, "row", "left").withColumn("floor", F.when(F.col("full") == F.size("tops"), F.greatest("floor", "reached")).otherwise(F.col("floor")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,9 +44,9 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
 
         def flush(lang: str) -> pd.DataFrame:
             of, own, _ = known.pop(lang), np.concatenate(ids.pop(lang)), size.pop(lang)
-            counts = np.bincount(own, minlength=len(of) + 1)[1:]
-            words = [w.decode("utf-8", "replace") for w in of][1:]
-            return pd.DataFrame({"lang": [lang], "words": [words], "counts": [counts[: len(words)]], "ids": [own.astype(np.int32).tobytes()]})
+            counts = np.bincount(own)[1:]
+            words = [w.decode("utf-8", "replace") for w in islice(of, 1, len(counts) + 1)]  # later ones are the next shard's
+            return pd.DataFrame({"lang": [lang], "words": [words], "counts": [counts], "ids": [own.astype(np.int32).tobytes()]})
 
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
