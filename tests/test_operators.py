@@ -230,6 +230,36 @@ def test_fuzzy_classes_are_brute_force(spark):
     assert got == groups(keys, linked)
 
 
+@pytest.mark.parametrize("intensity", [2, 3, 4, 5])
+def test_fuzzy_classes_when_letters_change_inside_words(spark, intensity):
+    """Texts that share few whole words or none, at each threshold; blocks smaller than a window."""
+    import random
+
+    rng = random.Random(intensity)
+    letters = "abcdefghij"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rows = {1: "x" * 60, 2: "x" * 61, 3: "y" * 60, 4: "yy", 5: " ".join(sorted(word(6) for _ in range(20)))}
+    rows[6] = " ".join(w + "q" if k < 8 else w for k, w in enumerate(rows[5].split()))
+    for g in range(12):
+        base = [word(rng.randint(3, 9)) for _ in range(rng.choice((3, 12, 40)))]
+        for v in range(6):
+            w = list(base)
+            for _ in range(rng.randint(0, 1 + len(w) // 2)):
+                k = rng.randrange(len(w))
+                c = rng.randrange(len(w[k]) + 1)
+                w[k] = rng.choice((w[k][:c] + rng.choice(letters) + w[k][c:], w[k][:c] + w[k][c + 1 :] or "z", w[k] + word(2)))
+            rng.shuffle(w)
+            rows[100 + 10 * g + v] = " ".join(w[: rng.choice((len(w), len(w), len(w) - 1))])
+    keys, least = sorted(rows), fuzzy.threshold(intensity)
+    linked = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if set(rows[a].split()) == set(rows[b].split()) or fuzzy.token_set_ratio(rows[a], rows[b]) >= least]
+    df = spark.createDataFrame(list(rows.items()), "k bigint, t string")
+    got = {r["k"]: r["kept_key"] for r in fuzzy.fuzzy_classes(df, "k", F.col("t"), intensity).collect()}
+    assert got == groups(keys, linked)
+    sets = df.select(F.col("k").alias("key"), F.array_join(F.array_sort(F.array_distinct(F.split("t", " "))), " ").alias("t"))
+    by_edits = {tuple(sorted(r)) for r in fuzzy.alike_by_edits(sets, least, block=7).collect()}
+    assert by_edits <= {tuple(sorted(p)) for p in linked}
+
+
 def test_newest_versions(spark):
     rows = [(1, "s", "one two three four five six seven"), (2, "s", "other words here"), (3, "s", "one two three four five six seven eight"), (4, "s", "one  two three four five six seven"), (5, "t", None), (6, "t", None)]
     df = spark.createDataFrame(rows, "k bigint, b string, t string")
