@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from quarry.plans import fixtures as X
 from quarry.plans.registry import query, table
-from quarry.sources import files
+from quarry.sources import files, ticket_store
 from quarry.sources.scratch import scratch_dir
 from quarry.streaming import streams
 
@@ -39,15 +39,14 @@ def _chunks(spark, sf):
     return files.read_chunks(spark, at).select("id", F.col("metadata.nlp_category").alias("category"), F.length("text").cast("long").alias("n"))
 
 
-@query("A03_read_text_files", "SELECT lang || '.txt' AS file, count(*) AS lines, sum(strlen(t)) AS bytes FROM (SELECT lang, doc_id || ' ' || replace(replace(source, chr(10), ' '), chr(13), ' ') AS t FROM documents) GROUP BY lang")
+@query("A03_read_text_files", "SELECT doc_id // 50 AS file, count(*) AS n_docs, sum(strlen(coalesce(text, '')) + 1) AS bytes, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM documents GROUP BY 1")
 def _text_files(spark, sf):
-    """One whole text file for each language, read as one row."""
+    """Whole texts, fifty documents to a file, read as one row each."""
     at = folder(spark, "texts")
-    d = X.documents(spark, sf).select("lang", F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.regexp_replace("source", r"[\n\r]", " ")).alias("value"))
-    d.repartition("lang").write.partitionBy("lang").text(at)
-    whole = spark.read.option("wholetext", True).text(at)
-    lines = F.filter(F.split("value", "\n"), lambda x: x != "")
-    return whole.select(F.concat("lang", F.lit(".txt")).alias("file"), F.size(lines).cast("long").alias("lines"), F.octet_length(F.array_join(lines, "")).cast("long").alias("bytes")).groupBy("file").agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
+    d = X.documents(spark, sf).select(F.expr("doc_id div 50").alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    d.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(at)
+    read = files.read_text_docs(spark, at).select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("digest"))
+    return read.join(d.groupBy("file").agg(one().alias("n_docs")), "file").select("file", "n_docs", "bytes", "digest")
 
 
 @query("A04_read_csv_docs", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, md5(text) AS digest FROM documents WHERE text <> '' AND NOT contains(text, chr(13))")
@@ -126,13 +125,27 @@ def _markdown(spark, sf):
     return spark.read.text(at).where(F.col("value").rlike("^## doc[0-9]+::chunk")).groupBy("category").agg(one().alias("headings"))
 
 
-@query("A14_export_tickets", f"WITH {X.TICKETS} SELECT key, status, client, CASE WHEN key LIKE 'RCA-%' THEN 'postrca' ELSE 'dpstriage' END AS store FROM tickets")
+TICKET = "key string, status string, client string, created date, updated date, summary string"
+
+
+@query("A14_export_tickets", f"WITH {X.TICKETS} SELECT key, status, client, CAST(created AS VARCHAR) AS created, CAST(updated AS VARCHAR) AS updated, summary, CASE WHEN key LIKE 'RCA-%' THEN 'reviews' ELSE 'triage' END AS store FROM tickets")
 def _tickets(spark, sf):
-    """Both ticket tables dumped to a portable store, one folder each."""
+    """Both ticket tables in SQLite files, one store each, read back from there."""
     at = folder(spark, "tickets")
-    files.export_tables({"postrca": X.tickets(spark, sf).where("key like 'RCA-%'"), "dpstriage": X.tickets(spark, sf).where("key not like 'RCA-%'")}, at)
-    read = [spark.read.parquet(f"{at}/{name}").select("key", "status", "client", F.lit(name).alias("store")) for name in ("postrca", "dpstriage")]
-    return read[0].unionByName(read[1])
+    t = X.tickets(spark, sf).select("key", "status", "client", "created", "updated", "summary")
+    ticket_store.export_tickets({"reviews": t.where("key like 'RCA-%'"), "triage": t.where("key not like 'RCA-%'")}, at)
+    read = [ticket_store.read_tickets(spark, f"{at}/{name}", name, TICKET).withColumn("store", F.lit(name)) for name in ("reviews", "triage")]
+    return read[0].unionByName(read[1]).withColumns({c: F.col(c).cast("string") for c in ("created", "updated")})
+
+
+@query("A07_read_tickets", f"WITH {X.TICKETS} SELECT key, status, CAST(updated AS VARCHAR) AS updated, summary FROM tickets WHERE status IN ('F', 'O') AND created >= DATE '1995-01-01' AND updated IS NOT NULL AND key LIKE 'TRI-%'")
+def _read_tickets(spark, sf):
+    """A store's tickets in ranges of rows; the filters on columns are answered by SQLite."""
+    at = folder(spark, "store")
+    ticket_store.export_tickets({"tickets": X.tickets(spark, sf).select("key", "status", "client", "created", "updated", "summary")}, at)
+    t = ticket_store.read_tickets(spark, f"{at}/tickets", "tickets", TICKET, rows=2000)
+    kept = t.where(F.col("status").isin("F", "O") & (F.col("created") >= F.lit("1995-01-01").cast("date")) & F.col("updated").isNotNull() & F.col("key").startswith("TRI-"))
+    return kept.select("key", "status", F.col("updated").cast("string").alias("updated"), "summary")
 
 
 @query("A15_validate_csv_schema", "SELECT * FROM (VALUES ('customer', true, ''), ('empty', false, 'no rows'), ('region', false, 'missing columns: c_custkey, c_name')) AS t(file, valid, reason) WHERE EXISTS (SELECT 1 FROM customer)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +24,9 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
-    """file, text of whole .txt and .md files."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(path)
-    return rows.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    """path, file (its name), text of whole .txt and .md files."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
 def list_files(spark: SparkSession, path: str, suffixes: Sequence[str]) -> DataFrame:
@@ -54,8 +54,8 @@ def validate_csv(df: DataFrame, required: Sequence[str]) -> tuple[bool, str]:
     return (False, "no rows") if df.isEmpty() else (True, "")
 
 
-def read_tickets(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A ticket table over JDBC; filters and columns are pushed down."""
+def read_tickets_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A ticket table of a database server over JDBC; filters and columns are pushed down."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
@@ -69,12 +69,6 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def export_tables(tables: Mapping[str, DataFrame], path: str) -> None:
-    """Each table in a folder of its name, as Parquet, which other engines read too."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
 def write_vectors(rows: DataFrame, vectors: DataFrame, payload: Sequence[str], key: str, path: str) -> None:
     """Rows with the listed payload columns and the vector that the caller supplies by `key` (key, vector), appended."""
     append(rows.join(vectors, key).select(*payload, "vector"), path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import categories, chunking, fuzzy, nearest, redact, spans, tickets
 from quarry.plans import ingest_queries, more_queries, registry, rule_queries  # noqa: F401
-from quarry.sources import files
+from quarry.sources import files, ticket_store
 from quarry.streaming import streams
 
 
@@ -370,3 +370,32 @@ def test_nearest_in_blocks_is_brute_force(spark, same):
     queries = df.where("vec_id % 10 = 0")
     assert {(r[0], r[1], round(r[2], 6), r[3]) for r in nearest.nearest(queries, df, 4, block=17, together=3, **kw).collect()} == want
     assert {(r[0], r[1], round(r[2], 6)) for r in nearest.similarities(queries, df, block=17, together=3, **kw).collect()} == every
+
+
+def test_ticket_store_files_are_sqlites_and_filters_are_pushed(spark, tmp_path):
+    import datetime
+    import sqlite3
+
+    rows = [(f"T-{k}", k, k / 4, k % 3 == 0, None if k % 5 == 0 else datetime.date(2024, 1, 1 + k % 28), datetime.datetime(2024, 1, 1, k % 24, 5), "it's \"x\"" if k % 2 else None) for k in range(100)]
+    schema = "key string, n bigint, x double, done boolean, day date, at timestamp_ntz, \"odd\" string".replace('"odd"', "`odd name`")
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    ticket_store.export_tickets({"t": df}, str(tmp_path))
+    found = []
+    for file in (tmp_path / "t").iterdir():
+        with sqlite3.connect(file) as db:
+            found += db.execute("SELECT n FROM t").fetchall()
+    assert sorted(found) == [(k,) for k in range(100)]
+    back = ticket_store.read_tickets(spark, str(tmp_path / "t"), "t", df.schema, rows=7)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert back.rdd.getNumPartitions() >= 100 // 7
+    kept = back.where("n in (3, 4, 6) or n > 90").where("done and day >= date'2024-01-02' and key like 'T-9%' and `odd name` is not null and x < 24")
+    assert sorted(r["n"] for r in kept.collect()) == [k for k in range(100) if (k in (3, 4, 6) or k > 90) and k % 3 == 0 and k % 5 and k % 28 >= 1 and str(k).startswith("9") and k % 2 and k / 4 < 24]
+    guessed = ticket_store.read_tickets(spark, str(tmp_path / "t"), "t")
+    assert guessed.where("n = 7").select("key", "x").collect() == [("T-7", 1.75)]
+    ticket_store.export_tickets({"t": df.limit(5)}, str(tmp_path))
+    assert ticket_store.read_tickets(spark, str(tmp_path / "t"), "t").count() == 5
+    reader = ticket_store.Reader({"path": str(tmp_path / "t"), "table": "t"}, df.schema)
+    assert list(reader.pushFilters([ticket_store.EqualTo(("n",), 7), ticket_store.GreaterThan(("x",), 1.0)])) == [ticket_store.GreaterThan(("x",), 1.0)]
+    assert reader.where == ['"n" = ?'] and reader.values == [7]
+    with pytest.raises(ValueError):
+        ticket_store.folder_of("hdfs://store/t")
