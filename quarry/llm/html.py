@@ -57,8 +57,9 @@ FURNITURE = frozenset(
 )
 #: Elements whose content is no text of the page.
 UNSEEN = frozenset("script style noscript iframe template svg canvas object head title".split())
-#: Elements that are not taken out of a list or table on their own.
-ITEMS = frozenset("li dt dd tr td th thead tbody tfoot caption".split())
+#: Blocks of running text, lists and tables, which are never taken out on their own, only with what holds them: headings, labels
+#: and fixed phrases recur on the pages of a site too.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 hgroup hr pre blockquote figcaption li dt dd tr td th thead tbody tfoot caption summary legend option address center".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -143,6 +144,29 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def holds_blocks(node: Node) -> bool:
+    """Whether an element may be a part of a page on its own, as sections, lists and tables may, but no block of text."""
+    return node.tag in BLOCK and node.tag not in PLAIN
+
+
+def at_edges(root: Node, dropped: set[int]) -> set[int]:
+    """Of the elements to be dropped those that stand at an edge of what holds them: between them and its beginning or end is
+    nothing but furniture and others that are dropped. What stands between two parts that stay is a part of their text."""
+    kept: set[int] = set()
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or node.tag in ("article", "main")
+        parts = [x for x in node.children if (x.tag not in UNSEEN and x.tag not in VOID if isinstance(x, Node) else x.strip())]
+        for row in (parts, parts[::-1]):
+            for x in row:
+                if isinstance(x, str) or not (id(x) in dropped or furniture(x, inside)):
+                    break
+                kept.add(id(x))
+        todo += [(x, inside) for x in parts if isinstance(x, Node) and id(x) not in kept]
+    return kept & dropped
+
+
 def subtree_hashes(root: Node) -> tuple[dict[int, int], dict[int, int]]:
     """The hash of each element's subtree (tag, names and text), by id of the node; and the slots, by id, of those with
     text outside any article or main element and with none in them, which may be a template's."""
@@ -162,7 +186,7 @@ def subtree_hashes(root: Node) -> tuple[dict[int, int], dict[int, int]]:
         own[id(node)] = signed(xxhash.xxh3_64_intdigest(f"<{node.tag} {' '.join(node.names)}>" + "\x00".join(p for p in parts if p)))
         if node.tag in ("article", "main") or any(isinstance(x, Node) and id(x) in holders for x in node.children):
             holders.add(id(node))
-        elif not inside and any(parts) and node.tag not in UNSEEN and node.tag not in ("#root", "html", "body"):
+        elif not inside and any(parts) and holds_blocks(node) and node.tag not in UNSEEN and node.tag not in ("#root", "html", "body"):
             found[id(node)] = above
     return own, found
 
@@ -228,8 +252,7 @@ def outer_parts(root: Node, outer: dict[int, int]) -> tuple[list[tuple[Node, int
 
 
 def inner_parts(top: Node) -> list[tuple[Node, int | None, bool]]:
-    """beside() of an article (or of a main element, without its articles): blocks, and inline elements that aren't part of
-    a sentence."""
+    """beside() of an article (or of a main element, without its articles), for the elements that hold blocks."""
     apart: set[int] = set()
     able: set[int] = set()
     holds = {id(x) for x in tops(top) if x is not top} if top.tag == "main" else set()
@@ -239,10 +262,9 @@ def inner_parts(top: Node) -> list[tuple[Node, int | None, bool]]:
         if id(node) in holds:
             apart.update((id(node), *above))
             continue
-        direct = any(isinstance(x, str) and x.strip() for x in node.children)
         for x in node.children:
             if isinstance(x, Node) and not furniture(x, True):
-                if x.tag not in ITEMS and (x.tag in BLOCK or not direct):
+                if holds_blocks(x):
                     able.add(id(x))
                 todo.append((x, (*above, id(x)) if holds else ()))
     return beside(top, lambda x: not furniture(x, True), able - apart)[0]
@@ -295,6 +317,7 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = NONE, inn
         dropped = {x for x, slot in outer.items() if slot in slots or own[x] in templates}
         if inner:
             dropped |= {id(node) for top in tops(root) for node, *_ in inner_parts(top) if own[id(node)] in inner}
+        dropped = at_edges(root, dropped)
     for top in (containers(root, "article"), containers(root, "main"), [root]):
         if text := "\n\n".join(t for x in top for t in blocks(x, dropped)):
             return text

@@ -809,3 +809,39 @@ def test_stages_take_odd_rows(spark, odd, k):
     assert k == 4 or got.columns == clash.columns
     assert got.count() <= clash.count()
     assert corpus_pipeline.STAGES[k][1](spark, clash.limit(0), SF).count() == 0
+
+
+def recipes(n, every):
+    """Articles of one site whose headings recur, on all pages or on one of `every`, with their own paragraphs."""
+    rng = random.Random(n + every)
+    words = lambda k: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(k))
+    rows, want = [], {}
+    for i in range(n):
+        own = [f"Dish {words(2)}", words(20), words(30), words(25)]
+        parts = [f"<h1>{own[0]}</h1><p>{own[1]}</p>", f"<h2>Ingredients</h2><p>{own[2]}</p><h2>Method</h2><div><h3>Step</h3><p>{own[3]}</p></div><p>Serve warm.</p>"]
+        text = [own[0], own[1], "Ingredients", own[2], "Method", "Step", own[3], "Serve warm."]
+        if i % every:
+            parts[1], text[2:] = f"<p>{own[2]}</p>", [own[2]]
+        rows.append((i, f"http://food.example.com/{i}", f"<body><nav>x</nav><article>{''.join(parts)}</article><footer>f</footer></body>"))
+        want[i] = "\n\n".join(text)
+    return rows, want
+
+
+@pytest.mark.parametrize(("n", "every"), [(10, 1), (200, 1), (200, 2), (200, 3)])
+def test_headings_and_phrases_that_recur_in_articles_stay(spark, n, every):
+    rows, want = recipes(n, every)
+    assert {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()} == want
+
+
+def test_extraction_is_brute_force(spark):
+    """The given pages by regular expressions alone: what stands in the article, cut at the tags of blocks."""
+    import html as names
+
+    block = r"</?(?:p|div|h[1-6]|ul|ol|li|table|tr|td|th|blockquote|section|article|pre|figure|figcaption|dl|dt|dd|form|aside|nav|header|footer)\b[^>]*>"
+    for r in spark.read.parquet(f"{SF}/pages.parquet").join(queries.op4_html_extraction(spark, SF).select("page_id", "text"), "page_id").collect():
+        own = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "", r["html"] or "")
+        own = re.search(r"(?is)<article\b[^>]*>(.*?)(?:</article>|$)", own)[1]
+        own = re.sub(r"(?is)<(nav|aside|form|footer)\b.*?</\1>|<div class=\"(?:ad|comments?|share|related|cookie[^\"]*)\".*?</div>", "<p>", own)
+        parts = [" ".join(names.unescape(re.sub(r"<br\s*/?>", " ", p) if "<br" in p else p).split()) for p in re.split(block, own)]
+        parts = [" ".join(names.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in parts]
+        assert r["text"] == "\n\n".join(p for p in parts if p), r["page_id"]
