@@ -12,13 +12,15 @@ def sorted_places(words: np.ndarray, depth: int) -> np.ndarray:
     n, width = len(words), int(words.max(initial=0)) + 1
     key, open_ = words.astype(np.int64), words > 0
     for k in range(1, depth):
-        following = np.zeros(n, np.int64)
+        following = np.zeros(n, np.int32)
         following[: max(n - k, 0)] = words[k:]
-        open_ = open_ & (following > 0)
+        open_ &= following > 0
+        following[~open_] = 0
         if int(key.max(initial=0)) >= 2**62 // width:
             key = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        key = key * width + np.where(open_, following, 0)
-    return np.argsort(key)
+        key *= width
+        key += following
+    return np.argsort(key).astype(np.int32)
 
 
 @dataclass
@@ -45,7 +47,8 @@ class Direction:
         order = sorted_places(words, depth)
         self.before = words[order - 1]  # the first place follows the last one: both hold a separator
         self.first = words[order]
-        self.words_before = np.concatenate([[0], np.cumsum(self.before > 0)])
+        self.words_before = np.zeros(len(words) + 1, np.int32)
+        np.cumsum(self.before > 0, out=self.words_before[1:])
 
     def followed(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """How many rows of each interval have a word before them."""
@@ -60,11 +63,11 @@ class PhraseIndex:
 
     def __init__(self, words: np.ndarray, depth: int):
         """words: integers from 0 on; it need not begin or end with a separator."""
-        words = np.concatenate([[0], np.asarray(words, np.int64), [0]])
+        words = np.concatenate([[0], np.asarray(words, np.int32), [0]]).astype(np.int32)
         self.depth = depth
         self.ahead, self.back = Direction(words, depth), Direction(words[::-1], depth)
         #: The row that each row comes from: row q is the row source[q] with its word in front.
-        self.source = np.sort(self.ahead.before * len(words) + np.arange(len(words))) % len(words)
+        self.source = (np.sort(self.ahead.before.astype(np.int64) * len(words) + np.arange(len(words))) % len(words)).astype(np.int32)
 
     def levels(self, least_word: int = 1):
         """A Level for each length from 1 on, of the phrases whose words are all `least_word` or more.
@@ -77,7 +80,7 @@ class PhraseIndex:
         level = Level(first[starts][:, None], starts, ends, starts.copy(), self.ahead.followed(starts, ends), self.back.followed(starts, ends))
         keep = level.words[:, 0] >= least_word
         level = Level(*(getattr(level, f)[keep] for f in level.__dataclass_fields__))
-        phrase = np.full(n, -1, np.int64)  # the phrase of each row
+        phrase = np.full(n, -1, np.int32)  # the phrase of each row
         for length in range(1, self.depth + 1):
             yield level
             if length == self.depth or not len(level.low):

@@ -11,18 +11,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, mix
 from quarry.llm.fmindex import PhraseIndex
 
 LONGEST = 3
 LEAST = 10
 #: Words of one shard, about; it bounds a task's memory (some 150 bytes a word).
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: A phrase whose words occur in a longer candidate with this share of its own occurrences is a part of that one.
 PART_PERCENT = 50
 BEST = 2000
 #: Words and pairs with more than 1 / HOT of all occurrences: fewer than HOT.
 HOT = 1000
+#: Bits of the filter of frequent pairs (8 MB), a power of two of at least 2^16.
+FILTER_BITS = 2**26
 _ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 
 
@@ -95,27 +97,69 @@ def numbered(counts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(start), part == start["part"]).select(*counts.columns, (F.col("start") + F.col("row").bitwiseAND(2**33 - 1)).alias("number"))
 
 
-def phrase_counts(cut: DataFrame, words: DataFrame) -> DataFrame:
-    """first (two numbers of words in 32 bits each), third (number or -1), a, left, right: the phrases of 2 and 3 of the given
-    words (lang, word, number), added up over the shards; left and right count the occurrences with a word of their piece before
-    and behind."""
+def pair_bucket(pair: np.ndarray) -> np.ndarray:
+    """The place of a pair of word numbers in the filter."""
+    return (mix(pair.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def pair_filter(pairs: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits as bytes, set at the places of the pairs (first). Tasks make slices of 64 Kbit, so the driver and each task
+    get FILTER_BITS / 8 bytes, whatever the number of pairs; with very many pairs the filter only lets more through."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = pair_bucket(b["first"].to_numpy())
+            yield pd.DataFrame({"slice": at >> 16, "place": at & 0xFFFF}).drop_duplicates()
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[rows["place"].to_numpy()] = 1
+        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    slices = pairs.select("first").mapInPandas(places, "slice bigint, place bigint").distinct().groupBy("slice").applyInPandas(packed, "slice bigint, bits binary")
+    found = np.zeros((FILTER_BITS >> 16, 1 << 13), np.uint8)
+    for r in slices.collect():
+        found[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return found.reshape(-1)
+
+
+def passes(pair: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = pair_bucket(pair)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def phrase_counts(cut: DataFrame, words: DataFrame, length: int, bits: np.ndarray | None = None) -> DataFrame:
+    """first (two numbers of words in 32 bits each), third (number or -1), a, left, right: the phrases of `length` (2 or 3) of the
+    given words (lang, word, number), added up over the shards; left and right count the occurrences with a word of their piece
+    before and behind. With the bits of a filter, which only phrases of 3 have, those whose pairs don't pass it are left out
+    before they leave a shard."""
     of = cut.select("shard", "lang", F.posexplode("words").alias("place", "word")).join(words, ["lang", "word"]).select(F.col("shard").alias("of"), "place", "number")
 
     def run(shard: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        columns = ["first", "third", "a", "left", "right"]
         if len(shard) and len(some):
             ids = np.frombuffer(shard["ids"][0], np.int32)
             number = some["number"].to_numpy(np.int64)
             own = np.ones(int(ids.max()) + 1, np.int32)  # 0 separates, 1 stands for all other words, 2 ... are the given ones
             own[0] = 0
             own[some["place"].to_numpy() + 1] = np.arange(2, len(number) + 2, dtype=np.int32)
-            for level in PhraseIndex(own[ids], LONGEST).levels(least_word=2):
-                if level.words.shape[1] > 1:
-                    w = number[level.words - 2]
-                    third = w[:, 2] if w.shape[1] > 2 else np.full(len(w), -1)
-                    found.append(pd.DataFrame({"first": w[:, 0] << 32 | w[:, 1], "third": third, "a": level.count, "left": level.left, "right": level.right}))
-        columns = ["first", "third", "a", "left", "right"]
-        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns, dtype=np.int64)
+            text = own[ids]
+            if bits is not None:  # words in no pair that passes are other words; a run of these is one
+                both = (text[:-1] > 1) & (text[1:] > 1)
+                at = np.flatnonzero(both)
+                both[at] = passes(number[text[at] - 2] << 32 | number[text[at + 1] - 2], bits)
+                used = np.zeros(len(text), bool)
+                used[:-1] |= both
+                used[1:] |= both
+                text = np.where(used | (text == 0), text, 1).astype(np.int32)
+                text = text[np.concatenate([[True], (text[1:] != text[:-1]) | (text[1:] > 1)])]
+            *_, level = PhraseIndex(text, length).levels(least_word=2)
+            if level.words.shape[1] == length:
+                w = number[level.words - 2]
+                first, third = w[:, 0] << 32 | w[:, 1], w[:, 2] if length > 2 else np.full(len(w), -1)
+                found = pd.DataFrame(dict(zip(columns, (first, third, level.count, level.left, level.right), strict=True)))
+                return found if bits is None else found[passes(first, bits) & passes(w[:, 1] << 32 | w[:, 2], bits)]
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in columns})
 
     each = cut.select("shard", "ids").groupBy("shard").cogroup(of.groupBy("of")).applyInPandas(run, "first bigint, third bigint, a bigint, left bigint, right bigint")
     return each.groupBy("first", "third").agg(*[F.sum(c).alias(c) for c in ("a", "left", "right")])
@@ -147,11 +191,13 @@ def candidates(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WOR
     total = cut.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("n"))
     least_hot = max((total.agg(F.sum("n")).first()[0] or 0) / HOT, LEAST)
     words = numbered(counts.where(F.col("f") >= least))  # a frequent phrase has frequent words only
-    grams = materialize(phrase_counts(cut, words.select("lang", "word", "number")).where(F.col("a") >= least), "phrases")
+    known = words.select("lang", "word", "number")
+    pairs = materialize(phrase_counts(cut, known, 2).where(F.col("a") >= least), "pairs")  # so has a frequent phrase frequent pairs
+    grams = pairs.unionByName(materialize(phrase_counts(cut, known, 3, pair_filter(pairs)).where(F.col("a") >= least), "triples"))
 
     number = lambda c, by: F.shiftright(c, by).bitwiseAND(2**32 - 1)
     word = words.select(F.col("number").alias("key_"), F.col("f").alias("a_"), "lang", "word")
-    pair = grams.where("third < 0").select(F.col("first").alias("key_"), F.col("a").alias("a_"))
+    pair = pairs.select(F.col("first").alias("key_"), F.col("a").alias("a_"))
     rows = grams.select("*", number("first", 32).alias("w1"), number("first", 0).alias("w2"))
     rows = with_values(rows, "w1", word, least_hot, f1="a_", word1="word", lang="lang")
     rows = with_values(rows, "w2", word, least_hot, f2="a_", word2="word")
