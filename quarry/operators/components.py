@@ -9,21 +9,33 @@ from quarry.sources.scratch import written as materialize
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """links (a, b) -> id, component (the least id reachable). Each round takes the least label of the neighbours
-    and then the label of that label, so the rounds grow with the logarithm of the longest chain. No links, no rows."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialize(both, "links")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnsRenamed({"id": "b", "component": "c"}), "b").groupBy("a").agg(F.min("c").alias("c"))
-        stepped = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "component", F.least("component", "c").alias("c"))
-        above = labels.select(F.col("id").alias("c"), F.col("component").alias("up"))
-        after = stepped.join(above, "c", "left").select("id", F.least("c", F.coalesce("up", "c")).alias("next"), "component")
-        after = materialize(after, "labels")
-        labels = after.select("id", F.col("next").alias("component"))
-        if after.where("next <> component").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    """links (a, b) -> id, component (the least id reachable). No links, no rows.
+
+    Each round every id goes to its neighbour that comes first in the round's random order, or stays if it does so itself; then
+    the links are put between the places that are left, and those within one place go. A round halves a chain and folds up a
+    star, so the rounds grow with the logarithm of the ids and the rows of all rounds together with the links. The rounds'
+    moves, fewer each time, are then followed from the last to the first."""
+    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    moves: list[DataFrame] = []
+    for turn in range(most_rounds):
+        order = lambda c: F.xxhash64(F.lit(turn), c)  # noqa: B023, E731
+        both = edges.union(edges.select("b", "a"))
+        first = both.groupBy("a").agg(F.min_by("b", F.struct(order("b").alias("h"), "b")).alias("b"))
+        stays = F.struct(order("a").alias("h"), F.col("a").alias("x")) <= F.struct(order("b").alias("h"), F.col("b").alias("x"))
+        moved = materialize(first.select(F.col("a").alias("id"), F.when(stays, F.col("a")).otherwise(F.col("b")).alias("up")), "moves")
+        moves.append(moved)
+        at = lambda side: moved.select(F.col("id").alias(side), F.col("up").alias(f"up_{side}"))  # noqa: B023, E731
+        left = edges.join(at("a"), "a").join(at("b"), "b").where("up_a <> up_b")
+        edges = materialize(left.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), "links")
+        if edges.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    final = moves[-1].withColumnRenamed("up", "root")
+    for moved in reversed(moves[:-1]):
+        final = moved.join(final.withColumnRenamed("id", "up"), "up", "left").select("id", F.coalesce("root", "up").alias("root"))
+    final = materialize(final, "roots")
+    return final.join(final.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
 
 
 def apart(members: DataFrame, label: DataFrame) -> DataFrame:
