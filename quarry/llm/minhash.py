@@ -222,7 +222,8 @@ def across(left: DataFrame, distinct: DataFrame, texts: DataFrame, least: float)
 
     Each text outside the largest component of such a group meets all texts of the group's other components. The texts of
     a group are dealt into blocks of about BLOCK_TEXTS texts or BLOCK_SHINGLES shingles; a task gets a block of the ones
-    and a block of the others, compares their signatures and, where these allow it, their whole texts. Only links leave it."""
+    and a block of the others. First only their signatures meet; then those that may be alike to some other one of their cell
+    get their texts, whose whole shingles are compared. Only links leave it."""
     hub = left.groupBy("bucket").agg(F.min("id").alias("b"))
     # a text joins the hubs of its buckets; few hubs stand for many buckets, so each text goes to its least one, and hubs to that
     met = left.join(hub, "bucket").groupBy("id").agg(F.min("b").alias("b"), F.collect_set("b").alias("hubs"))
@@ -233,12 +234,29 @@ def across(left: DataFrame, distinct: DataFrame, texts: DataFrame, least: float)
     own = materialize(own.join(top, "group").join(distinct.select("id", "n", "marks"), "id").withColumn("lone", F.col("component") != F.col("top")), "apart")
     need = lambda count, size: F.greatest(F.ceil(count / BLOCK_TEXTS), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
     size = own.groupBy("group").agg(need(F.count_if("lone"), F.sum(F.when(F.col("lone"), F.col("n")))).alias("nx"), need(F.count(F.lit(1)), F.sum("n")).alias("ny"))
-    own = own.join(size, "group").join(texts, "id").withColumn("block", F.abs(F.hash("id")))
+    own = own.join(size, "group").withColumn("block", F.abs(F.hash("id")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cells = ["id", "component", "top", "n", "marks", "text"]
+    cells = ["id", "component", "top", "n", "marks"]
     x = own.where("lone").select("group", (F.col("block") % F.col("nx")).alias("bx"), every("ny").alias("by"), F.lit(True).alias("is_x"), *cells)
     y = own.select("group", every("nx").alias("bx"), (F.col("block") % F.col("ny")).alias("by"), F.lit(False).alias("is_x"), *cells)
 
+    def pairs_of(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """The place of each row of a with the places in b that it may be alike to, of another component."""
+        bytes_of = lambda r: np.stack(r["marks"].to_list()).astype(np.int64).view(np.uint8)
+        m, n, ids, of = bytes_of(b), b["n"].to_numpy(), b["id"].to_numpy(object), b["component"].to_numpy(object)
+        for at, (x_id, c, top_, n_x, own_) in enumerate(zip(a["id"], a["component"], a["top"], a["n"], bytes_of(a), strict=True)):
+            may = (np.minimum(n, n_x) >= least * np.maximum(n, n_x) - 1e-6) & ((m == own_).sum(1) >= least_slots(least))
+            yield at, np.array([k for k in np.flatnonzero(may) if of[k] != c and (of[k] == top_ or x_id < ids[k])], int)
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["is_x"]], rows[~rows["is_x"]]
+        keep_a, keep_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        if len(a) and len(b):
+            for at, others in pairs_of(a, b):
+                keep_a[at] = len(others) > 0
+                keep_b[others] = True
+        return pd.concat([a[keep_a], b[keep_b]])
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = rows[rows["is_x"]], rows[~rows["is_x"]]
         found, bags, above = [], {}, {}
@@ -249,16 +267,14 @@ def across(left: DataFrame, distinct: DataFrame, texts: DataFrame, least: float)
             return c
 
         if len(a) and len(b):
-            bytes_of = lambda r: np.stack(r["marks"].to_list()).astype(np.int64).view(np.uint8)
-            m, n, ids, of = bytes_of(b), b["n"].to_numpy(), b["id"].to_list(), b["component"].to_list()
-            texts_of = b["text"].to_list()
-            for x_id, c, top_, n_x, own_, text in zip(a["id"], a["component"], a["top"], a["n"], bytes_of(a), a["text"], strict=True):
-                may = (np.minimum(n, n_x) >= least * np.maximum(n, n_x) - 1e-6) & ((m == own_).sum(1) >= least_slots(least))
-                bag = None
-                for k in np.flatnonzero(may):
-                    if not (of[k] == top_ or x_id < ids[k]) or root(of[k]) == root(c):
+            ids, of, texts_of, own_texts = b["id"].to_list(), b["component"].to_list(), b["text"].to_list(), a["text"].to_list()
+            own_ids, own_of = a["id"].to_list(), a["component"].to_list()
+            for at, others in pairs_of(a, b):
+                bag, c, x_id = None, own_of[at], own_ids[at]
+                for k in others:
+                    if root(of[k]) == root(c):
                         continue
-                    bag = bag_of(text) if bag is None else bag
+                    bag = bag_of(own_texts[at]) if bag is None else bag
                     if k not in bags:
                         bags[k] = bag_of(texts_of[k])
                     if alike(bag, bags[k]) >= least:
@@ -266,7 +282,9 @@ def across(left: DataFrame, distinct: DataFrame, texts: DataFrame, least: float)
                         found.append((min(x_id, ids[k]), max(x_id, ids[k])))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return x.unionByName(y).groupBy("group", "bx", "by").applyInPandas(run, "a binary, b binary")
+    met = x.unionByName(y)
+    some = materialize(met.groupBy("group", "bx", "by").applyInPandas(near, met.schema), "near")
+    return some.join(texts, "id").groupBy("group", "bx", "by").applyInPandas(run, "a binary, b binary")
 
 
 def joined(label: DataFrame, links: DataFrame) -> DataFrame:
