@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarry.operators import folds
 from quarry.operators.dedup import keyword_set
 from quarry.plans import fixtures as X
 from quarry.plans.registry import query, table
@@ -191,8 +192,7 @@ def _quota(spark, sf):
 
 @query("K28_daily_request_limit", f"WITH {X.ACCESS} SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) > 2 OR row_number() OVER (PARTITION BY client_ip, CAST(ts AS DATE) ORDER BY ts, event_id) > 2 AS over_limit FROM log")
 def _limit(spark, sf):
-    nth = lambda c: F.row_number().over(Window.partitionBy(c, F.to_date("ts")).orderBy("ts", "event_id"))
-    return log(spark, sf).select("event_id", ((nth("user_id") > 2) | (nth("client_ip") > 2)).alias("over_limit"))
+    return folds.over_daily_limit(log(spark, sf), ("user_id", "client_ip"), F.to_date("ts"))
 
 
 @query("K29_chat_sessions", "SELECT conv_id, count(*) AS turns, arg_max(text, turn) FILTER (WHERE role = 'user') AS last_user_text FROM conversations GROUP BY conv_id")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import categories, chunking, fuzzy, nearest, redact, spans, tickets
+from quarry.operators import categories, chunking, folds, fuzzy, nearest, redact, spans, tickets
 from quarry.plans import ingest_queries, more_queries, registry, rule_queries  # noqa: F401
 from quarry.sources import files, ticket_store
 from quarry.streaming import streams
@@ -399,3 +399,21 @@ def test_ticket_store_files_are_sqlites_and_filters_are_pushed(spark, tmp_path):
     assert reader.where == ['"n" = ?'] and reader.values == [7]
     with pytest.raises(ValueError):
         ticket_store.folder_of("hdfs://store/t")
+
+
+@pytest.mark.parametrize("range_rows", [7, 50, 100_000])
+def test_rate_limit_of_a_busy_key_is_brute_force(spark, range_rows):
+    """A key with a seventh of all rows and one that never rests, in ranges much smaller than they are."""
+    import random
+
+    rng = random.Random(range_rows)
+    rows = [("busy" if k % 7 == 0 else "steady" if k % 3 == 0 else f"u{rng.randint(0, 40)}", rng.randint(0, 90_000), k) for k in range(700)]
+    rows += [(None, 5, 9001), ("u1", 10, 9002), ("u1", 10, 9003), ("u1", 10, 9004)]
+    want, last = set(), {}
+    for k, t, e in sorted((r for r in rows if r[0]), key=lambda r: r):
+        own = [x for x in last.get(k, []) if x > t - 3600]
+        if len(own) < 2:
+            last[k] = [*own, t]
+            want.add((k, e))
+    got = folds.rate_limited(spark.createDataFrame(rows, "u string, t bigint, event_id bigint"), "u", range_rows=range_rows)
+    assert {tuple(r) for r in got.collect()} == want
