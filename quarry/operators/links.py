@@ -6,19 +6,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.dedup import cosine
+from quarry.sources.scratch import written
+
+#: A tag of more than 1 / HOT of all rows is hot: fewer than HOT are.
+HOT = 1000
+#: Rows of one part of a hot tag, about.
+FRAGMENT = 1000
+
+
+def with_counts(rows: DataFrame, key: str, counts: DataFrame, total: int, name: str) -> DataFrame:
+    """rows with the count (n of `counts`: key, n) of their key. Keys that more than 1 / HOT of `total` rows have, fewer than HOT,
+    are broadcast; their rows are spread over the tasks and take no part in the join."""
+    often = F.col("n") > total / HOT
+    hot = counts.where(often).select(key, F.col("n").alias("hot_"))
+    rows = rows.join(F.broadcast(hot), key, "left")
+    apart = F.concat(F.lit("\x00"), F.pmod(F.monotonically_increasing_id(), F.lit(1009)).cast("string"))
+    rows = rows.withColumn("at_", F.when(F.col("hot_").isNull(), F.col(key)).otherwise(apart))
+    rest = counts.where(~often).select(F.col(key).alias("at_"), "n")
+    return rows.join(rest, "at_", "left").withColumn(name, F.coalesce("hot_", "n")).drop("at_", "hot_", "n")
+
+
+def prefixes(tags: DataFrame, least: int) -> DataFrame:
+    """id, doc_id, own (the chunk's tags, rarest first), tag, part, parts: a row for each of a chunk's rarest n - least + 1 tags,
+    of which two chunks with `least` common tags share one. A tag that very many of these rows have is dealt into parts of about
+    FRAGMENT rows."""
+    rows = written(tags.select("id", "doc_id", "tag").distinct(), "tags")
+    total = rows.count()
+    counted = with_counts(rows, "tag", rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), total, "often")
+    own = counted.groupBy("id", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "tag"))), lambda x: x["tag"]).alias("own"))
+    own = own.where(F.size("own") >= least)
+    first = written(own.withColumn("tag", F.explode(F.slice("own", 1, F.size("own") - (least - 1)))), "prefixes")
+    first = with_counts(first, "tag", first.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), total, "held")
+    parts = F.ceil(F.col("held") / FRAGMENT).cast("int")
+    return first.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("held")
 
 
 def shared_tag_pairs(tags: DataFrame, least: int = 3) -> DataFrame:
     """tags: id, doc_id, tag -> a, b, shared: pairs of chunks of different documents with at least `least` common tags,
-    each once. Tags are put in order of how rare they are; chunks with enough tags in common share one of the
-    first n - least + 1, so only these meet in a join, and common tags seldom do. A pair is taken at its rarest common tag."""
-    often = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    own = tags.join(often, "tag").groupBy("id", "doc_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("n", "tag"))), lambda x: x["tag"]).alias("own"))
-    first = own.withColumn("tag", F.explode(F.slice("own", 1, F.greatest(F.size("own") - (least - 1), F.lit(0)))))
-    a, b = (first.select("tag", F.col("id").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
-    met = a.join(b, "tag").where("a < b and doc_a <> doc_b").withColumn("both", F.array_intersect("own_a", "own_b"))
+    each once. Chunks meet at their rarest tags only, see prefixes(), and a pair is taken at its rarest common tag. Parts of a hot
+    tag meet pairwise, each with itself and each two in a place of their own, so no task gets more than about FRAGMENT ** 2 pairs
+    of a tag at once, however common it is."""
+    first = prefixes(tags, least)
+    # the part p meets the parts q from itself on: on one side it stands for p in the places (p, q), on the other for q in (o, p)
+    later = F.explode(F.sequence(F.col("part"), F.col("parts") - 1))
+    earlier = F.explode(F.sequence(F.lit(0), F.col("part")))
+    x = first.select("tag", F.col("part").alias("p"), later.alias("q"), F.col("id").alias("x"), F.col("doc_id").alias("doc_x"), F.col("own").alias("own_x"))
+    y = first.select("tag", earlier.alias("p"), F.col("part").alias("q"), F.col("id").alias("y"), F.col("doc_id").alias("doc_y"), F.col("own").alias("own_y"))
+    met = x.join(y, ["tag", "p", "q"]).where("doc_x <> doc_y and (p < q or x < y)").withColumn("both", F.array_intersect("own_x", "own_y"))
     met = met.where((F.size("both") >= least) & (F.element_at("both", 1) == F.col("tag")))
-    return met.select("a", "b", F.size("both").cast("long").alias("shared"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.size("both").cast("long").alias("shared"))
 
 
 def related(pairs: DataFrame, metric: str, most: int = 5) -> DataFrame:
@@ -29,13 +65,12 @@ def related(pairs: DataFrame, metric: str, most: int = 5) -> DataFrame:
 
 def pairs_of_new(tags: DataFrame, new: DataFrame, least: int = 3) -> DataFrame:
     """id, other, shared: the chunks of `new` (id) with all others of other documents that have `least` tags in common. As in
-    shared_tag_pairs() a pair meets at its rarest common tag, and only tags of new chunks are met."""
-    often = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    own = tags.join(often, "tag").groupBy("id", "doc_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("n", "tag"))), lambda x: x["tag"]).alias("own"))
-    first = own.withColumn("tag", F.explode(F.slice("own", 1, F.greatest(F.size("own") - (least - 1), F.lit(0)))))
-    a = first.join(new, "id", "left_semi")
-    b = first.select("tag", F.col("id").alias("other"), F.col("doc_id").alias("other_doc"), F.col("own").alias("other_own"))
-    met = a.join(b, "tag").where("doc_id <> other_doc").withColumn("both", F.array_intersect("own", "other_own"))
+    shared_tag_pairs() a pair meets at its rarest common tag, and only tags of new chunks are met; a new chunk goes to each part
+    of a hot tag."""
+    first = prefixes(tags, least)
+    a = first.join(new, "id", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    b = first.select("tag", "part", F.col("id").alias("other"), F.col("doc_id").alias("other_doc"), F.col("own").alias("other_own"))
+    met = a.join(b, ["tag", "part"]).where("doc_id <> other_doc").withColumn("both", F.array_intersect("own", "other_own"))
     met = met.where((F.size("both") >= least) & (F.element_at("both", 1) == F.col("tag")))
     return met.select("id", "other", F.size("both").cast("long").alias("shared"))
 

@@ -238,9 +238,9 @@ def _aliases(spark, sf):
 @query("G19_context_with_related")
 def _context(spark, sf):
     """The context of each of the twenty searches from its first twenty hits."""
-    tagged, _, _ = search_queries.index(spark, sf)
+    tagged, linked, *_ = search_queries.index(spark, sf)
     hits = search_queries.found(spark, sf).ranked.where("rank <= 20").select("query_id", F.col("rank").alias("r"), "id")
-    return spans.context_with_related(hits, tagged, links.related(links.shared_tag_pairs(tag_rows(spark, sf)), "shared"), 6000).select("query_id", F.array_join("ids", ",").alias("ids"), "used")
+    return spans.context_with_related(hits, tagged, linked, 6000).select("query_id", F.array_join("ids", ",").alias("ids"), "used")
 
 
 def _weights_sql() -> str:

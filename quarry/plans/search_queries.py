@@ -27,16 +27,23 @@ def queries(spark, sf, tagged=None):
 
 def related(tagged):
     rows = tagged.select("id", "doc_id", F.explode("keywords").alias("tag"))
-    return links.related(links.shared_tag_pairs(rows), "shared").select("id", "other")
+    return links.related(links.shared_tag_pairs(rows), "shared")
 
 
-#: The index (chunks, links, entities) of each session and folder, as files.
+#: The index (chunks, links, entities) of each session, folder and state of its documents, as files.
 _built = {}
 
 
+def state(spark, sf):
+    """The files of the documents and when the last one changed."""
+    d = X.documents(spark, sf)
+    return tuple(sorted(d.inputFiles())), str(d.agg(F.max("_metadata.file_modification_time")).first()[0])
+
+
 def index(spark, sf):
-    """What a search reads. It is built and written once for a session; a search starts from these tables."""
-    key = (spark.sparkContext.applicationId, sf)
+    """What a search reads. It is built and written once for a session, and again if the documents change; a search starts from
+    these tables."""
+    key = (spark.sparkContext.applicationId, sf, *state(spark, sf))
     if key not in _built:
         tagged = written(X.tagged(spark, sf), "tagged")
         entities = X.entities(spark, sf).select("id", F.concat("label", F.lit("::"), "word").alias("entity"))

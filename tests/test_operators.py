@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import categories, chunking, folds, fuzzy, nearest, redact, spans, tickets
+from quarry.operators import categories, chunking, folds, fuzzy, links, nearest, redact, spans, tickets
 from quarry.plans import ingest_queries, more_queries, registry, rule_queries  # noqa: F401
 from quarry.sources import files, ticket_store
 from quarry.streaming import streams
@@ -417,3 +417,26 @@ def test_rate_limit_of_a_busy_key_is_brute_force(spark, range_rows):
             want.add((k, e))
     got = folds.rate_limited(spark.createDataFrame(rows, "u string, t bigint, event_id bigint"), "u", range_rows=range_rows)
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_links_with_hot_tags_are_brute_force(spark, monkeypatch):
+    """Three tags that a third of the chunks or more have, dealt into small parts; rows that repeat."""
+    import random
+
+    monkeypatch.setattr(links, "FRAGMENT", 20)
+    rng = random.Random(5)
+    chunks = {}
+    for k in range(240):
+        own = {f"t{rng.randint(0, 60)}" for _ in range(rng.randint(0, 3))} | {h for h in ("hot", "warm", "big") if rng.random() < 0.6}
+        chunks[f"c{k:03d}"] = (k % 80, own)
+    tags = [(i, d, t) for i, (d, own) in chunks.items() for t in own]
+    df = spark.createDataFrame(tags + tags[:20], "id string, doc_id bigint, tag string")
+    want = {(a, b, len(x & y)) for a, (da, x) in chunks.items() for b, (db, y) in chunks.items() if a < b and da != db and len(x & y) >= 3}
+    got = [tuple(r) for r in links.shared_tag_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    first = links.prefixes(df, 3)
+    assert max(r["n"] for r in first.groupBy("tag", "part").count().withColumnRenamed("count", "n").collect()) <= 45
+    new = spark.createDataFrame([(i,) for i in list(chunks)[::10]], "id string")
+    found = {tuple(r) for r in links.pairs_of_new(df, new).collect()}
+    both = want | {(b, a, n) for a, b, n in want}
+    assert found == {(a, b, n) for a, b, n in both if a in set(list(chunks)[::10])}
