@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.termindex import TermIndex, occurrences
 from quarry.sources.scratch import written
 
 #: Rows that each phase may add, and in all, by depth.
@@ -26,18 +27,19 @@ OTHER_BONUS = 2
 TAG_STOP = ("address", "report", "client", "issue", "select", "your", "home", "usage", "task", "role")
 
 
-def term_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def term_hits(queries: DataFrame, chunks: DataFrame, index: TermIndex) -> DataFrame:
     """query_id, id, hits (terms that occur), term_score, fuzzy (how many of the terms of at least 5 characters occur with
-    their first 5). The stated queries go to all chunks, which are read once."""
-    q = F.broadcast(queries.select("query_id", "terms"))  # a stated set of searches
-    chunks = chunks.select("id", F.lower("text").alias("low"))
-    low = F.col("low")
-    count = lambda ts: F.size(F.filter(ts, lambda t: F.contains(low, F.lower(t))))
-    prefixes = F.transform(F.filter("terms", lambda t: F.length(t) >= 5), lambda t: F.substring(t, 1, 5))
-    times = lambda t: F.floor((F.length(low) - F.length(F.replace(low, F.lower(t), F.lit("")))) / F.length(t))
-    score = F.aggregate("terms", F.lit(0), lambda s, t: s + F.least(F.lit(10), (2 * times(t)).cast("int")))
-    rows = chunks.crossJoin(q).withColumn("hits", count("terms")).withColumn("fuzzy", count(prefixes)).where("hits > 0 or fuzzy > 1")
-    return rows.select("query_id", "id", "hits", F.least(F.lit(40), score).alias("term_score"), "fuzzy")
+    their first 5). The terms and beginnings are looked up in the index of the chunks; empty ones count nowhere."""
+    terms = queries.select("query_id", F.posexplode("terms").alias("place", "term")).where("term <> ''").withColumn("whole", F.lower("term"))
+    terms = terms.withColumn("start", F.when(F.length("term") >= 5, F.lower(F.substring("term", 1, 5))))
+    asked = written(terms, "terms")
+    found = written(occurrences(index, asked.select(F.explode(F.array("whole", "start")).alias("string")), chunks), "occurrences")
+    t = F.broadcast(asked)  # a stated set of searches
+    score = F.least(F.lit(10), 2 * F.floor(F.col("n") * F.length("whole") / F.length("term"))).cast("int")
+    whole = found.join(t, found["string"] == t["whole"]).select("query_id", "id", F.lit(1).alias("hit"), score.alias("score"), F.lit(0).alias("begun"))
+    begun = found.join(t, found["string"] == t["start"]).select("query_id", "id", F.lit(0).alias("hit"), F.lit(0).alias("score"), F.lit(1).alias("begun"))
+    rows = whole.unionByName(begun).groupBy("query_id", "id").agg(F.sum("hit").cast("int").alias("hits"), F.least(F.lit(40), F.sum("score")).cast("int").alias("term_score"), F.sum("begun").cast("int").alias("fuzzy"))
+    return rows.where("hits > 0 or fuzzy > 1")
 
 
 def initial(hits: DataFrame) -> DataFrame:
@@ -103,9 +105,9 @@ def priority_tokens(queries: DataFrame, tags: DataFrame, keywords: DataFrame) ->
     return queries.join(five, "query_id", "left").select("query_id", F.array_distinct(F.concat(F.transform("terms", F.lower), F.transform(more, F.lower))).alias("tokens"))
 
 
-def search(queries: DataFrame, chunks: DataFrame, links: DataFrame, entities: DataFrame, priority: tuple[str, ...] = ("sop", "manual"), cut: bool = True) -> Found:
-    """queries (query_id, terms, level) over chunks (id, text, tags, keywords, cluster, learned), links (id, other) and
-    entities (id, entity). Each phase leaves out what earlier ones found and adds as many rows as the level allows:
+def search(queries: DataFrame, chunks: DataFrame, links: DataFrame, entities: DataFrame, index: TermIndex, priority: tuple[str, ...] = ("sop", "manual"), cut: bool = True) -> Found:
+    """queries (query_id, terms, level) over chunks (id, text, tags, keywords, cluster, learned), links (id, other),
+    entities (id, entity) and the index of the chunks' words. Each phase leaves out what earlier ones found and adds as many rows as the level allows:
 
     Initial: chunks with the terms. Related: those that they refer to, by frequency. Learned: learned chunks with a term,
     by hits. DeepDive: chunks with a term or a discovered token, by the number of their tokens that were discovered.
@@ -114,10 +116,10 @@ def search(queries: DataFrame, chunks: DataFrame, links: DataFrame, entities: Da
     share one of the initial ones' ten most frequent entities, by id.
 
     Scores add up what the terms (40), the discovered tags (20) and keywords (15) and the phase give; a query's rows are
-    ranked by score and id and, with `cut`, ended at its level's total. Terms meet all chunks once; the phases are
+    ranked by score and id and, with `cut`, ended at its level's total. Terms are looked up in the index; the phases are
     written as they come, so none runs twice."""
     queries = written(queries, "queries")
-    hits = written(term_hits(queries, chunks), "hits")
+    hits = written(term_hits(queries, chunks, index), "hits")
     limits = limits_of(queries)
     one = written(initial(hits), "initial")
     tags, keywords = (written(x, "discovered") for x in discover(one, chunks))
@@ -144,9 +146,10 @@ def search(queries: DataFrame, chunks: DataFrame, links: DataFrame, entities: Da
     wanted = one.join(named, "id").select("query_id", "cluster").distinct().join(size, "cluster")
     add("Cluster", wanted.join(named, "cluster").select("query_id", "id", "size"), "cluster", F.desc("size"))
 
-    prior = chunks.where(F.arrays_overlap("tags", F.array(*map(F.lit, priority)))).select("id", F.lower("text").alias("low"))
-    held = F.size(F.filter("tokens", lambda t: F.contains(F.col("low"), t)))
-    six = prior.crossJoin(F.broadcast(priority_tokens(queries, tags, keywords))).withColumn("n", held).where("n > 0")
+    prior = chunks.where(F.arrays_overlap("tags", F.array(*map(F.lit, priority)))).select("id")
+    wanted = written(priority_tokens(queries, tags, keywords).select("query_id", F.explode("tokens").alias("string")).where("string <> ''"), "priority")
+    held = occurrences(index, wanted, chunks).join(prior, "id", "left_semi")
+    six = held.join(F.broadcast(wanted), "string").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
     add("Query", six.select("query_id", "id", "n"), "priority", F.desc("n"))
     add("Fuzzy", hits.where("fuzzy >= 2"), "fuzzy", F.desc("fuzzy"))
 

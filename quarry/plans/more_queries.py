@@ -60,9 +60,9 @@ def _tables(spark, sf):
 
 @query("H04_phase3_related", WITH + "SELECT query_id, id FROM p3")
 def _related(spark, sf):
-    c, linked, _ = index(spark, sf)
+    c, linked, _, words = index(spark, sf)
     q = queries(spark, sf, c)
-    return search.referred(search.initial(search.term_hits(q, c)), linked, c, search.limits_of(q))
+    return search.referred(search.initial(search.term_hits(q, c, words)), linked, c, search.limits_of(q))
 
 
 @query("H12_exclusion_chain", WITH + "SELECT query_id, id, CAST(min(o) AS INTEGER) AS phase FROM al GROUP BY ALL")

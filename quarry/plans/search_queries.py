@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import links, search
+from quarry.operators import links, search, termindex
 from quarry.plans import fixtures as X
 from quarry.plans.index_queries import BOTH, PAIRS, TAG_ROWS
 from quarry.plans.registry import query
@@ -30,7 +30,7 @@ def related(tagged):
     return links.related(links.shared_tag_pairs(rows), "shared")
 
 
-#: The index (chunks, links, entities) of each session, folder and state of its documents, as files.
+#: The index (chunks, links, entities, words) of each session, folder and state of its documents, as files.
 _built = {}
 
 
@@ -47,13 +47,13 @@ def index(spark, sf):
     if key not in _built:
         tagged = written(X.tagged(spark, sf), "tagged")
         entities = X.entities(spark, sf).select("id", F.concat("label", F.lit("::"), "word").alias("entity"))
-        _built[key] = tagged, written(related(tagged), "links"), written(entities, "entities")
+        _built[key] = tagged, written(related(tagged), "links"), written(entities, "entities"), termindex.build(tagged)
     return _built[key]
 
 
 def found(spark, sf, cut=True):
-    tagged, linked, entities = index(spark, sf)
-    return search.search(queries(spark, sf, tagged), X.searched(tagged), linked, entities, cut=cut)
+    tagged, linked, entities, words = index(spark, sf)
+    return search.search(queries(spark, sf, tagged), X.searched(tagged), linked, entities, words, cut=cut)
 
 
 def _caps(name: str) -> str:
@@ -133,20 +133,20 @@ def _quick(spark, sf):
 
 @query("H01_phase1_initial", WITH + "SELECT query_id, id, CAST(hits AS INTEGER) AS hits FROM p1")
 def _initial(spark, sf):
-    c = index(spark, sf)[0]
-    return search.initial(search.term_hits(queries(spark, sf, c), c)).select("query_id", "id", "hits")
+    c, _, _, words = index(spark, sf)
+    return search.initial(search.term_hits(queries(spark, sf, c), c, words)).select("query_id", "id", "hits")
 
 
 @query("H02_discover_tags", WITH + "SELECT query_id, token, n, r FROM tt")
 def _tags(spark, sf):
-    c = index(spark, sf)[0]
-    return search.discover(search.initial(search.term_hits(queries(spark, sf), c)), c)[0]
+    c, _, _, words = index(spark, sf)
+    return search.discover(search.initial(search.term_hits(queries(spark, sf, c), c, words)), c)[0]
 
 
 @query("H03_discover_keywords", WITH + "SELECT query_id, token, n, r FROM kt")
 def _keywords(spark, sf):
-    c = index(spark, sf)[0]
-    return search.discover(search.initial(search.term_hits(queries(spark, sf), c)), c)[1]
+    c, _, _, words = index(spark, sf)
+    return search.discover(search.initial(search.term_hits(queries(spark, sf, c), c, words)), c)[1]
 
 
 @query("H14_score", WITH + "SELECT query_id, id, match_type, score FROM rk")

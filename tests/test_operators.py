@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import categories, chunking, folds, fuzzy, links, nearest, redact, spans, tickets
+from quarry.operators import categories, chunking, folds, fuzzy, links, nearest, redact, spans, termindex, tickets
 from quarry.plans import ingest_queries, more_queries, registry, rule_queries  # noqa: F401
 from quarry.sources import files, ticket_store
 from quarry.streaming import streams
@@ -440,3 +440,17 @@ def test_links_with_hot_tags_are_brute_force(spark, monkeypatch):
     found = {tuple(r) for r in links.pairs_of_new(df, new).collect()}
     both = want | {(b, a, n) for a, b, n in want}
     assert found == {(a, b, n) for a, b, n in both if a in set(list(chunks)[::10])}
+
+
+def test_term_index_is_brute_force(spark):
+    """Strings inside words, across words, shorter than a gram, empty and absent ones."""
+    import random
+
+    rng = random.Random(8)
+    words = ["Anna", "banana", "an", "a", "éan", "x-an.an", "aaaa", "\u0130an"]
+    texts = {f"c{k}": " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for k in range(60)} | {"c98": None, "c99": "a  b"}
+    chunks = spark.createDataFrame(list(texts.items()), "id string, text string")
+    low = {r["id"]: r["t"] for r in chunks.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    strings = ["an", "a", "ana", "nan", "aa", "aaa", "banana", "n.a", "n b", "a a", "  ", "zzz", "", "anna banana"]
+    got = {(r["string"], r["id"]): r["n"] for r in termindex.occurrences(termindex.build(chunks), spark.createDataFrame([(s,) for s in strings + strings[:3]], "string string"), chunks).collect()}
+    assert got == {(s, i): t.count(s) for s in strings if s for i, t in low.items() if s in t}
