@@ -121,3 +121,8 @@ def from_sources(primary: DataFrame | None, secondary: DataFrame | None, both: b
     if both and len(there) == 2:
         return primary.unionByName(secondary)
     return there[-1] if primary is None or primary.isEmpty() else primary
+
+
+def linked_to(rows: DataFrame, linked: str, project: str) -> DataFrame:
+    """The tickets whose list of linked issues, parted by commas, has one of the project."""
+    return rows.where(F.exists(F.split(F.col(linked), r"\s*,\s*"), lambda x: F.trim(x).startswith(f"{project}-")))

@@ -74,7 +74,11 @@ def searched(tagged: DataFrame) -> DataFrame:
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     """id, doc_id, label, word: up to ten capitalised words of each kind in a chunk."""
-    found = chunks(spark, sf).select("id", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{4,}"), F.lit(0)))).alias("word"))
+    return entities_of(chunks(spark, sf))
+
+
+def entities_of(c: DataFrame) -> DataFrame:
+    found = c.select("id", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{4,}"), F.lit(0)))).alias("word"))
     found = found.withColumn("label", F.when(F.length("word") % 2 == 0, "ORG").otherwise("PRODUCT"))
     return found.withColumn("r", F.row_number().over(Window.partitionBy("id", "label").orderBy("word"))).where("r <= 10").select("id", "doc_id", "label", "word")
 

@@ -222,27 +222,11 @@ def _verbs(spark, sf):
     return v.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "word"))).where("r <= 3").select("id", F.concat(F.lit("action-"), "word").alias("tag"))
 
 
-@query("F06_org_product_tags", f"WITH {X.ENTITIES} SELECT id, label, regexp_replace(lower(word), '[^A-Za-z0-9_-]', '', 'g') AS tag FROM (SELECT *, row_number() OVER (PARTITION BY id, label ORDER BY word) AS r FROM entities WHERE length(word) < 30) WHERE r <= 3")
-def _org(spark, sf):
-    e = X.entities(spark, sf).where(F.length("word") < 30)
-    return e.withColumn("r", F.row_number().over(Window.partitionBy("id", "label").orderBy("word"))).where("r <= 3").select("id", "label", T.normalize_tag(F.col("word")).alias("tag"))
-
-
 @query("F07_finalise_tags", f"WITH {X.TAGS} SELECT id, array_to_string(list_sort(list_distinct(list_filter(tags, lambda t: length(t) >= 3))), ',') AS tags FROM tagged")
 def _final(spark, sf):
     return X.tagged(spark, sf).select("id", F.array_join(F.array_sort(F.array_distinct(F.filter("tags", lambda t: F.length(t) >= 3))), ",").alias("tags"))
 
 
-PHRASES = {"function-words": ("of the", "and the"), "lists": ("| ",)}
-
-
-@query("F08_phrase_tags", f"WITH {X.TAGS} SELECT id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '\\b(of the|and the)\\b') THEN 'function-words' END, CASE WHEN contains(text, '| ') THEN 'lists' END], lambda x: x IS NOT NULL), ',') AS extra FROM tagged")
-def _phrases(spark, sf):
-    low = F.lower("text")
-    extra = F.array_compact(F.array(F.when(low.rlike(r"\b(of the|and the)\b"), "function-words"), F.when(F.contains("text", F.lit("| ")), "lists")))
-    return X.tagged(spark, sf).select("id", F.array_join(extra, ",").alias("extra"))
-
-
 @query("F12_promote_and_cap", f"WITH {X.TAGS} SELECT id, array_to_string(list_concat([category], list_filter(tags, lambda t: t <> category))[1:5], ',') AS tags FROM tagged")
 def _promote(spark, sf):
     return X.tagged(spark, sf).select("id", F.array_join(F.slice(F.array_union(F.array("category"), F.array_except("tags", F.array("category"))), 1, 5), ",").alias("tags"))
@@ -287,13 +271,6 @@ def _frequency(spark, sf):
     return tag_rows(spark, sf).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").orderBy(F.desc("n"), "tag").limit(20)
 
 
-@query("G04_expand_terms", f"WITH {X.TAGS}, {TAG_ROWS}, g(tag, alias) AS (VALUES ('that', 'this'), ('that', 'those'), ('with', 'without')) SELECT id, string_agg(x, ',' ORDER BY x) AS tags FROM (SELECT id, tag AS x FROM t UNION SELECT id, alias FROM t JOIN g ON t.tag = g.tag) GROUP BY id")
-def _expand(spark, sf):
-    alias = F.create_map(F.lit("that"), F.array(F.lit("this"), F.lit("those")), F.lit("with"), F.array(F.lit("without")))
-    more = F.flatten(F.filter(F.transform("keywords", lambda k: alias[k]), lambda x: x.isNotNull()))
-    return X.tagged(spark, sf).where(F.size("keywords") > 0).select("id", F.array_join(F.array_sort(F.array_union("keywords", more)), ",").alias("tags"))
-
-
 @query("G05_related_candidates", f"WITH {X.TAGS}, {TAG_ROWS}, {PAIRS} SELECT a, b, shared FROM pr")
 def _candidates(spark, sf):
     return links.shared_tag_pairs(tag_rows(spark, sf))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import folds
+from quarry.functions import text as T
+from quarry.operators import folds, redact
 from quarry.operators.dedup import keyword_set
 from quarry.plans import fixtures as X
+from quarry.plans.more_queries import EMAILED
 from quarry.plans.registry import query, table
+from quarry.sources.scratch import written
 
 def one():
     return F.count(F.lit(1))
@@ -24,7 +27,10 @@ BASICS = "b AS (SELECT doc_id, count(*) AS n_chunks, CAST(sum(len(regexp_extract
 
 
 def basics(spark, sf):
-    c = X.chunks(spark, sf)
+    return basics_of(X.chunks(spark, sf))
+
+
+def basics_of(c):
     return c.groupBy("doc_id").agg(one().alias("n_chunks"), F.sum(F.size(F.split("text", " "))).alias("n_words"), F.count_distinct(F.floor(F.col("k") / 2)).alias("n_pages"))
 
 
@@ -49,11 +55,27 @@ def _tags(spark, sf):
     return keyword_set(X.tagged(spark, sf), "doc_id", F.col("tags"), 15)
 
 
-@query("K06_doc_insights", f"WITH {X.TAGS}, {BASICS}, c AS (SELECT doc_id, tag, count(*) AS n FROM (SELECT doc_id, unnest(tags) AS tag FROM tagged) GROUP BY ALL), t AS (SELECT doc_id, string_agg(tag, ',' ORDER BY n DESC, tag) AS top_tags FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, tag) AS r FROM c) WHERE r <= 15 GROUP BY doc_id) SELECT b.doc_id, n_chunks, n_words, top_tags FROM b JOIN t ON b.doc_id = t.doc_id")
+INSIGHTS = f"""WITH {X.TAGS}{X.ENTITIES[len(X.CHUNKS):]}, {BASICS}, c AS (SELECT doc_id, tag, count(*) AS n FROM (SELECT doc_id, unnest(tags) AS tag FROM tagged) GROUP BY ALL),
+  t AS (SELECT doc_id, string_agg(tag, ',' ORDER BY n DESC, tag) AS top_tags FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, tag) AS r FROM c) WHERE r <= 15 GROUP BY doc_id),
+  ec AS (SELECT doc_id, label || '::' || word AS entity, count(*) AS n FROM entities GROUP BY ALL), e AS (SELECT doc_id, string_agg(entity, ',' ORDER BY n DESC, entity) AS top_entities FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, entity) AS r FROM ec) WHERE r <= 15 GROUP BY doc_id),
+  rd AS (SELECT doc_id, {EMAILED} AS m, regexp_replace(text, '{redact.ADDRESS}', '<ADDRESS>', 'g') AS a FROM documents)
+  SELECT b.doc_id, n_chunks, n_words, n_pages, CAST(greatest(1, round_even(n_words / 220.0, 0)) AS BIGINT) AS minutes, top_tags, coalesce(top_entities, '') AS top_entities, (length(m) - length(replace(m, '<EMAIL>', ''))) // 7 AS emails, (length(a) - length(replace(a, '<ADDRESS>', ''))) // 9 AS addresses
+  FROM b JOIN t ON t.doc_id = b.doc_id LEFT JOIN e ON e.doc_id = b.doc_id JOIN rd ON rd.doc_id = b.doc_id"""
+
+
+@query("K06_doc_insights", INSIGHTS)
 def _insights(spark, sf):
-    best = keyword_set(X.tagged(spark, sf), "doc_id", F.col("tags"), 15)
-    named = best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), lambda x: x["word"]), ",").alias("top_tags"))
-    return basics(spark, sf).join(named, "doc_id").select("doc_id", "n_chunks", "n_words", "top_tags")
+    """What a document's page shows: sizes, tags, entities and what was redacted. Chunks and tags are built once."""
+    t = written(X.tagged(spark, sf), "tagged")
+    joined = lambda best, name: best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), lambda x: x["word"]), ",").alias(name))
+    tags = joined(keyword_set(t, "doc_id", F.col("tags"), 15), "top_tags")
+    entities = X.entities_of(t).select("doc_id", F.array(F.concat("label", F.lit("::"), "word")).alias("one"))
+    found = joined(keyword_set(entities, "doc_id", F.col("one"), 15), "top_entities")
+    n = lambda clean, mark: T.occurrences(clean, F.lit(mark)).cast("long")
+    redacted = X.documents(spark, sf).select("doc_id", n(redact.emails(F.col("text"), ("example.org",)), "<EMAIL>").alias("emails"), n(redact.addresses(F.col("text")), "<ADDRESS>").alias("addresses"))
+    minutes = F.greatest(F.lit(1), F.bround(F.col("n_words") / 220)).cast("long").alias("minutes")
+    all_ = basics_of(t).join(tags, "doc_id").join(found, "doc_id", "left").join(redacted, "doc_id")
+    return all_.select("doc_id", "n_chunks", "n_words", "n_pages", minutes, "top_tags", F.coalesce("top_entities", F.lit("")).alias("top_entities"), "emails", "addresses")
 
 
 @query("K07_faceted_search", f"WITH {X.TAGS}, f AS (SELECT * FROM tagged WHERE contains(lower(text), 'the')), c AS (SELECT 'category' AS facet, category AS value FROM f UNION ALL SELECT 'tag', unnest(keywords) FROM f UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR) FROM f), n AS (SELECT facet, value, count(*) AS n FROM c GROUP BY ALL) SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM n) WHERE r <= 30")

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import dedup, folds, nearest, redact, search
+from quarry.operators import dedup, dictionary, folds, nearest, phrases, redact, search
 from quarry.plans import fixtures as X
-from quarry.plans.index_queries import CLUSTER, QV, VECTOR
+from quarry.plans.index_queries import CLUSTER, QV, TAG_ROWS, VECTOR
 from quarry.plans.registry import query, table
 from quarry.plans.search_queries import WITH, found, index, queries
 
@@ -33,16 +33,67 @@ redacted("DP8_redact_person_names", lambda t: redact.persons(t, ("Alex Doe",)))
 redacted("DP9_query_safe_mode", lambda t: F.when(redact.is_log_query(t), redact.account_numbers(redact.bearer(t))).otherwise(redact.credentials(t)))
 
 
-@query("F01_entities", f"WITH {X.ENTITIES} SELECT id, label, string_agg(word, ',' ORDER BY word) AS words FROM entities GROUP BY id, label")
+GAZETTEER = r"""ga AS (SELECT word, min(CASE WHEN item_id % 2 = 0 THEN 'ORG' ELSE 'PRODUCT' END) AS label FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM benchmark) WHERE length(word) >= 6 GROUP BY word),
+  cw AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM chunks)),
+  ge AS (SELECT id, label, word, row_number() OVER (PARTITION BY id, label ORDER BY min(place)) AS r FROM cw JOIN ga USING (word) GROUP BY id, label, word)"""
+
+
+def gazetteer(spark, sf):
+    """phrase, label: the long words of the benchmark's items."""
+    words = table(spark, sf, "benchmark").select("item_id", F.explode(dictionary.words_of(F.col("text"))).alias("phrase"))
+    return words.where(F.length("phrase") >= 6).select("phrase", F.when(F.col("item_id") % 2 == 0, "ORG").otherwise("PRODUCT").alias("label"))
+
+
+def named(spark, sf):
+    return dictionary.entities(dictionary.matches(X.chunks(spark, sf).select(F.col("id").alias("key"), "text"), gazetteer(spark, sf)))
+
+
+@query("F01_entities", f"WITH {X.CHUNKS}, {GAZETTEER} SELECT id, label, string_agg(word, ',' ORDER BY r) AS words FROM ge WHERE r <= 10 GROUP BY id, label")
 def _entities(spark, sf):
-    return X.entities(spark, sf).groupBy("id", "label").agg(F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))
+    """Entities of a dictionary that is given as a table, ten of a label in the order of the text."""
+    return named(spark, sf).select(F.col("key").alias("id"), "label", F.array_join("phrases", ",").alias("words"))
+
+
+@query("F06_org_product_tags", f"WITH {X.CHUNKS}, {GAZETTEER} SELECT id, label, substr(regexp_replace(word, '[^A-Za-z0-9_-]', '', 'g'), 1, 50) AS tag FROM (SELECT *, row_number() OVER (PARTITION BY id, label ORDER BY r) AS k FROM ge WHERE r <= 10 AND length(word) < 30) WHERE k <= 3")
+def _org(spark, sf):
+    """The first three of each label's entities that are shorter than 30 characters, as tags."""
+    short = F.slice(F.filter("phrases", lambda p: F.length(p) < 30), 1, 3)
+    return named(spark, sf).select(F.col("key").alias("id"), "label", F.explode(short).alias("word")).select("id", "label", T.normalize_tag(F.col("word")).alias("tag"))
+
+
+@query("F08_phrase_tags", f"""WITH {X.TAGS}, pd AS (SELECT phrase, min('topic-' || item_id % 7) AS tag FROM (SELECT item_id, ws[i] || ' ' || ws[i + 1] AS phrase FROM (SELECT item_id, ws, unnest(range(1, least(len(ws), 12))) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM benchmark))) GROUP BY phrase),
+  cp AS (SELECT id, ws[i] || ' ' || ws[i + 1] AS phrase FROM (SELECT id, ws, unnest(range(1, len(ws))) AS i FROM (SELECT id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM chunks))),
+  ft AS (SELECT id, unnest(tags) AS tag FROM tagged UNION SELECT id, tag FROM cp JOIN pd USING (phrase)) SELECT id, string_agg(tag, ',' ORDER BY tag) AS tags FROM ft GROUP BY id""")
+def _phrase_tags(spark, sf):
+    """Tags of the phrases of a dictionary (pairs of the first words of each benchmark item) beside a chunk's own."""
+    items = table(spark, sf, "benchmark").select("item_id", F.slice(dictionary.words_of(F.col("text")), 1, 12).alias("w"))
+    pairs = items.select("item_id", F.explode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, 12).alias("b"))).alias("x"))
+    phrases = pairs.select(F.concat_ws(" ", "x.a", "x.b").alias("phrase"), F.concat(F.lit("topic-"), (F.col("item_id") % 7).cast("string")).alias("label"))
+    tagged = X.tagged(spark, sf)
+    more = dictionary.matches(tagged.select(F.col("id").alias("key"), "text"), phrases, longest=False).groupBy(F.col("key").alias("id")).agg(F.collect_set("label").alias("more"))
+    tags = F.array_union("tags", F.coalesce("more", F.array().cast("array<string>")))
+    return tagged.join(more, "id", "left").select("id", F.array_join(F.array_sort(tags), ",").alias("tags"))
+
+
+@query("G04_expand_terms", f"WITH {X.TAGS}, {TAG_ROWS}, g AS (SELECT DISTINCT item_id AS grp, word FROM (SELECT item_id, unnest((regexp_extract_all(lower(text), '[\\p{{L}}]{{4,}}'))[1:5]) AS word FROM benchmark)), m AS (SELECT DISTINCT id, grp FROM t JOIN g ON t.tag = g.word), x AS (SELECT id, tag FROM t UNION SELECT id, word FROM m JOIN g USING (grp)) SELECT id, string_agg(tag, ',' ORDER BY tag) AS tags FROM x GROUP BY id")
+def _expand_terms(spark, sf):
+    """Tags with all words of the alias groups (a table) that have one of them: the first long words of each benchmark item."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("group"), F.explode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), F.lit(0)), 1, 5)).alias("word"))
+    rows = X.tagged(spark, sf).where(F.size("keywords") > 0).select(F.col("id").alias("key"), "keywords")
+    return dictionary.expanded(rows, "keywords", b).select(F.col("key").alias("id"), F.array_join(F.array_sort("keywords"), ",").alias("tags"))
+
+
+STOP_LIST = ", ".join(f"'{w}'" for w in phrases.STOP)
 
 
-@query("F02_key_phrases", f"WITH {X.WORDS}, b AS (SELECT doc_id, lower(words[i]) || ' ' || lower(words[i + 1]) AS phrase FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM w)), c AS (SELECT doc_id, phrase, count(*) AS n FROM b WHERE NOT regexp_matches(phrase, '[^a-z ]') GROUP BY ALL) SELECT doc_id, phrase, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, phrase) AS r FROM c) WHERE r <= 20")
+@query("F02_key_phrases", f"""WITH tk AS (SELECT doc_id, unnest(ts) AS tok, generate_subscripts(ts, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{phrases.TOKEN}') AS ts FROM documents)),
+  br AS (SELECT *, NOT regexp_full_match(tok, '{phrases.WORD}') OR tok IN ({STOP_LIST}) AS brk FROM tk), il AS (SELECT *, sum(CAST(brk AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM br),
+  ph AS (SELECT doc_id, run, string_agg(tok, ' ' ORDER BY pos) AS phrase, count(*) AS size FROM il WHERE NOT brk GROUP BY ALL),
+  wd AS (SELECT doc_id, tok, count(*) AS freq, sum(size) AS degree FROM il JOIN ph USING (doc_id, run) WHERE NOT brk GROUP BY ALL),
+  sc AS (SELECT DISTINCT doc_id, phrase, score FROM (SELECT doc_id, run, CAST(sum(degree * 1000000 // freq) AS BIGINT) AS score FROM il JOIN wd USING (doc_id, tok) WHERE NOT brk GROUP BY ALL) JOIN ph USING (doc_id, run) WHERE length(phrase) > 3)
+  SELECT doc_id, phrase, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS r FROM sc) WHERE r <= 20""")
 def _phrases(spark, sf):
-    d = X.documents(spark, sf).select("doc_id", T.words(F.col("text")).alias("words"))
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.lower(F.concat(a, F.lit(" "), b)))
-    return dedup.keyword_set(d.select("doc_id", F.filter(pairs, lambda p: ~p.rlike("[^a-z ]")).alias("pairs")), "doc_id", F.col("pairs")).withColumnRenamed("word", "phrase")
+    return phrases.key_phrases(X.documents(spark, sf), "doc_id", F.col("text"))
 
 
 @query("G17_cluster_expansion", f"WITH {X.TAGS}, c AS (SELECT id, {CLUSTER} AS cluster FROM tagged), f AS (SELECT cluster FROM c ORDER BY id LIMIT 5) SELECT id, cluster FROM (SELECT c.*, row_number() OVER (PARTITION BY cluster ORDER BY id) AS r FROM c WHERE cluster IN (SELECT cluster FROM f)) WHERE r <= 5")

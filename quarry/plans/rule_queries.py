@@ -115,7 +115,7 @@ def _static(spark, sf):
     words = X.documents(spark, sf).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), F.lit(0))).alias("word"))
     top = dedup.keyword_set(X.documents(spark, sf).where("doc_id % 20 = 0"), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), F.lit(0))).select("doc_id", "word")
     known = words.where("doc_id % 2 = 1").distinct().withColumnRenamed("doc_id", "other")
-    m = top.join(known, "word").groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    m = dedup.sharing(top, known, "doc_id", "other", "word", 3)
     e = table(spark, sf, "embeddings").join(X.documents(spark, sf), F.col("vec_id") == F.col("doc_id")).select("vec_id", "embedding", "lang", "source")
     a, b = (e.select(F.col("vec_id").alias(k), F.col("embedding").alias(f"v_{k}"), F.col("lang").alias(f"l_{k}"), F.col("source").alias(f"s_{k}")) for k in ("doc_id", "other"))
     same = lambda c: F.coalesce((F.col(f"{c}_doc_id") == F.col(f"{c}_other")).cast("int"), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import dedup, tickets
 from quarry.plans import fixtures as X
-from quarry.plans.registry import query
+from quarry.plans.registry import query, table
 
 TERMS = ("red", "widget")
 WEIGHTS = {"summary": 2, "description": 1}
@@ -68,10 +68,10 @@ def _synonyms(spark, sf):
     return t.select("source", F.array_join(tickets.expand_synonyms(terms, GROUPS), ",").alias("terms"))
 
 
-@query("I03_expand_status", WITH + "SELECT key, status IN ('O', 'P') AS is_active FROM tickets")
+@query("I03_expand_status", WITH + "SELECT key, status IN ('O', 'P') AS is_active, status IN ('F') AS is_resolved FROM tickets")
 def _status(spark, sf):
     preset = {"active": ("O", "P"), "resolved": ("F",)}
-    return rows(spark, sf).select("key", F.col("status").isin(*preset["active"]).alias("is_active"))
+    return rows(spark, sf).select("key", *[F.col("status").isin(*preset[name]).alias(f"is_{name}") for name in preset])
 
 
 @query("I05_match_any", WITH + f"SELECT key FROM tickets WHERE {ANY}")
@@ -184,7 +184,14 @@ def _trend(spark, sf):
     return g.withColumn("delta", F.col("n") - F.lag("n").over(Window.orderBy("month")))
 
 
-@query("I24_linked_project_filter", WITH + "SELECT key FROM (SELECT key, 'ABC-' || length(summary) || ', ' || CASE WHEN length(description) % 3 = 0 THEN 'NET-7' ELSE 'OPS-1' END AS linked FROM tickets) WHERE linked LIKE '%NET-%'")
+LINKED_ISSUES = "li AS (SELECT o AS number, string_agg(link, ', ' ORDER BY link) AS linked FROM (SELECT DISTINCT l_orderkey AS o, 'N' || s_nationkey || '-' || s_suppkey AS link FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) GROUP BY o)"
+
+
+@query("I24_linked_project_filter", WITH + f"SELECT key, linked FROM tickets JOIN ({'WITH ' + LINKED_ISSUES} SELECT * FROM li) ON number = CAST(substr(key, 5) AS BIGINT) WHERE linked LIKE 'N3-%' OR linked LIKE '%, N3-%'")
 def _linked(spark, sf):
-    linked = F.array(F.concat(F.lit("ABC-"), F.length("summary").cast("string")), F.when(F.length("description") % 3 == 0, "NET-7").otherwise("OPS-1"))
-    return rows(spark, sf).where(F.exists(linked, lambda x: x.startswith("NET-"))).select("key")
+    """Tickets whose stored list of linked issues (the suppliers of their items) names a project's."""
+    items = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    link = F.concat(F.lit("N"), F.col("s_nationkey").cast("string"), F.lit("-"), F.col("s_suppkey").cast("string"))
+    stored = items.groupBy(F.col("l_orderkey").alias("number")).agg(F.array_join(F.array_sort(F.collect_set(link)), ", ").alias("linked"))
+    t = rows(spark, sf).withColumn("number", F.substring("key", 5, 20).cast("long")).join(stored, "number")
+    return tickets.linked_to(t, "linked", "N3").select("key", "linked")

@@ -1,11 +1,12 @@
 """Operators that SQL can't state: redaction vectors, streams against batches, files."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import categories, chunking, folds, fuzzy, links, nearest, redact, spans, termindex, tickets
+from quarry.operators import categories, chunking, dedup, dictionary, folds, fuzzy, links, nearest, phrases, redact, spans, termindex, tickets
 from quarry.plans import ingest_queries, more_queries, registry, rule_queries  # noqa: F401
 from quarry.sources import files, ticket_store
 from quarry.streaming import streams
@@ -454,3 +455,83 @@ def test_term_index_is_brute_force(spark):
     strings = ["an", "a", "ana", "nan", "aa", "aaa", "banana", "n.a", "n b", "a a", "  ", "zzz", "", "anna banana"]
     got = {(r["string"], r["id"]): r["n"] for r in termindex.occurrences(termindex.build(chunks), spark.createDataFrame([(s,) for s in strings + strings[:3]], "string string"), chunks).collect()}
     assert got == {(s, i): t.count(s) for s in strings if s for i, t in low.items() if s in t}
+
+
+def dictionary_case(spark):
+    import random
+
+    rng = random.Random(11)
+    words = ["a", "b", "c", "Éa", "d1", "x"]
+    texts = {k: " ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) + rng.choice(["", ".", " - a, b!"]) for k in range(40)} | {98: None, 99: ""}
+    phrases = {" ".join(rng.choice(words[:4]) for _ in range(rng.randint(1, 4))): rng.choice(["ORG", "PRODUCT"]) for _ in range(25)} | {"a": "ORG", "A": "PRODUCT", "...": "ORG", "a b c a b c a": "ORG"}
+    low = {}
+    for p, label in phrases.items():
+        own = tuple(re.findall(r"\w+", p.lower()))
+        if 1 <= len(own) <= dictionary.LONGEST:
+            low[own] = min(low.get(own, label), label)
+    return texts, phrases, low
+
+
+@pytest.mark.parametrize("longest", [True, False])
+@pytest.mark.parametrize("most_entries", [50_000, 3])
+def test_dictionary_matches_are_brute_force(spark, longest, most_entries):
+    """By the trie and, for a dictionary over the limit, by the join."""
+    texts, phrases, low = dictionary_case(spark)
+    want = set()
+    for k, t in texts.items():
+        w, at = re.findall(r"\w+", (t or "").lower()), 0
+        while at < len(w):
+            here = [n for n in range(1, dictionary.LONGEST + 1) if at + n <= len(w) and tuple(w[at : at + n]) in low]
+            for n in here[-1:] if longest else here:
+                want.add((k, at, n, " ".join(w[at : at + n]), low[tuple(w[at : at + n])]))
+            at += here[-1] if longest and here else 1
+    df = spark.createDataFrame(list(texts.items()), "key bigint, text string")
+    found = dictionary.matches(df, spark.createDataFrame(list(phrases.items()), "phrase string, label string"), longest, most_entries)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    few = {(r["key"], r["label"]): r["phrases"] for r in dictionary.entities(found, 2).collect()}
+    for (k, label), names in few.items():
+        assert names == list(dict.fromkeys(p for _, _, p, _ in sorted((at, n, p, x) for q, at, n, p, x in want if q == k and x == label)))[:2]
+
+
+def test_groups_expand_tags(spark):
+    rows = spark.createDataFrame([(1, ["Slow", "x"]), (2, ["y"]), (3, ["down", "lag"]), (4, [])], "key bigint, tags array<string>")
+    groups = spark.createDataFrame([("g", "slow"), ("g", "lag"), ("g", "Delay"), ("h", "down"), ("h", "offline")], "group string, word string")
+    got = {r["key"]: r["tags"] for r in dictionary.expanded(rows, "tags", groups).collect()}
+    assert got == {1: ["Slow", "x", "delay", "lag", "slow"], 2: ["y"], 3: ["down", "lag", "delay", "offline", "slow"], 4: []}
+
+
+def test_key_phrases_are_brute_force(spark):
+    import random
+
+    rng = random.Random(13)
+    words = ["the", "red", "Engine", "and", "blaue", "ключ", "x", "of", "42", ",", ".", "l'eau"]
+    texts = {k: " ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for k in range(30)} | {98: None, 99: "  "}
+    got = {}
+    for r in phrases.key_phrases(spark.createDataFrame(list(texts.items()), "k bigint, t string"), "k", F.col("t"), 5).collect():
+        got.setdefault(r["k"], []).append((-r["score"], r["phrase"]))
+    for k, t in texts.items():
+        runs, own = [], []
+        for tok in [*re.findall(r"[^\W_]+|[^\s\w]|_", (t or "").lower()), "."]:
+            if re.fullmatch(r"[^\W_]+", tok) and tok not in phrases.STOP:
+                own.append(tok)
+            elif own:
+                runs.append(own)
+                own = []
+        freq, degree = {}, {}
+        for run in runs:
+            for w in run:
+                freq[w], degree[w] = freq.get(w, 0) + 1, degree.get(w, 0) + len(run)
+        want = sorted((-sum(degree[w] * 1_000_000 // freq[w] for w in run), " ".join(run)) for run in {tuple(x) for x in runs} if len(" ".join(run)) > 3)[:5]
+        assert sorted(got.get(k, [])) == want, t
+
+
+def test_sharing_words_is_brute_force(spark):
+    import random
+
+    rng = random.Random(14)
+    asked = {k: {f"w{int(rng.paretovariate(0.7)) % 30}" for _ in range(rng.randint(1, 8))} for k in range(20)}
+    known = {k: {f"w{int(rng.paretovariate(0.7)) % 30}" for _ in range(rng.randint(1, 15))} for k in range(60)}
+    rows = lambda d, c: spark.createDataFrame([(k, w) for k, own in d.items() for w in own], f"{c} bigint, word string")
+    got = {tuple(r) for r in dedup.sharing(rows(asked, "doc"), rows(known, "other"), "doc", "other", "word", 3).collect()}
+    assert got == {(a, b, len(x & y)) for a, x in asked.items() for b, y in known.items() if len(x & y) >= 3}
