@@ -16,26 +16,29 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     star, so the rounds grow with the logarithm of the ids and the rows of all rounds together with the links. The rounds'
     moves, fewer each time, are then followed from the last to the first."""
     edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    n = edges.count()
     moves: list[DataFrame] = []
-    for turn in range(most_rounds):
-        order = lambda c: F.xxhash64(F.lit(turn), c)  # noqa: B023, E731
+    while not edges.isEmpty():
+        if len(moves) == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        order = lambda c: F.xxhash64(F.lit(len(moves)), c)
         both = edges.union(edges.select("b", "a"))
         first = both.groupBy("a").agg(F.min_by("b", F.struct(order("b").alias("h"), "b")).alias("b"))
         stays = F.struct(order("a").alias("h"), F.col("a").alias("x")) <= F.struct(order("b").alias("h"), F.col("b").alias("x"))
-        moved = materialize(first.select(F.col("a").alias("id"), F.when(stays, F.col("a")).otherwise(F.col("b")).alias("up")), "moves")
+        moved = materialize(first.select(F.col("a").alias("id"), F.when(stays, F.col("a")).otherwise(F.col("b")).alias("up")), "moves", 2 * n)
         moves.append(moved)
-        at = lambda side: moved.select(F.col("id").alias(side), F.col("up").alias(f"up_{side}"))  # noqa: B023, E731
-        left = edges.join(at("a"), "a").join(at("b"), "b").where("up_a <> up_b")
-        edges = materialize(left.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), "links")
-        if edges.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        # each link has a row from either end; together these tell where both ends went
+        ends = materialize(both.join(moved.withColumnRenamed("id", "a"), "a"), "ends", 2 * n)
+        gone = ends.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("up").alias("a"), F.max("up").alias("b"))
+        edges = materialize(gone.where("a <> b").select("a", "b"), "links", n)
+    if not moves:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     final = moves[-1].withColumnRenamed("up", "root")
     for moved in reversed(moves[:-1]):
-        final = moved.join(final.withColumnRenamed("id", "up"), "up", "left").select("id", F.coalesce("root", "up").alias("root"))
-    final = materialize(final, "roots")
-    return final.join(final.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+        joined = moved.join(final.withColumnRenamed("id", "up"), "up", "left").select("id", F.coalesce("root", "up").alias("root"))
+        final = materialize(joined, "roots", 2 * n)
+    least = materialize(final.groupBy("root").agg(F.min("id").alias("component")), "components", 2 * n)
+    return materialize(final.join(least, "root").select("id", "component"), "labels", 2 * n)
 
 
 def apart(members: DataFrame, label: DataFrame) -> DataFrame:

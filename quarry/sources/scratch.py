@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a task that writes a table of known size, and the fewest tasks.
+TASK_ROWS, LEAST_TASKS = 50_000, 8
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local session, whose executors are the driver, may lack one."""
@@ -19,8 +22,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once and reads it back: its parts are used by several branches, and a lost executor's work starts from files."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df once and reads it back: its parts are used by several branches, and a lost executor's work starts from files. Where
+    a bound of its rows is known, its last stage has a task for each TASK_ROWS of them, LEAST_TASKS at least."""
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
