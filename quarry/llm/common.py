@@ -23,10 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df once as a table in the shared folder and reads it back, which cuts the lineage
-    and lets a lost executor's work restart from the files."""
-    return written(df, name)
+    and lets a lost executor's work restart from the files. rows: a bound of its rows, see written()."""
+    return written(df, name, rows)
 
 
 def words_of(text: Column) -> Column:

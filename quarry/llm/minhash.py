@@ -293,7 +293,8 @@ def joined(label: DataFrame, links: DataFrame) -> DataFrame:
     pairs = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     up = components(pairs.distinct())
     moved = label.join(up.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
-    return materialize(moved.unionByName(up.join(label, "id", "left_anti").select("id", "component")), "labels")
+    more = up.join(label, "id", "left_anti").select("id", "component")
+    return materialize(moved.unionByName(more), "labels")
 
 
 def labelled(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -308,18 +309,19 @@ def labelled(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     distinct = materialize(signed.groupBy("id").agg(first.alias("m")).select("id", "m.*"), "distinct")
     worded = distinct.where("n > 0")
     one = materialize(buckets(worded), "buckets")
+    n = one.count()  # links with hubs and within small buckets are at most SMALL times as many
     some = distinct.join(one.select("id").distinct(), "id", "left_semi").select("id", "text_key")
     texts = docs.select(text_key(F.col("text")).alias("text_key"), zipped(F.col("text").cast("string")).alias("text"))
     texts = materialize(texts.join(some, "text_key").dropDuplicates(["text_key"]).select("id", "text"), "texts")
 
-    done = materialize(plausible(candidates(one), worded, least), "pairs")
+    done = materialize(plausible(candidates(one), worded, least), "pairs", n)
     label = components(materialize(verify(done, texts, least), "found"))
     for turn in range(TURNS + 1):
-        left = materialize(apart(one.where(F.col("size") > SMALL).select("id", "bucket"), label), "left")
+        left = materialize(apart(one.where(F.col("size") > SMALL).select("id", "bucket"), label), "left", n)
         if left.isEmpty():
             break
         if turn < TURNS:
-            asked = materialize(plausible(stars(left, turn), worded, least).join(done, ["a", "b"], "left_anti"), "pairs")
+            asked = materialize(plausible(stars(left, turn), worded, least).join(done, ["a", "b"], "left_anti"), "pairs", n)
             more, done = verify(asked, texts, least), done.unionByName(asked)
         else:
             more = across(left, worded, texts, least)
