@@ -158,7 +158,8 @@ def _codec(shared) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the ids of each text (null: none)."""
+    """Adds the ids of each text (null: none), a row for each row, repeated ones too; very long texts are encoded whole, an empty table
+    gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(_spec(path))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -170,7 +171,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """Adds the text of each list of ids (null: empty)."""
+    """Adds the text of each list of ids (null: empty), a row for each row, repeated ones too; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(_spec(path))
 
     @F.pandas_udf(T.StringType())

@@ -128,7 +128,8 @@ def mix(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:  # noqa: B0
 
 
 def chosen(docs: DataFrame, targets: Targets) -> DataFrame:
-    """The rows of docs, whole and with their own columns, that at least one epoch uses."""
+    """The rows of docs, whole and with their own columns, that at least one epoch uses. Rows that repeat an id each have a place of
+    their own; null texts have no tokens; very long texts are counted whole; an empty table gives no rows."""
     marked = docs.withColumn("row_", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     p = plan(marked.select("doc_id", "text", "lang", "source", "row_"), targets)
     return p.where((F.col("full_epochs") > 0) | (F.col("order_key") <= F.col("cut_key"))).select("row_.*")

@@ -67,7 +67,8 @@ def bucket(*words: Column, buckets: int) -> Column:
 
 
 def ratio_table(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, ratio: round(UNIT * ln(p_target / p_raw)) with one added to each count, over all documents."""
+    """bucket, ratio: round(UNIT * ln(p_target / p_raw)) with one added to each count, over all documents.
+    Null texts have no words, null ids are never trusted; rows that repeat count as often as they stand."""
     trusted = F.broadcast(trusted_ids.select(F.col("doc_id").alias("tid")).distinct())
     texts = docs.select("doc_id", words_of(F.col("text").cast("string")).alias("words"))
     rows = texts.join(trusted, texts["doc_id"] == trusted["tid"], "left").select(F.col("tid").isNotNull().alias("t"), F.inline(pairs(F.col("words"))).alias("a", "b"))

@@ -300,7 +300,9 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the repeated bytes removed from each text; broken characters at the edges of a removal are left out.
-    Rows whose text is removed whole go. n_chars, where there is such a column, is counted anew; a null text stays null."""
+    Rows whose text is removed whole go. n_chars, where there is such a column, is counted anew; a null text stays null.
+    Rows that repeat an id and a text are one document and lose the same bytes. Very long texts are read whole, other columns stay
+    whatever their names; an empty table gives no rows."""
     own = numbered(docs)
     runs = repeats(own, window).groupBy("d").agg(F.collect_list("at").alias("runs"))
 
