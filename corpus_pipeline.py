@@ -22,23 +22,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least id (null last); texts without words are one group."""
+    """One document of each group of near-duplicates, that of the least id (null last); texts without words are one group, rows that
+    repeat id and text one document. Very long texts are compared whole; an empty table gives no rows; other columns stay, whatever
+    their names."""
     return minhash.dedup(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 100-byte strings that start earlier in the corpus; those that lose all bytes go."""
+    """Documents without the bytes of 100-byte strings that start earlier in the corpus; those that lose all bytes go. A null text
+    stays null, a null id comes first, rows that repeat id and text lose the same bytes. Very long texts are read whole; an empty table
+    gives no rows; other columns stay, whatever their names."""
     return suffix.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that one seeded epoch takes to fill each leaf's budget; at a budget's end the last one stays whole. Null
-    languages and sources are a leaf like others; a text without words takes nothing and stays if its place is before the end."""
+    languages and sources are a leaf like others; a text without words takes nothing and stays if its place is before the end. Rows that
+    repeat each have a place. Very long texts are counted whole; an empty table gives no rows; other columns stay, whatever their
+    names."""
     return mixing.chosen(docs, mixing.Targets(max_epochs=1))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document that is left, a row for each row; a null text has no tokens."""
+    """Token counts and digests of each document that is left, a row for each row, repeated ones too; a null text has no tokens.
+    Very long texts are encoded whole; an empty table gives no rows; columns other than doc_id and text are left out."""
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
