@@ -283,6 +283,12 @@ def _cosine(spark, sf):
     return nearest.similarities(e.where("vec_id % 20 = 0"), e, group="label").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "similarity")
 
 
+@query("G06_cosine_all_rows", f"WITH {QV} SELECT a.vec_id AS a, b.vec_id AS b, round({VECTOR}, 6) AS similarity FROM q a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id")
+def _cosine_all(spark, sf):
+    """The same rows under the name that they had before."""
+    return _cosine(spark, sf)
+
+
 CLUSTER = "array_to_string(list_sort(tags[1:3]), '+')"
 
 

@@ -164,8 +164,9 @@ def test_csv_drop_stream(spark, tmp_path):
 def test_each_query_vector_meets_all_of_its_label(spark, tmp_path):
     rows = [(i, [float(i % 5 + 1), 1.0], i % 2) for i in range(45)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {(r["a"], r["b"]) for r in registry.QUERIES["G06_cosine_all_rows"](spark, str(tmp_path)).collect()}
-    assert got == {(a, b) for a in (0, 20, 40) for b in range(0, 45, 2) if a != b}
+    pairs = lambda name: {(r["a"], r["b"]) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert pairs("G06_cosine") == {(a, b) for a in (0, 20, 40) for b in range(0, 45, 2) if a != b}
+    assert pairs("G06_cosine_all_rows") == pairs("G06_cosine")
 
 
 def plain_ratio(a, b):
@@ -535,3 +536,43 @@ def test_sharing_words_is_brute_force(spark):
     rows = lambda d, c: spark.createDataFrame([(k, w) for k, own in d.items() for w in own], f"{c} bigint, word string")
     got = {tuple(r) for r in dedup.sharing(rows(asked, "doc"), rows(known, "other"), "doc", "other", "word", 3).collect()}
     assert got == {(a, b, len(x & y)) for a, x in asked.items() for b, y in known.items() if len(x & y) >= 3}
+
+
+def batches(spark, tmp_path, schema, parts, make, name, mode, pause=0.0):
+    """Runs a stream over one file for each part, a run each; the rows of each run and the number of keys that are kept."""
+    import time
+
+    source, found = tmp_path / "in", []
+    source.mkdir()
+    for k, part in enumerate(parts):
+        (source / f"{k}.json").write_text("\n".join(json.dumps(r) for r in part))
+        rows = []
+        stream = make(spark.readStream.schema(schema).json(str(source)))
+        q = stream.writeStream.foreachBatch(lambda df, _, rows=rows: rows.extend(map(tuple, df.collect()))).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        found.append((rows, kept[-1] if kept else None))
+        time.sleep(pause)
+    return found
+
+
+def test_latest_status_forgets_jobs(spark, tmp_path):
+    row = lambda j, day, m, e, s: {"job_id": j, "ts": f"2024-01-{day:02d}T00:{m:02d}:00", "event_id": e, "status": s}
+    parts = [
+        [row(1, 1, 1, 1, "queued"), row(1, 1, 3, 3, "crawling"), row(1, 1, 2, 2, "review"), row(2, 1, 1, 4, "failed"), row(2, 1, 9, 5, "review")],
+        [row(1, 1, 4, 6, "review"), row(2, 1, 10, 7, "queued"), row(3, 4, 1, 8, "queued")],
+        [row(3, 4, 2, 9, "queued"), row(2, 4, 3, 10, "review")],
+    ]
+    found = batches(spark, tmp_path, "job_id bigint, ts timestamp, event_id bigint, status string", parts, streams.latest_status, "latest", "update")
+    # the second job's failure outweighs what comes until its state has gone, two days later
+    assert [sorted(rows) for rows, _ in found] == [[(1, "crawling"), (2, "failed")], [(1, "review"), (3, "queued")], [(2, "review"), (3, "queued")]]
+
+
+def test_sessions_expire_and_their_state_goes(spark, tmp_path):
+    row = lambda u, day, h: {"user_id": u, "ts": f"2024-01-{day:02d}T{h:02d}:00:00"}
+    parts = [[row("a", 1, 1), row("a", 1, 5), row("b", 1, 2)], [row("b", 2, 1), row("c", 2, 6)], [row("c", 2, 7), row("d", 3, 4)], [row("d", 9, 1), row("a", 9, 2)], [row("a", 9, 3)]]
+    found = batches(spark, tmp_path, "user_id string, ts timestamp", parts, streams.expired_sessions, "sessions", "append")
+    ended = sorted((u, str(last)[:19], n) for rows, _ in found for u, last, n in rows)
+    assert ended == [("a", "2024-01-01 05:00:00", 2), ("b", "2024-01-02 01:00:00", 2), ("c", "2024-01-02 07:00:00", 2), ("d", "2024-01-03 04:00:00", 1)]
+    assert found[-1][1] is not None
