@@ -760,7 +760,7 @@ def test_empty_tables(odd, labels):
 
 
 def test_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, tokenizer):
