@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import MEMORIES, released
+
 #: The byte-level split pattern, with white space as Unicode's White_Space property.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d"
@@ -147,6 +149,7 @@ def _spec(path: str) -> str:
 
 
 _codecs: dict[int, Codec] = {}
+MEMORIES["bpe"] = _codecs.clear
 
 
 def _codec(shared) -> Codec:
@@ -194,7 +197,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": text})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInPandas(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInPandas(released(run, "bpe"), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -206,4 +209,4 @@ def lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"n_tokens": [codec.count(t) for t in b["text"]]}, dtype="int64")
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInPandas(run, "n_tokens bigint")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInPandas(released(run, "bpe"), "n_tokens bigint")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import GOLDEN as _G
-from quarry.llm.common import Hashes, id_key, materialize, mix, text_key, zipped
+from quarry.llm.common import MEMORIES, Hashes, id_key, materialize, mix, released, text_key, zipped
 from quarry.operators.components import apart, components
 
 SHINGLE = 5
@@ -33,6 +33,7 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 256, 60_000
 BLOCK = 200_000
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _hashes = Hashes()
+MEMORIES["minhash"] = _hashes.clear
 
 
 def words_of(text: str | None) -> list[str]:
@@ -136,7 +137,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, text_key binary, id binary, n bigint, bands array<bigint>, marks array<bigint>")
+    return rows.mapInPandas(released(run, "minhash"), f"doc_id {kind}, text_key binary, id binary, n bigint, bands array<bigint>, marks array<bigint>")
 
 
 def bag_of(packed: bytes) -> frozenset[int]:
@@ -158,7 +159,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFr
                 found.append(alike(bag_of(x), bag) >= least)
             yield b.loc[found, ["a", "b"]]
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(released(run, "minhash"), "a binary, b binary")
 
 
 def buckets(distinct: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, mix, text_key, zipped
+from quarry.llm.common import materialize, mix, released, text_key, zipped
 from quarry.llm.repeats import GRAM, gram_hashes, pieces, sliding
 
 #: Bytes of the strings that count.
@@ -243,7 +243,7 @@ def spans(data_length: int, start: np.ndarray, windows: np.ndarray, window: int)
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """d, at: runs of windows that an earlier window equals, in docs as numbered() gives them."""
-    found = docs.mapInPandas(_find(window), "anchor bigint, piece bigint, d bigint, at bigint, later boolean")
+    found = docs.mapInPandas(released(_find(window), "suffix"), "anchor bigint, piece bigint, d bigint, at bigint, later boolean")
     same = Window.partitionBy("anchor", "piece").orderBy("d", "at")
     group = Window.partitionBy("anchor")
     rows = found.withColumn("nth", F.row_number().over(same)).withColumn("later", F.col("later") | (F.col("nth") > 1))
@@ -252,8 +252,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = materialize(rows.select("anchor", "d", "at", "later", (F.col("kinds") > HOT_PIECES).alias("hot")), "pieces")
     left = rows.where("not later")
     wanted = left.groupBy("d").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("wanted"))
-    cut = packed(docs).join(wanted, "d").mapInPandas(_cut(window), "anchor bigint, d bigint, at bigint, data binary")
-    sorted_ = cut.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_sort(window), "d bigint, at bigint")
+    cut = packed(docs).join(wanted, "d").mapInPandas(released(_cut(window), "suffix"), "anchor bigint, d bigint, at bigint, data binary")
+    sorted_ = cut.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(released(_sort(window), "suffix"), "d bigint, at bigint")
     return rows.where("later").select("d", "at").unionByName(sorted_)
 
 
@@ -294,7 +294,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out.append((d, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["d", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    done = packed(docs).join(runs, "d", "left").mapInPandas(run, "d bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    done = packed(docs).join(runs, "d", "left").mapInPandas(released(run, "suffix"), "d bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return done.select(F.when(F.col("d") != -(2**63), F.col("d")).cast(kind).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -315,7 +315,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
     marked = numbered(whole, "row_").join(runs, "d", "left")
-    marked = marked.select("row_", run("text", "nth", "runs").alias("left_"))
+    # as if not deterministic: else Spark moves the condition below and runs the function once for it and once for the result
+    marked = marked.select("row_", run.asNondeterministic()("text", "nth", "runs").alias("left_"))
     marked = marked.where(F.col("left_").isNull() | (F.col("left_") != "") | (F.col("row_.text") == ""))
     new = {"text": F.col("left_"), "n_chars": F.length("left_").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return marked.select(*[new[c].alias(c) if c in new else F.col(f"row_.`{c}`").alias(c) for c in docs.columns])
