@@ -25,7 +25,7 @@ EDGES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["DP7_redact_addresses", "DP5_redact_emails"])
+@pytest.mark.parametrize("name", ["DP7_redact_addresses", "DP5_redact_emails", "K06_doc_insights"])
 def test_edges_of_words_as_in_sql(spark, tmp_path, name):
     """Letters beyond ASCII beside a match, vertical tabs, the long s and the Kelvin sign."""
     got, want = against_sql(spark, tmp_path, name, list(enumerate(EDGES)))
