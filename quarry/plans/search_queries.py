@@ -27,7 +27,7 @@ def queries(spark, sf, tagged=None):
 
 def related(tagged):
     rows = tagged.select("id", "doc_id", F.explode("keywords").alias("tag"))
-    return links.related(links.shared_tag_pairs(rows), "shared")
+    return links.best_by_tags(rows)
 
 
 #: The index (chunks, links, entities, words) of each session, folder and state of its documents, as files.
@@ -46,7 +46,7 @@ def index(spark, sf):
     key = (spark.sparkContext.applicationId, sf, *state(spark, sf))
     if key not in _built:
         tagged = written(X.tagged(spark, sf), "tagged")
-        entities = X.entities(spark, sf).select("id", F.concat("label", F.lit("::"), "word").alias("entity"))
+        entities = X.entities_of(tagged).select("id", F.concat("label", F.lit("::"), "word").alias("entity"))
         _built[key] = tagged, written(related(tagged), "links"), written(entities, "entities"), termindex.build(tagged)
     return _built[key]
 
@@ -178,7 +178,7 @@ def _validate(spark, sf):
 @query("DQ9_relevance_gate", WITH + "SELECT q.query_id, coalesce(max(score) >= 15, false) AS proceed FROM q LEFT JOIN rk ON q.query_id = rk.query_id GROUP BY q.query_id")
 def _gate(spark, sf):
     best = found(spark, sf).ranked.groupBy("query_id").agg(F.max("score").alias("best"))
-    return queries(spark, sf).select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce(F.col("best") >= 15, F.lit(False)).alias("proceed"))
+    return queries(spark, sf, index(spark, sf)[0]).select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce(F.col("best") >= 15, F.lit(False)).alias("proceed"))
 
 
 @query("H19_level_limits", WITH + f"SELECT query_id, level, {_caps('related')} AS related, {_caps('deep')} AS deep, {_caps('total')} AS total FROM q")
