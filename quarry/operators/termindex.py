@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import counted
 from quarry.sources.scratch import scratch_dir
 
 #: Characters of a gram, and folders into which grams and words are dealt, so that a search reads only those it asks for.
@@ -44,9 +45,9 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 def build(chunks: DataFrame) -> TermIndex:
     """The index of the lower-cased texts (id, text), whose words stand between spaces."""
-    words = chunks.select("id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), " ")).alias("word")).where("word <> ''")
-    counted = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-    postings = _stored(counted.select("word", "id", "n", bucket("word").alias("bucket")), "postings")
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), lambda w: w != "")
+    counts = chunks.select("id", F.explode(counted(words)).alias("c")).select(F.col("c.word").alias("word"), "id", (-F.col("c.less")).cast("bigint").alias("n"))
+    postings = _stored(counts.withColumn("bucket", bucket("word")), "postings")
     vocabulary = postings.select("word").distinct()
     grams = _stored(vocabulary.select("word", F.explode(grams_of("word")).alias("gram")).select("gram", "word", bucket("gram").alias("bucket")), "grams")
     return TermIndex(grams, postings, vocabulary)

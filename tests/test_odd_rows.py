@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import links, redact
 from quarry.plans import insight_queries, more_queries, registry  # noqa: F401
 
@@ -77,3 +78,29 @@ def test_best_partners_of_many_tags(spark):
     assert {r["id"] for r in links.linked_to(df, F.col("doc_id") == 0).collect()} == {f"c{k}" for k in range(1, 12)}
     none = spark.createDataFrame([], df.schema)
     assert links.best_by_tags(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_nearest_by_tags_is_what_all_pairs_give(spark, seed, monkeypatch):
+    """Several blocks, documents without a vector, a zero vector, equal vectors; the pairs are not made."""
+    import random
+
+    chunks, df = tagged_chunks(spark, seed)
+    rng = random.Random(seed)
+    v = {d: [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)] for d in range(40) if d % 7 != 5} | {3: [0.0] * 4}
+    vectors = spark.createDataFrame(list(v.items()), "doc_id bigint, vector array<double>")
+    of_chunk = spark.createDataFrame([(i, v[d]) for i, (d, _) in chunks.items() if d in v], "id string, vector array<double>")
+    row = lambda r: (r["id"], r["other"], r["similarity"], r["r"])
+    want = [row(r) for r in links.related_by_similarity(links.shared_tag_pairs(df), of_chunk, 0.2).collect()]
+    monkeypatch.setattr(links, "shared_tag_pairs", None)
+    monkeypatch.setattr(links, "DOCUMENTS", 9)
+    got = [row(r) for r in links.nearest_by_tags(df, vectors, 0.2).collect()]
+    assert want and sorted(got) == sorted(want)
+    assert links.nearest_by_tags(df.where("false"), vectors, 0.2).count() == links.nearest_by_tags(df, vectors.where("false"), 0.2).count() == 0
+
+
+def test_words_are_counted_in_their_row(spark):
+    rows = [(["b", "a", "b", "é", "a", "b", "Z"],), ([],), (None,), (["x"],), (["a", None, "a"],)]
+    got = [[(-x["less"], x["word"]) for x in r["c"] or []] for r in spark.createDataFrame(rows, "w array<string>").select(T.counted(F.col("w")).alias("c")).collect()]
+    assert got == [[(3, "b"), (2, "a"), (1, "Z"), (1, "é")], [], [], [(1, "x")], [(2, "a")]]
+    assert "Exchange" not in spark.createDataFrame(rows, "w array<string>").select(T.counted(F.col("w")))._jdf.queryExecution().toString()
