@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from collections import Counter
+from itertools import groupby
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A text is read as words (letters and digits of any script) and single other characters.
 WORD = r"[\p{L}\p{N}]+"
@@ -17,20 +23,32 @@ STOP = (
 ).split()
 
 
+@F.pandas_udf(T.ArrayType(T.StructType().add("phrase", "string").add("score", "long")))
+def _best(texts: pd.Series, most: pd.Series, longer_than: pd.Series) -> pd.Series:
+    """The best phrases of texts that are given as their words, null where a phrase ends."""
+
+    def one(words, most: int, longer_than: int) -> list[dict]:
+        runs = [tuple(r) for ends, r in groupby(words, lambda w: w is None) if not ends]
+        freq, degree = Counter(), Counter()
+        for r in runs:
+            for w in r:
+                freq[w] += 1
+                degree[w] += len(r)
+        weight = {w: degree[w] * 1_000_000 // n for w, n in freq.items()}
+        scored = ((" ".join(r), sum(weight[w] for w in r)) for r in set(runs))
+        best = heapq.nsmallest(most, ((-score, phrase.encode(), phrase) for phrase, score in scored if len(phrase) > longer_than))
+        return [{"phrase": phrase, "score": -less} for less, _, phrase in best]
+
+    return pd.Series([one(*x) for x in zip(texts, most, longer_than, strict=True)])
+
+
 def key_phrases(rows: DataFrame, key: str, text: Column, most: int = 20, longer_than: int = 3) -> DataFrame:
     """key, phrase, score: the `most` best lower-cased phrases of each text that are longer than `longer_than` characters.
 
     A phrase is a run of words without a stop word or other character between. A word's degree is the summed length of the
     runs that it stands in; a phrase's score adds up degree over frequency of its words, in whole millionths. Ties go by the
-    phrase. Keys are unique; a text's tokens are sorted within one group."""
-    tokens = rows.select(key, F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
-    ends = ~F.col("tok").rlike(f"^{WORD}$") | F.col("tok").isin(STOP)
-    run = F.sum(ends.cast("int")).over(Window.partitionBy(key).orderBy("pos"))
-    words = tokens.withColumn("ends", ends).withColumn("run", run).where("not ends").select(key, "run", "pos", "tok")
-    runs = words.groupBy(key, "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]).alias("words"))
-    each = runs.select(key, F.explode("words").alias("tok"), F.size("words").cast("long").alias("size"))
-    weight = each.groupBy(key, "tok").agg(F.count(F.lit(1)).alias("freq"), F.sum("size").alias("degree")).select(key, "tok", F.expr("degree * 1000000 div freq").alias("weight"))
-    different = runs.select(key, "words").distinct().select(key, F.array_join("words", " ").alias("phrase"), "words").where(F.length("phrase") > longer_than)
-    scored = different.select(key, "phrase", F.explode("words").alias("tok")).join(weight, [key, "tok"]).groupBy(key, "phrase").agg(F.sum("weight").alias("score"))
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "phrase")
-    return scored.withColumn("nth_", F.row_number().over(order)).where(F.col("nth_") <= most).drop("nth_")
+    phrase. Keys are unique and not null; a text is read in its own row, so nothing is moved."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    words = F.transform(tokens, lambda t: F.when(t.rlike(f"^{WORD}$") & ~t.isin(STOP), t))
+    found = rows.where(F.col(key).isNotNull()).select(key, _best(words, F.lit(most), F.lit(longer_than)).alias("found"))
+    return found.select(key, F.inline("found"))

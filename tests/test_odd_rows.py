@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import links, redact
+from quarry.operators import links, nearest, phrases, redact
 from quarry.plans import insight_queries, more_queries, registry  # noqa: F401
 
 
@@ -104,3 +104,30 @@ def test_words_are_counted_in_their_row(spark):
     got = [[(-x["less"], x["word"]) for x in r["c"] or []] for r in spark.createDataFrame(rows, "w array<string>").select(T.counted(F.col("w")).alias("c")).collect()]
     assert got == [[(3, "b"), (2, "a"), (1, "Z"), (1, "é")], [], [], [(1, "x")], [(2, "a")]]
     assert "Exchange" not in spark.createDataFrame(rows, "w array<string>").select(T.counted(F.col("w")))._jdf.queryExecution().toString()
+
+
+def test_key_phrases_stay_in_their_row(spark):
+    """Ties of phrases beyond the Basic Multilingual Plane go by bytes, and nothing is moved."""
+    texts = {1: "deep sea, deep sky; the deep sea and Straße", 2: None, 3: "", None: "lost words", 4: " . ".join(["𝒳yzw", "ﬁnal", "abcd"])}
+    df = spark.createDataFrame(list(texts.items()), "k bigint, t string")
+    got = phrases.key_phrases(df, "k", F.col("t"), 2)
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    assert [tuple(r) for r in got.collect()] == [(1, "deep sea", 4000000), (1, "deep sky", 4000000), (4, "abcd", 1000000), (4, "ﬁnal", 1000000)]
+
+
+def test_nearest_that_shares_words_is_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    row = lambda k: (k, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)], rng.sample(range(12), rng.randint(0, 6)))
+    asked, known = [row(k) for k in range(25)], [row(100 + k) for k in range(60)] + [(200, None, [1, 2, 3]), (201, [0.0] * 4, [1, 2, 3, 4])]
+    unit = lambda x: np.array(x) / (np.linalg.norm(x) or 1)
+    want = {}
+    for q, v, w in asked:
+        best = sorted((-round(float(unit(v) @ unit(u)), 6) + 0.0, k) for k, u, x in known if u is not None and len(set(w) & set(x)) >= 3)
+        want |= {q: (best[0][1], -best[0][0] + 0.0)} if best else {}
+    kind = "vec_id bigint, embedding array<double>, words array<bigint>"
+    got = nearest.nearest_sharing(spark.createDataFrame(asked, kind), spark.createDataFrame(known, kind), 3, block=9).collect()
+    assert want and {r["query_id"]: (r["vec_id"], r["similarity"]) for r in got} == want and len(got) == len(want)
