@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import links, nearest, phrases, redact
+from quarry.operators import fuzzy, links, nearest, phrases, redact
 from quarry.plans import insight_queries, more_queries, registry  # noqa: F401
 
 
@@ -131,3 +131,22 @@ def test_nearest_that_shares_words_is_brute_force(spark):
     kind = "vec_id bigint, embedding array<double>, words array<bigint>"
     got = nearest.nearest_sharing(spark.createDataFrame(asked, kind), spark.createDataFrame(known, kind), 3, block=9).collect()
     assert want and {r["query_id"]: (r["vec_id"], r["similarity"]) for r in got} == want and len(got) == len(want)
+
+
+def test_fuzzy_blocks_move_few_rows(spark):
+    """A window of many texts goes to BLOCKS blocks, whatever `block` is, and gives the same pairs."""
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdef") for _ in range(6)) for _ in range(40)]
+    texts = [" ".join(sorted(rng.sample(words, 6))) for _ in range(120)]
+    texts += [t[:-1] + "x" for t in texts[:30]]
+    rows = sorted(set(texts))
+    df = spark.createDataFrame(list(enumerate(rows)), "key bigint, t string")
+    want = {(a, b) for a, x in enumerate(rows) for b, y in enumerate(rows) if a < b and fuzzy.token_set_ratio(x, y) >= 94}
+    found = fuzzy.alike_by_edits(df, 94, block=3)
+    pairs = {tuple(r) for r in found.collect()}
+    by_tokens = {tuple(r) for r in fuzzy.alike_by_tokens(df.select("key", "t", F.split("t", " ").alias("tokens")), 94).collect()}
+    assert want and pairs <= want and want <= pairs | by_tokens
+    many = spark.createDataFrame([(100,), (5000,), (119_191,), (1_000_000,)], "n long")
+    assert [r[0] for r in many.select(fuzzy.blocks_of(F.col("n"))).collect()] == [1, 8, 8, 62]  # 1, 10, 233 and 1954 before
